@@ -119,9 +119,9 @@ def with_cost_modes(events: DataFrame, modes: dict[str, float] | None = None,
     """One row per (event, cost mode): a generator over a literal list, so no join and no shuffle."""
     modes = modes or COST_MODES
     arr = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(c).alias("cost")) for m, c in modes.items()])
-    return (events.select("*", F.explode(arr).alias("_m"))
-            .select("*", F.col("_m.mode").alias("mode"), F.col("_m.cost").alias("cost"))
-            .withColumn(out, F.col(ret) - F.col("cost")).drop("_m"))
+    return (events.select("*", F.explode(arr).alias("_mode_"))
+            .select("*", F.col("_mode_.mode").alias("mode"), F.col("_mode_.cost").alias("cost"))
+            .withColumn(out, F.col(ret) - F.col("cost")).drop("_mode_"))
 
 
 def fill_price(price: Column, bps: Column | float, side: Column) -> Column:

@@ -29,3 +29,19 @@ def block_window(keys: Sequence[str], pos: str = "idx") -> WindowSpec:
 
 def drop_halo(df: DataFrame) -> DataFrame:
     return df.where(F.col(OWN)).drop(OWN, BLK)
+
+
+def in_blocks(df: DataFrame, keys: Sequence[str], build, back: int = 0, forward: int = 0, ts: str = "ts",
+              span: int = 86400 * 30, block: int = 16384, order: Sequence[str] | None = None,
+              keep_index: bool = False) -> DataFrame:
+    """Run ``build(df, w)`` with a window over bounded history and future, in parallel inside each key.
+
+    ``build`` may add any windows over ``w`` that look at most ``back`` rows back and ``forward`` rows
+    ahead. ``df`` is read twice (its keys and times once more for the positions).
+    """
+    from .prefix import row_index
+    order = list(order or [ts])
+    d = row_index(df, keys, order, F.col(ts), span)
+    d = with_halo(d, back, forward, max(block, back + forward))
+    d = drop_halo(build(d, block_window(keys)))
+    return d if keep_index else d.drop("idx")

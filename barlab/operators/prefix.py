@@ -111,3 +111,15 @@ def max_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], hit: Co
     d = row_index(df, keys, order, ts, span, out="_i")
     d = run_length(d, keys, order, hit, "_len", ts, span, pos="_i")
     return d.groupBy(*keys).agg(F.coalesce(F.max("_len"), F.lit(0.0)).cast("long").alias(out))
+
+
+def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], ret: str, ts: Column, span: int,
+             compounded: bool = True) -> DataFrame:
+    """Adds equity, peak and drawdown. Compounded: product of (1+r), relative drop (<= 0). Additive: sum
+    of r, absolute drop (>= 0)."""
+    x = F.log1p(F.col(ret)) if compounded else F.col(ret)
+    d = running(df, keys, order, [Run("_cum", "sum", x)], ts, span)
+    d = d.withColumn("equity", F.exp("_cum") if compounded else F.col("_cum")).drop("_cum")
+    d = running(d, keys, order, [Run("peak", "max", F.col("equity"))], ts, span)
+    return d.withColumn("drawdown", F.col("equity") / F.col("peak") - 1.0 if compounded
+                        else F.col("peak") - F.col("equity"))
