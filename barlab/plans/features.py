@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import windows as W
-from ..functions.nulls import between, flag, ge, gt, lt, sign, zero_to_null
+from ..functions.nulls import flag, gt, lt, sign, zero_to_null
 from ..functions.scalar import minute_of_day
 from ..operators.blocks import block_window, drop_halo, in_blocks
 from ..operators.prefix import run_length
@@ -89,8 +89,7 @@ def theory_features(blocked: DataFrame, span: int, w_day: int = 288, min_day: in
     go = (F.col("_dir") != 0) & F.coalesce(F.col("_dir") == F.col("_dir1"), F.lit(False))
     # a streak counts its first bar, so its break lies one row earlier
     x = run_length(x, KEYS, ["ts"], go, "_run", ts, span)
-    x = x.withColumn("bar_dir_run", F.when(F.col("_dir") == 0, 0.0).otherwise(F.col("_dir") * (F.col("_run") + F.when(
-        F.col("_run") > F.col("idx"), 0).otherwise(1))))
+    x = x.withColumn("bar_dir_run", F.col("_dir") * (F.col("_run") + 1.0))
     if "_f" in x.columns:
         for name, c in (("funding_pos_hours", F.col("_f") > 0), ("funding_neg_hours", F.col("_f") < 0)):
             x = run_length(x, KEYS, ["ts"], c, name, ts, span).withColumn(name, F.col(name) / 12.0)
