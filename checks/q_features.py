@@ -164,10 +164,10 @@ def _(spark, d):
     return thin(x.where("volume >= 3"), SYM, F.when(F.col("volume") >= 5, 6).otherwise(24), pos="i", max_gap=24, chunk=64, fan=4).select("symbol", "ts")
 
 
-@query("equity_and_drawdown", f"""WITH {DB}, a AS (SELECT symbol, ts, (close/lag(close) OVER ({W1}) - 1)/500 AS r FROM db), e AS (SELECT *, exp(sum(ln(1+r)) OVER ({W1})) AS eq, sum(r) OVER ({W1}) AS ad FROM a WHERE r IS NOT NULL)
+@query("equity_and_drawdown", f"""WITH {DB}, a AS (SELECT symbol, ts, (close/lag(close) OVER ({W1}) - 1)/5000 AS r FROM db), e AS (SELECT *, exp(sum(ln(1+r)) OVER ({W1})) AS eq, sum(r) OVER ({W1}) AS ad FROM a WHERE r IS NOT NULL)
 SELECT symbol, ts, {rx(equity='eq', drawdown=f'eq/max(eq) OVER ({W1}) - 1', added='ad', drop=f'max(ad) OVER ({W1}) - ad')} FROM e""")
 def _(spark, d):
-    x = stored(_blocks(_daily(spark, d), lambda x, w: x.withColumn("r", W.ret(F.col("close"), w) / 500)).where("r is not null").select("symbol", "ts", "r"))
+    x = stored(_blocks(_daily(spark, d), lambda x, w: x.withColumn("r", W.ret(F.col("close"), w) / 5000)).where("r is not null").select("symbol", "ts", "r"))
     c = drawdown(x, SYM, ["ts"], "r", F.col("ts"), SPAN).select("symbol", "ts", "equity", "drawdown")
     a = drawdown(x, SYM, ["ts"], "r", F.col("ts"), SPAN, compounded=False).select("symbol", "ts", F.col("equity").alias("added"), F.col("drawdown").alias("drop"))
     return c.join(a, ["symbol", "ts"])
