@@ -13,7 +13,7 @@ from ..operators.exits import EXIT_FIELDS, first_touch, path_extreme
 from ..operators.store import stored
 from ..operators.thin import thin
 from .frame import KEYS, FrameConfig, blocked_frame
-from .rules import PARAMS, Rule, available, rule_table, rules, signal_rows, signal_table
+from .rules import PARAMS, Rule, available, frame_columns, needed_columns, rule_table, rules, signal_rows, signal_table
 
 SHORT_HOLD = 4  # bars held by the variable-horizon rule after a tail turns neutral
 VARIABLE = "regime_moves_10"
@@ -121,11 +121,19 @@ def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str
                  numbers: Iterable[int] | None = None, params: dict = PARAMS, label: str = "left",
                  skip_missing: bool = False) -> DataFrame:
     """Pair bars -> events of the listed rules (all by default)."""
-    x = blocked_frame(pair, c, slow, label)
     rs = rules(numbers)
+    offer = frame_columns(set().union(*[s.columns for s in (slow or {}).values()]))
     if skip_missing:
-        rs = available(rs, x.columns)
-    return events_from_blocked(x, rs, params)
+        rs = available(rs, offer)
+    table = signal_table(offer, params)
+    missing = sorted({r.signal for r in rs} - set(table))
+    if missing:
+        raise ValueError(f"the given series lack the inputs of: {missing}")
+    only = needed_columns(rs, offer, table, params) | {"atr14_btc", "eth_slope_sign_1h", "spread_pct"}
+    only |= {f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")}
+    if any(r.exits for r in rs):
+        only |= set(WATCHED)
+    return events_from_blocked(blocked_frame(pair, c, slow, label, only), rs, params)
 
 
 def mae_compat(events: DataFrame, rs: list[Rule]) -> DataFrame:

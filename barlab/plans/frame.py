@@ -211,14 +211,15 @@ def _slow_flags(x: DataFrame) -> DataFrame:
     for a in ("btc", "eth"):
         if f"funding_rate_{a}" in have:
             f = F.col(f"funding_rate_{a}")
-            out |= {f"funding_{a}_ann": f * 24 * 365,
-                    f"funding_{a}_z": (f - F.col(f"_fmean_{a}")) / F.col(f"_fstd_{a}"),
-                    f"funding_{a}_extreme_long": ge(F.col(f"funding_{a}_pct"), .90),
-                    f"funding_{a}_extreme_short": le(F.col(f"funding_{a}_pct"), .10),
-                    f"funding_{a}_sign": sign(f), f"funding_{a}_flip": W.flip(sign(f), w)}
+            out |= {f"funding_{a}_ann": f * 24 * 365, f"funding_{a}_sign": sign(f), f"funding_{a}_flip": W.flip(sign(f), w)}
+            if f"_fmean_{a}" in have:
+                out[f"funding_{a}_z"] = (f - F.col(f"_fmean_{a}")) / F.col(f"_fstd_{a}")
+            if f"funding_{a}_pct" in have:
+                out |= {f"funding_{a}_extreme_long": ge(F.col(f"funding_{a}_pct"), .90),
+                        f"funding_{a}_extreme_short": le(F.col(f"funding_{a}_pct"), .10)}
         if f"oi_contracts_{a}" in have:
             out[f"oi_{a}_chg"] = W.carry_change(F.col(f"oi_contracts_{a}"), w)
-        if f"_long_liq_{a}" in have:
+        if f"_long_liq_{a}" in have and f"_total_liq_{a}" in have:
             t = F.col(f"_total_liq_{a}")
             out[f"liq_imbalance_{a}"] = F.col(f"_long_liq_{a}") / F.when(t > 0, t)
     if "oi_btc_pct" in have and "oi_eth_pct" in have:
@@ -232,19 +233,59 @@ ALIASES = {"atr14": "atr14_btc", "rv48": "rv48_btc", "er20": "er20_btc", "vwap48
            "abs_vwap_dist_pct": "abs_vwap_dist_pct_btc"}
 
 
+def _needed(rolls: list[Roll], only: set[str]) -> list[Roll]:
+    """The rolls behind the wanted columns, with what they depend on, in order."""
+    want = set(only) | {ALIASES[k] for k in only if k in ALIASES}
+    for k in list(want):  # columns finished from rolls after the pandas pass
+        for a in ("btc", "eth"):
+            if k == f"funding_{a}_z":
+                want |= {f"_fmean_{a}", f"_fstd_{a}"}
+            if k in (f"funding_{a}_extreme_long", f"funding_{a}_extreme_short"):
+                want.add(f"funding_{a}_pct")
+        if k == "oi_spread_pct":
+            want |= {"oi_btc_pct", "oi_eth_pct"}
+    keep = []
+    for r in reversed(rolls):
+        if r.out in want:
+            keep.append(r)
+            want |= {r.col, r.other}
+    return keep[::-1]
+
+
 def blocked_frame(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str, DataFrame] | None = None,
-                  label: str = "left") -> DataFrame:
-    """The frame still cut in halo blocks (columns ``blk``, ``own``), ready for rule windows."""
+                  label: str = "left", only: set[str] | None = None) -> DataFrame:
+    """The frame still cut in halo blocks (columns ``blk``, ``own``), ready for rule windows.
+
+    ``only`` names the columns wanted: long ranks and quantiles behind other columns are not computed, and
+    the halo shrinks to what remains. (Catalyst prunes the plain window columns by itself, but it cannot
+    look into the grouped pass.)
+    """
     x = aligned(stored(pair), c, slow, label)
     # history: the longest chain of long windows on top of the longest short window, plus rule look-back
     short = max(c.w_vwap * 2, 72) + 30
     probe = _long_columns(_ColumnsOnly(x.columns), c)
+    if only is not None:
+        probe = _needed(probe, only)
     back = back_rows(probe) + short + c.rule_back
     x = with_halo(x, back, c.ahead, max(c.block, back + c.ahead))
     x = _base_windows(x, c)
-    x = long_rolling(x, KEYS, _long_columns(x, c))
+    rolls = _long_columns(x, c)
+    if only is not None:
+        rolls = _needed(rolls, only)
+        keep = {"pair", "ts", "idx", "blk", "own"} | only | {ALIASES[k] for k in only if k in ALIASES} | {r.col for r in rolls} | {r.other for r in rolls}
+        keep |= {k for k in x.columns if k.startswith(("_long_liq", "_total_liq")) and any(o.startswith("liq_imbalance") for o in only)}
+        keep |= {"spread_pct"}
+        for a in ("btc", "eth"):
+            if any(o.startswith(f"funding_{a}") for o in only):
+                keep.add(f"funding_rate_{a}")
+            if f"oi_{a}_chg" in only:
+                keep.add(f"oi_contracts_{a}")
+        x = x.select(*[k for k in x.columns if k in keep])
+    if rolls:
+        x = long_rolling(x, KEYS, rolls)
     x = _slow_flags(x)
-    return x.withColumns({k: F.col(v) for k, v in ALIASES.items()} | {"spread_regime": _tails()})
+    have = set(x.columns)
+    return x.withColumns({k: F.col(v) for k, v in ALIASES.items() if v in have} | {"spread_regime": _tails()})
 
 
 def _tails():
@@ -268,9 +309,9 @@ class _ColumnsOnly:
 
 
 def frame(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str, DataFrame] | None = None,
-          label: str = "left") -> DataFrame:
+          label: str = "left", only: set[str] | None = None) -> DataFrame:
     """The frame as a plain table, one row per (pair, ts)."""
-    x = drop_halo(blocked_frame(pair, c, slow, label))
+    x = drop_halo(blocked_frame(pair, c, slow, label, only))
     return x.drop(*[k for k in x.columns if k.startswith("_")])
 
 

@@ -7,6 +7,7 @@ joined on the signal name; it has a few hundred rows at most.
 """
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Iterable
 
@@ -496,11 +497,13 @@ def signal_rows(x: DataFrame, rs: list[Rule], params: dict = PARAMS, keep: Itera
     missing = [n for n in names if n not in table]
     if missing:
         raise ValueError(f"frame lacks the inputs of: {missing}")
-    conds = _conditions(have)
-    x = x.withColumns(_layer_one(have, params))
-    x = x.withColumns(conds)
-    x = x.withColumns(_edges(conds, params))
-    x = x.withColumns(_edges_two(conds))
+    offer = have | frame_columns(have)
+    conds = _conditions(offer)
+    need = needed_columns(rs, offer, table, params) | set(keep)
+    for layer in (_layer_one(offer, params), conds, _edges(conds, params), _edges_two(conds)):
+        used = {n: e for n, e in layer.items() if n in need}
+        if used:
+            x = x.withColumns(used)
     if "best_two_a_day" in names:
         x = _day_rank(x)
     x = x.where("own")
@@ -516,6 +519,44 @@ def signal_rows(x: DataFrame, rs: list[Rule], params: dict = PARAMS, keep: Itera
             .select(*KEYS, "ts", "idx", *keep, "h.signal", "h.dir", "h.pre_need"))
 
 
+def frame_columns(have: Iterable[str]) -> set[str]:
+    """All columns a frame can offer for the given aligned columns, before it is built."""
+    have = set(have)
+    out = set()
+    for a in ("btc", "eth"):
+        if f"funding_rate_{a}" in have:
+            out |= {f"funding_{a}_{k}" for k in ("pct", "sign", "flip", "z")}
+        if f"oi_contracts_{a}" in have:
+            out |= {f"oi_{a}_pct", "oi_velocity"}
+        if f"long_liq_usd_{a}" in have:
+            out |= {f"{s}_liq_{a}_pct" for s in ("long", "short", "total")} | {f"liq_imbalance_{a}"}
+    if {"funding_rate_btc", "funding_rate_eth"} <= have:
+        out |= {"funding_spread", "funding_spread_pct"}
+    return have | out
+
+
+def needed_columns(rs: list[Rule], have: Iterable[str], table: dict[str, Signal], params: dict = PARAMS) -> set[str]:
+    """Frame columns the signals of these rules read, through the helper layers."""
+    offer = set(have)
+    conds = _conditions(offer)
+    layers = {**_layer_one(offer, params), **conds, **_edges(conds, params), **_edges_two(conds)}
+    names = lambda col: set(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", str(col)))
+    todo, seen = set(), set()
+    for r in rs:
+        s = table[r.signal]
+        todo |= names(s.mask) | names(s.direction) | (names(s.tier) if s.tier is not None else set())
+        if r.signal == "best_two_a_day":
+            todo |= {"eth_slope_abs_pct_1h", "ret1_abs_btc_pct", "btc_slope_sign_1h"}
+    while todo:
+        n = todo.pop()
+        if n in seen:
+            continue
+        seen.add(n)
+        if n in layers:
+            todo |= names(layers[n])
+    return seen
+
+
 def rule_table(spark, rs: list[Rule], table: dict[str, Signal]) -> DataFrame:
     """The rule dimension: one small row per rule. ``pre_gap`` is set where candidates are thinned before
     the holding period thins them."""

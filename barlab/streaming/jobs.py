@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.asof import asof_join
 from ..operators.store import shared_folder, stored
 from ..plans.quality import reconcile
-from ..sources.sinks import upsert
+from ..sources.sinks import latest
 
 
 def read_parquet(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -131,8 +131,8 @@ def run_live(sdf: DataFrame, path: str, checkpoint: str, every: str = "1 minute"
 
 
 def upsert_sink(table: str, keys: Sequence[str], version: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: merge each batch into versioned snapshots; a replayed batch gives the same
-    snapshot, so the sink is idempotent."""
+    """foreachBatch sink: merge each batch into versioned snapshots, the newest ``version`` per key wins
+    whatever the arrival order. A replayed batch gives the same snapshot, so the sink is idempotent."""
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = f"{table}/v={n}"
@@ -141,7 +141,7 @@ def upsert_sink(table: str, keys: Sequence[str], version: str) -> Callable[[Data
             base = spark.read.parquet(prev)
         except Exception:
             base = batch.limit(0)
-        upsert(base, batch, keys, version).write.mode("overwrite").parquet(new)
+        latest(base.unionByName(batch), keys, F.col(version)).write.mode("overwrite").parquet(new)
     return write
 
 

@@ -10,20 +10,24 @@ from barlab.sources import derive
 from .fixtures import MEMBER, ME, OE, member_events, order_events
 from .registry import R, query, r6, rx
 
-_OPEN = "['H76','H77','H79','H81','H78','H82']"
-
-
 def _me(spark, d):
     return stored(member_events(spark, d))
 
 
-@query("policy_members", f"""SELECT policy_id, rule_id, ord - 1 AS ord FROM (
- SELECT 'P01' AS policy_id, unnest(['H76','H77','H81','H78','H82']) AS rule_id, generate_subscripts(['H76','H77','H81','H78','H82'], 1) AS ord UNION ALL SELECT 'P02', unnest({_OPEN}), generate_subscripts({_OPEN}, 1)
- UNION ALL SELECT 'PX', unnest(['H79','H76']), generate_subscripts(['H79','H76'], 1)) WHERE (SELECT count(*) FROM events) > 0""")
-def _(spark, d):
-    pol = {"P01": PF.POLICIES["P01"], "P02": PF.POLICIES["P02"],
-           "PX": dict(candidate_universe=["H79", "H76", "H79", "H81", "H82"], include_members=["H76", "H79", "H82"], exclude_members=["H82"])}
-    return PF.members(PF.policy_table(spark, pol)).select("policy_id", "rule_id", "ord")
+@query("policy_members", """WITH u AS (SELECT o_custkey AS c, list_sort(list(DISTINCT o_orderpriority)) AS l FROM orders GROUP BY 1),
+f AS (SELECT c, list_filter(list_filter(CASE WHEN c % 3 = 0 THEN list_filter(l, lambda x: x IN ('1-URGENT','2-HIGH','3-MEDIUM')) ELSE l END, lambda x: NOT (c % 2 = 0 AND x = '3-MEDIUM')), lambda x: true) AS m FROM u),
+g AS (SELECT c, CASE WHEN list_contains(m, '1-URGENT') THEN list_filter(m, lambda x: x <> '2-HIGH') ELSE m END AS m FROM f)
+SELECT 'C' || CAST(c AS VARCHAR) AS policy_id, unnest(m) AS rule_id, generate_subscripts(m, 1) - 1 AS ord FROM g""")
+def _(spark, d):
+    """One policy per customer, its universe the priorities that customer ordered with (at most five)."""
+    o = derive.read(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("candidate_universe"))
+    k = F.col("o_custkey")
+    none = F.array().cast("array<string>")
+    p = o.select(F.concat(F.lit("C"), k.cast("string")).alias("policy_id"), "candidate_universe",
+                 F.when(k % 3 == 0, F.array(F.lit("1-URGENT"), F.lit("2-HIGH"), F.lit("3-MEDIUM"))).otherwise(none).alias("include_members"),
+                 F.when(k % 2 == 0, F.array(F.lit("3-MEDIUM"))).otherwise(none).alias("exclude_members"),
+                 F.lit("1-URGENT").alias("dedup_keep"), F.lit("2-HIGH").alias("dedup_drop"))
+    return PF.members(p).select("policy_id", "rule_id", "ord")
 
 
 _SCORE = f"""{ME}, sc AS (SELECT a.rule_id, a.ts, a.family, a.asset, a.signal_dir, a.gross_r, count(b.ts) AS n, avg(b.gross_r) AS m, stddev_pop(b.gross_r) AS s FROM me a LEFT JOIN me b ON b.rule_id = a.rule_id AND b.ts < a.ts AND b.ts >= a.ts - 5*86400 GROUP BY ALL),
