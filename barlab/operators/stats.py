@@ -82,12 +82,12 @@ def draw_sql(b: str, i: str, seed: int, n: str) -> str:
 
 def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Sequence[str], iters: int,
                     seed: int, block: int = BLOCK) -> DataFrame:
-    """Mean of each of ``iters`` resamples with replacement of size n, per group: (by..., iter, boot_mean).
+    """Mean of each of ``iters`` resamples with replacement of size n: one array ``means`` per group.
 
     A group of up to ``block`` values is one block. A larger group is split by hash; for every iteration
     the n draws are first divided over its blocks (multinomial in the block sizes) and then drawn inside
     each block, which has exactly the distribution of drawing from the whole group. A task holds one
-    block; the result has ``iters`` rows per block before the final average.
+    block and returns ``iters`` sums; only groups of several blocks are summed over blocks.
     """
     by = list(by)
     v = stored(values.where(F.col(col).isNotNull()).select(*by, *order, F.col(col).alias("_x")))
@@ -109,8 +109,8 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
 
     # rows of one group here are its blocks, not its values
     counts = sizes.groupBy(*by).applyInPandas(split, schema)
-    out = T.StructType([*[sizes.schema[k] for k in by], T.StructField("iter", T.IntegerType()),
-                        T.StructField("_s", T.DoubleType()), T.StructField("_c", T.LongType())])
+    arr = T.ArrayType(T.DoubleType())
+    out = T.StructType([*[sizes.schema[k] for k in by], T.StructField("_s", arr), T.StructField("_c", arr)])
     keycols, ordercols = list(by), list(order)
 
     def resample(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -118,18 +118,24 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
         cnt = np.asarray(c["_cnt"].iloc[0])
         n_, blk = len(x), int(c["_blk"].iloc[0])
         s = np.empty(iters)
-        step = max(1, 2_000_000 // max(int(cnt.max()), 1))
+        step = max(1, 100_000 // max(int(cnt.max()), 1))  # working set stays in the cache
         for lo in range(0, iters, step):
             hi = min(lo + step, iters)
             b = np.arange(lo, hi, dtype=np.int64)[:, None]
             i = np.arange(int(cnt[lo:hi].max()), dtype=np.int64)[None, :]
             j = (_draw(b * 1000003 + i * 7919 + seed * 104729 + blk * 15485863) * n_) >> 31
             s[lo:hi] = np.where(i < cnt[lo:hi, None], x[j], 0.0).sum(axis=1)
-        res = {k: [a[k].iloc[0]] * iters for k in keycols}
-        return pd.DataFrame(res | {"iter": np.arange(iters, dtype=np.int32), "_s": s, "_c": cnt})
+        return pd.DataFrame({k: a[k].iloc[:1].to_numpy() for k in keycols} | {"_s": [s], "_c": [cnt.astype(float)]})
 
     parts = v.groupBy(*by, "_blk").cogroup(counts.groupBy(*by, "_blk")).applyInPandas(resample, out)
-    return parts.groupBy(*by, "iter").agg((F.sum("_s") / F.sum("_c")).alias("boot_mean"))
+    parts = stored(parts)
+    one = parts.join(small(n.where(F.col("_n") <= block).select(*by)), by, "left_semi").select(
+        *by, F.zip_with("_s", "_c", lambda x, y: x / y).alias("means"))
+    many = parts.join(small(n.where(F.col("_n") > block).select(*by)), by, "left_semi")
+    many = many.select(*by, F.posexplode(F.arrays_zip("_s", "_c")).alias("iter", "z"))
+    many = many.groupBy(*by, "iter").agg((F.sum("z._s") / F.sum("z._c")).alias("m"))
+    many = many.groupBy(*by).agg(F.collect_list("m").alias("means"))  # exactly ``iters`` values
+    return one.unionByName(many)
 
 
 def bootstrap_ci(means: DataFrame, by: Sequence[str], modes: dict[str, float] | None = None,
@@ -137,12 +143,16 @@ def bootstrap_ci(means: DataFrame, by: Sequence[str], modes: dict[str, float] |
     """Confidence limits and share of positive means, per group and cost mode. A constant cost shifts
     every resample mean by itself, so one set of resamples serves all modes."""
     a = (1.0 - ci) / 2.0
-    m = with_cost_modes(means, modes or COST_MODES, "boot_mean", "_net")
-    # a group has exactly iters rows here
-    return m.groupBy(*by, "mode").agg(
-        F.percentile("_net", F.lit(a)).alias("mean_ci_low"),
-        F.percentile("_net", F.lit(1.0 - a)).alias("mean_ci_high"),
-        F.avg((F.col("_net") > 0).cast("double")).alias("p_mean_gt_0"))
+    d = means.withColumn("_m", F.array_sort("means"))
+
+    def quantile(q: float) -> Column:
+        pos = (F.size("_m") - 1) * F.lit(q)
+        lo, hi = (F.get("_m", f(pos).cast("int")) for f in (F.floor, F.ceil))
+        return lo + (hi - lo) * (pos - F.floor(pos))
+    d = d.select(*by, "_m", quantile(a).alias("_lo"), quantile(1.0 - a).alias("_hi"))
+    d = with_cost_modes(d, modes or COST_MODES, "_lo", "mean_ci_low")
+    return d.select(*by, "mode", "mean_ci_low", (F.col("_hi") - F.col("cost")).alias("mean_ci_high"),
+                    (F.size(F.filter("_m", lambda x: x > F.col("cost"))) / F.size("_m")).alias("p_mean_gt_0"))
 
 
 # --- folds -------------------------------------------------------------------------------------------
