@@ -1,7 +1,7 @@
 """Long rolling windows.
 
-A percentile rank or quantile over thousands of rows re-reads its whole frame per row when written as
-a Spark window (rows x window work). Here Spark partitions the series into halo blocks and sorts them;
+A Spark window with a sliding frame evaluates its whole frame again for every row (rows x window work):
+fine for a few dozen rows, not for hundreds or thousands. Here Spark partitions the series into halo blocks and sorts them;
 inside a block the native rolling kernels of pandas do the O(log n) sliding update.
 """
 from __future__ import annotations
@@ -18,7 +18,7 @@ from .blocks import BLK
 
 @dataclass(frozen=True)
 class Roll:
-    """kind: rank, quantile, mean, std (ddof 0), ema, diff, abs, ratio."""
+    """kind: rank, quantile, mean, sum, std (ddof 0), ema, diff, abs, minus, ratio."""
     out: str
     kind: str
     col: str
@@ -37,6 +37,8 @@ def _one(p: pd.DataFrame, r: Roll) -> pd.Series:
         return x.diff(r.n)
     if r.kind == "abs":
         return x.abs()
+    if r.kind == "minus":
+        return x - p[r.other]
     if r.kind == "ratio":
         d = p[r.other]
         return x / (d.clip(lower=r.floor) if r.floor is not None else d.where(d != 0))
@@ -47,6 +49,8 @@ def _one(p: pd.DataFrame, r: Roll) -> pd.Series:
         return roll.quantile(r.q)
     if r.kind == "mean":
         return roll.mean()
+    if r.kind == "sum":
+        return roll.sum()
     if r.kind == "std":
         s = roll.std(ddof=0)
         return s.where(s > 0)

@@ -133,7 +133,6 @@ def _base_windows(x: DataFrame, c: FrameConfig) -> DataFrame:
         }
     rb, re = (F.coalesce(F.col(f"ret1_{a}"), F.lit(0.0)) for a in ("btc", "eth"))
     two |= {
-        "vwap_btc": W.vwap(F.col("_pv_btc"), F.col("volume_btc"), w, c.w_vwap),
         "prior_high_12": W.prior_max(F.col("high_btc"), w, 12),
         "prior_low_12": W.prior_min(F.col("low_btc"), w, 12),
         "prior_high_24": W.prior_max(F.col("high_btc"), w, 24),
@@ -143,13 +142,11 @@ def _base_windows(x: DataFrame, c: FrameConfig) -> DataFrame:
     x = x.withColumns(two)
     three = {f"dist_to_vwap48_{a}": F.col(f"close_{a}") - F.col(f"vwap48_{a}") for a in ("btc", "eth")}
     x = x.withColumns(three | {
-        "_dev": F.col("close_btc") - F.col("vwap_btc"),
         "_atr_rv": F.col("atr14_btc") / zero_to_null(F.col("rv48_btc")),
         "_abs_dist": F.abs(F.col("close_btc") - F.col("vwap48_btc")),
         "delta_er": F.col("er20_btc") - F.col("er20_eth"),
         "_abs_delta_er": F.abs(F.col("er20_btc") - F.col("er20_eth")),
     })
-    x = x.withColumn("vwap_z", F.col("_dev") / zero_to_null(W.std(F.col("_dev"), w, c.w_vwap)))
     if "oi_contracts_btc" in x.columns:
         oi = F.col("oi_contracts_btc")
         x = x.withColumn("oi_velocity", oi - W.lag(oi, w, 12) - (W.lag(oi, w, 12) - W.lag(oi, w, 24)))
@@ -166,7 +163,12 @@ def _long_columns(x: DataFrame, c: FrameConfig) -> list[Roll]:
     L, D = c.w_long, c.w_deriv
     q = lambda out, col, p: Roll(out, "quantile", col, L, p)
     rk = lambda out, col, n=L: Roll(out, "rank", col, n)
-    rolls = [q(f"ret1_abs_btc_q{p}", "ret1_abs_btc", p / 100) for p in (30, 40, 70, 80, 90)]
+    rolls = [
+        Roll("_pv_sum", "sum", "_pv_btc", c.w_vwap), Roll("_v_sum", "sum", "volume_btc", c.w_vwap),
+        Roll("vwap_btc", "ratio", "_pv_sum", other="_v_sum"), Roll("_dev", "minus", "close_btc", other="vwap_btc"),
+        Roll("_dev_std", "std", "_dev", c.w_vwap), Roll("vwap_z", "ratio", "_dev", other="_dev_std"),
+    ]
+    rolls += [q(f"ret1_abs_btc_q{p}", "ret1_abs_btc", p / 100) for p in (30, 40, 70, 80, 90)]
     rolls += [
         q("ret1_abs_eth_q90", "ret1_abs_eth", .90),
         rk("ret1_abs_btc_pct", "ret1_abs_btc"), rk("ret1_abs_eth_pct", "ret1_abs_eth"),
@@ -262,7 +264,7 @@ def blocked_frame(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[st
     """
     x = aligned(stored(pair), c, slow, label)
     # history: the longest chain of long windows on top of the longest short window, plus rule look-back
-    short = max(c.w_vwap * 2, 72) + 30
+    short = 72 + 30
     probe = _long_columns(_ColumnsOnly(x.columns), c)
     if only is not None:
         probe = _needed(probe, only)
