@@ -26,6 +26,8 @@ def order_stats(v: DataFrame, by: Sequence[str], col: str, ranks: DataFrame) ->
     """Value at 0-based ascending ``rank`` per row of ``ranks`` (by..., tag, rank). ``v`` has no nulls in
     ``col`` and is read three times: pass a stored table."""
     by = list(by)
+    if not by:  # one group: the same code under a constant key
+        return order_stats(v.withColumn("_all", F.lit(0)), ["_all"], col, ranks.withColumn("_all", F.lit(0))).drop("_all")
     probs = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
     # equal split points collapse; cells alternate (open cell, single value) so ties never overload a cell
     splits = v.groupBy(*by).agg(F.array_sort(F.array_distinct(
@@ -34,12 +36,11 @@ def order_stats(v: DataFrame, by: Sequence[str], col: str, ranks: DataFrame) ->
     # below splits -> even cells, exactly on a split -> odd cell
     cell = (F.size(F.filter("_sp", lambda s: s < x)) * 2
             + F.when(F.array_contains("_sp", x), 1).otherwise(0))
-    j = lambda d: (d.join(splits, by) if by else d.crossJoin(F.broadcast(splits)))
-    c = j(v).select(*by, x.alias("_v"), cell.alias("_cell"))
+    c = v.join(splits, by).select(*by, x.alias("_v"), cell.alias("_cell"))
     n = c.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_one"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_cell")
+    w = Window.partitionBy(*by).orderBy("_cell")
     n = n.withColumn("_start", F.sum("_n").over(w) - F.col("_n"))
-    want = (ranks.join(n, by) if by else ranks.crossJoin(n)).where(
+    want = ranks.join(n, by).where(
         (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_n")))
     flat = want.where(F.col("_cell") % 2 == 1).select(*by, "tag", F.col("_one").alias("value"))
     open_ = want.where(F.col("_cell") % 2 == 0).select(*by, "tag", "_cell", (F.col("rank") - F.col("_start")).alias("_k"))

@@ -36,12 +36,15 @@ def summarize(df: DataFrame, by: Sequence[str], ret: str, grid: DataFrame | None
 
 
 def dense_grid(spark, **axes: list) -> DataFrame:
-    """All combinations of a few literal axes."""
-    d = None
+    """All combinations of a few literal axes, as generators over one row."""
+    return expand(spark.range(1), **axes).drop("id")
+
+
+def expand(df: DataFrame, **axes: list) -> DataFrame:
+    """Every row once per combination of the literal axes."""
     for name, values in axes.items():
-        one = spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-        d = one if d is None else d.crossJoin(F.broadcast(one))
-    return d
+        df = df.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return df
 
 
 def with_t_stat(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.exits import EXIT_FIELDS, first_touch, path_extreme
 from ..operators.store import stored
 from ..operators.thin import thin
 from .frame import KEYS, FrameConfig, blocked_frame
-from .rules import PARAMS, Rule, available, frame_columns, needed_columns, rule_table, rules, signal_rows, signal_table
+from .rules import PARAMS, Rule, Signal, available, frame_columns, needed_columns, rule_table, rules, signal_rows, signal_table
 
 SHORT_HOLD = 4  # bars held by the variable-horizon rule after a tail turns neutral
 VARIABLE = "regime_moves_10"
@@ -59,7 +59,8 @@ def _exit_table(spark, rs: list[Rule]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, " + EXIT_FIELDS)
 
 
-def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS) -> DataFrame:
+def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS,
+                        extra: dict[str, Signal] | None = None) -> DataFrame:
     """Events of all rules: pair, rule_id, family, ts, idx, signal_dir, entry_px, exit_px, fwd_r, gross_r,
     mae_proxy."""
     spark = x.sparkSession
@@ -67,7 +68,7 @@ def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS) ->
     exits = [r for r in rs if r.exits]
     x = with_paths(x, rs)
     keep = ["_px", "spread_regime", "atr14_btc", "eth_slope_sign_1h"] + (["_path"] if exits else [])
-    table = signal_table(cols, params)
+    table = signal_table(cols, params) | (extra or {})
     hits = signal_rows(x, rs, params, keep=[*keep, "R1"], table=table)
     # each signal carries only the prices its own rules read
     read_by: dict[str, list[str]] = {}
@@ -119,13 +120,18 @@ def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS) ->
 
 def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str, DataFrame] | None = None,
                  numbers: Iterable[int] | None = None, params: dict = PARAMS, label: str = "left",
-                 skip_missing: bool = False) -> DataFrame:
-    """Pair bars -> events of the listed rules (all by default)."""
-    rs = rules(numbers)
+                 skip_missing: bool = False, extra: dict[str, Signal] | None = None,
+                 extra_rules: Iterable[Rule] = ()) -> DataFrame:
+    """Pair bars -> events of the listed rules (all by default).
+
+    A user's own rule is a ``Signal`` (mask and direction over frame columns) in ``extra`` and a ``Rule``
+    that names it in ``extra_rules``.
+    """
+    rs = [*rules(numbers), *extra_rules]
     offer = frame_columns(set().union(*[s.columns for s in (slow or {}).values()]))
     if skip_missing:
         rs = available(rs, offer)
-    table = signal_table(offer, params)
+    table = signal_table(offer, params) | (extra or {})
     missing = sorted({r.signal for r in rs} - set(table))
     if missing:
         raise ValueError(f"the given series lack the inputs of: {missing}")
@@ -133,7 +139,7 @@ def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str
     only |= {f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")}
     if any(r.exits for r in rs):
         only |= set(WATCHED)
-    return events_from_blocked(blocked_frame(pair, c, slow, label, only), rs, params)
+    return events_from_blocked(blocked_frame(pair, c, slow, label, only), rs, params, extra)
 
 
 def mae_compat(events: DataFrame, rs: list[Rule]) -> DataFrame:

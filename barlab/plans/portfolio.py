@@ -280,10 +280,11 @@ def concentration(contrib: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def exposure(trades: DataFrame, contrib: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean and maximum gross exposure per scenario, mean absolute net exposure per asset."""
     g = trades.groupBy(*by).agg(F.avg("gross_exposure").alias("mean_gross_exposure"), F.max("gross_exposure").alias("max_gross_exposure"))
     a = contrib.groupBy(*by, "ts", "asset").agg(F.abs(F.first("asset_net")).alias("x")).groupBy(*by, "asset").agg(
         F.avg("x").alias("mean_abs_asset_exposure"))
-    return a.join(g, list(by)) if by else a.crossJoin(F.broadcast(g))
+    return a.join(g, list(by))
 
 
 def heat_audit(passed: DataFrame) -> dict[str, DataFrame]:

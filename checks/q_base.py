@@ -9,6 +9,7 @@ from barlab.functions import scalar as S
 from barlab.operators.asof import asof_join
 from barlab.operators.prefix import Run, running
 from barlab.operators.resample import last_per_bin, resample
+from barlab.operators.stats import expand
 from barlab.operators.store import shared_folder, stored
 from barlab.plans import features as feat
 from barlab.plans import quality as Q
@@ -191,7 +192,7 @@ def _(spark, d):
     b = stored(derive.daily_bars(spark, d).select("symbol", "ts", "close"))
     o = derive.read(spark, d, "orders").where("o_orderstatus = 'F'")
     s = o.groupBy(S.epoch_seconds(F.col("o_orderdate")).alias("ts")).agg(F.avg("o_totalprice").alias("r"), F.count(F.lit(1)).alias("n")).where("ts % (86400*5) = 0")
-    s = s.withColumn("rate", F.when(F.col("n") % 4 != 0, F.col("r"))).crossJoin(F.broadcast(spark.createDataFrame([("A",), ("N",), ("R",)], "symbol string")))
+    s = expand(s.withColumn("rate", F.when(F.col("n") % 4 != 0, F.col("r"))), symbol=["A", "N", "R"])
     return asof_join(b, s, ["symbol"], ["rate", "n"], span=86400 * 200)
 
 

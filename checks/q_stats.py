@@ -147,8 +147,7 @@ def _(spark, d):
     labels = ["0-0.1", "0.1-0.25", "0.25-0.35", "0.35-1"]
     b = feat.batch_features(stored(derive.event_bars(spark, d)), span=86400 * 10, keep=["close"])
     b = b.withColumn("bk", bucket(F.col("er20"), [0, .1, .25, .35, 1.0], labels))
-    syms = b.select("symbol").distinct()
-    grid = syms.crossJoin(F.broadcast(stats.dense_grid(spark, bk=labels, h=[5, 10, 20])))
+    grid = stats.expand(b.select("symbol").distinct(), bk=labels, h=[5, 10, 20])
     return ST.drift_study(b, ["symbol"], "bk", [5, 10, 20], grid=grid)
 
 

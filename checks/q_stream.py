@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barlab.functions.scalar import epoch_seconds
+from barlab.operators.stats import expand
 from barlab.operators.store import shared_folder, stored
 from barlab.operators.thin import thin
 from barlab.plans import features as feat
@@ -107,6 +108,6 @@ def _(spark, d):
     b = stored(derive.event_bars(spark, d))
     x = b.where("symbol <> 'error'").select("symbol", "ts")
     x.write.parquet(f"{root}/in")
-    slow = b.where("symbol = 'error' and ts % 14400 = 0").select("ts", F.col("open").alias("rate")).crossJoin(F.broadcast(b.select("symbol").distinct().where("symbol <> 'error'")))
+    slow = expand(b.where("symbol = 'error' and ts % 14400 = 0").select("ts", F.col("open").alias("rate")), symbol=["click", "purchase", "signup", "view"])
     J.run_available(J.read_parquet(spark, f"{root}/in", x.schema), f"{root}/ck", batch=J.asof_sink(slow, ["symbol"], ["rate"], f"{root}/out"))
     return spark.read.parquet(f"{root}/out").select("symbol", "ts", "rate")

@@ -310,6 +310,16 @@ def test_exit_matches_loop(spark, number):
         assert got[i] == loop_exit(path, di, ep, atr, sl, spec), i
 
 
+def test_user_rule(spark, data):
+    f, _ = data
+    pair = spark.createDataFrame(f[["pair", "ts"] + [f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")]])
+    mine = RL.Rule(9001, "mine", "tall_bar", horizon=5)
+    sig = RL.Signal(F.coalesce(F.col("tr_btc") > F.col("atr14_btc") * 1.5, F.lit(False)), F.col("bar_dir_btc"))
+    ev = EV.build_events(pair, CFG, numbers=[], extra={"tall_bar": sig}, extra_rules=[mine]).toPandas().sort_values("ts")
+    mask = f.tr_btc.gt(f.atr14_btc * 1.5).to_numpy()
+    assert [(int(a), float(b), round(c, 10)) for a, b, c in zip(ev.ts, ev.signal_dir, ev.gross_r)] == expect(f, mine, mask, f.bar_dir_btc.to_numpy())
+
+
 def test_missing_inputs_are_named(spark, data):
     f, _ = data
     pair = spark.createDataFrame(f[["pair", "ts"] + [f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")]])
