@@ -104,7 +104,7 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
         p = p.sort_values("_blk", ignore_index=True)
         m = p["_m"].to_numpy()
         if len(m) == 1:
-            p["_cnt"] = [np.full(iters, m[0], dtype=np.int64)]
+            p["_cnt"] = [np.empty(0, dtype=np.int64)]  # the whole group: n draws in every iteration
         else:
             g = np.random.Generator(np.random.Philox(seed))
             p["_cnt"] = list(g.multinomial(int(m.sum()), m / m.sum(), size=iters).T.astype(np.int64))
@@ -118,8 +118,11 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
 
     def resample(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         x = a.sort_values(ordercols)["_x"].to_numpy()
-        cnt = np.asarray(c["_cnt"].iloc[0])
         n_, blk = len(x), int(c["_blk"].iloc[0])
+        cnt = np.asarray(c["_cnt"].iloc[0], dtype=np.int64)
+        whole = not len(cnt)
+        if whole:
+            cnt = np.full(iters, n_, dtype=np.int64)
         s = np.empty(iters)
         step = max(1, 100_000 // max(int(cnt.max()), 1))  # working set stays in the cache
         for lo in range(0, iters, step):
@@ -127,13 +130,14 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
             b = np.arange(lo, hi, dtype=np.int64)[:, None]
             i = np.arange(int(cnt[lo:hi].max()), dtype=np.int64)[None, :]
             j = (_draw(b * 1000003 + i * 7919 + seed * 104729 + blk * 15485863) * n_) >> 31
-            s[lo:hi] = np.where(i < cnt[lo:hi, None], x[j], 0.0).sum(axis=1)
-        return pd.DataFrame({k: a[k].iloc[:1].to_numpy() for k in keycols} | {"_s": [s], "_c": [cnt.astype(float)]})
+            s[lo:hi] = x[j].sum(axis=1) if whole else np.where(i < cnt[lo:hi, None], x[j], 0.0).sum(axis=1)
+        s, c_ = (s / n_, np.empty(0)) if whole else (s, cnt.astype(float))
+        return pd.DataFrame({k: a[k].iloc[:1].to_numpy() for k in keycols} | {"_s": [s], "_c": [c_]})
 
     parts = v.groupBy(*by, "_blk").cogroup(counts.groupBy(*by, "_blk")).applyInPandas(resample, out)
     parts = stored(parts)
     one = parts.join(small(n.where(F.col("_n") <= block).select(*by)), by, "left_semi").select(
-        *by, F.zip_with("_s", "_c", lambda x, y: x / y).alias("means"))
+        *by, F.col("_s").alias("means"))
     many = parts.join(small(n.where(F.col("_n") > block).select(*by)), by, "left_semi")
     many = many.select(*by, F.posexplode(F.arrays_zip("_s", "_c")).alias("iter", "z"))
     many = many.groupBy(*by, "iter").agg((F.sum("z._s") / F.sum("z._c")).alias("m"))
