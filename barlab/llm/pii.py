@@ -136,9 +136,11 @@ def extract(docs: DataFrame, id_col: str, text_col: str, how: Bootstrap) -> Data
 
 def graph(spans: DataFrame) -> DataFrame:
     """Distinct edges ctx - value with the kind of the value, -1 for candidates."""
-    marked = F.concat(*[F.transform(k, lambda x, i=i: F.struct(F.lit(i).alias("kind"), x["ctx"].alias("ctx"), F.lower(x["v"]).alias("v")))
-                        for i, k in [(-1, "token"), *enumerate(KINDS)]])
-    return spans.select(F.explode(marked).alias("x")).select("x.*").where("ctx is not null").distinct()
+    def marked(no: int, col: str) -> Column:
+        return F.transform(col, lambda x: F.struct(F.lit(no).alias("kind"), x["ctx"].alias("ctx"), F.lower(x["v"]).alias("v")))
+
+    every = F.concat(*[marked(i, k) for i, k in [(-1, "token"), *enumerate(KINDS)]])
+    return spans.select(F.explode(every).alias("x")).select("x.*").where("ctx is not null").distinct()
 
 
 def learn(edges: DataFrame, how: Bootstrap) -> DataFrame:
@@ -173,7 +175,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     best = good.groupBy("ctx").agg(F.max_by("kind", F.struct("p", -F.col("kind"))).alias("kind"))
     added = (tokens.select("id", "print", "x.s", "x.e", F.col("x.ctx").alias("ctx")).join(best, "ctx")
              .groupBy("id", "print").agg(F.collect_set(F.struct("kind", "s", "e")).alias("more")))
-    base = F.concat(*[F.transform(k, lambda x, i=i: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"))) for i, k in enumerate(KINDS)])
+
+    def placed(no: int, col: str) -> Column:
+        return F.transform(col, lambda x: F.struct(F.lit(no).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+    base = F.concat(*[placed(i, k) for i, k in enumerate(KINDS)])
     name = F.array(*map(F.lit, KINDS))
     text = lambda a: F.transform(a, lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["s"].cast("string"), x["e"].cast("string")))
     d = spans.select(F.col("id"), F.col("print"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], base.alias("base"))

@@ -49,9 +49,11 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...]) -> Column:
     """Character n-grams of both parts, marked with the part and with its ends."""
     def of(tag: str, text: Column) -> Column:
         s = F.concat(F.lit("^"), text, F.lit("$"))
-        return F.flatten(F.array(*[
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(tag), F.substr(s, i, F.lit(n))))
-            for n in sizes]))
+
+        def long(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(tag), F.substr(s, i, F.lit(n))))
+        return F.flatten(F.array(*map(long, sizes)))
+
     return F.concat(of("h", host), of("p", path))
 
 
