@@ -54,10 +54,13 @@ def with_t_stat(df: DataFrame) -> DataFrame:
         "t_stat": F.when(ok, F.col("mean") / (F.col("std") / F.sqrt(F.col("n").cast("double")))).otherwise(0.0)})
 
 
-def baseline(net: DataFrame, by: Sequence[str], ret: str = "net_r") -> DataFrame:
+def baseline(net: DataFrame, by: Sequence[str], ret: str = "net_r", groups: DataFrame | None = None) -> DataFrame:
+    """Metrics per group. With ``groups`` (all wanted key combinations) a group without events has n = 0 and
+    null metrics."""
     r = F.col(ret)
-    return net.groupBy(*by).agg(F.count(r).alias("n"), F.avg((r > 0).cast("double")).alias("win_rate"),
-                                F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"))
+    a = net.groupBy(*by).agg(F.count(r).alias("n"), F.avg((r > 0).cast("double")).alias("win_rate"),
+                             F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"))
+    return a if groups is None else groups.select(*by).join(a, list(by), "left").na.fill(0, ["n"])
 
 
 # --- bootstrap ---------------------------------------------------------------------------------------
@@ -87,6 +90,7 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
                     seed: int, block: int = BLOCK) -> DataFrame:
     """Mean of each of ``iters`` resamples with replacement of size n: one array ``means`` per group.
 
+    ``order`` must be unique inside a group: equal keys would let the draws fall on either value.
     A group of up to ``block`` values is one block. A larger group is split by hash; for every iteration
     the n draws are first divided over its blocks (multinomial in the block sizes) and then drawn inside
     each block, which has exactly the distribution of drawing from the whole group. A task holds one
@@ -202,10 +206,12 @@ def fold_stats(ev: DataFrame, by: Sequence[str], train: int, test: int, step: in
 
 def walkforward(ev: DataFrame, by: Sequence[str], train: int = 60, test: int = 15, step: int = 15,
                 modes: dict[str, float] | None = None, ret: str = "gross_r", ts: str = "ts",
-                iters: int = 0, seed: int = 42, order: Sequence[str] = ("ts",)) -> DataFrame:
+                iters: int = 0, seed: int = 42, order: Sequence[str] = ("ts",), groups: DataFrame | None = None) -> DataFrame:
     """Per (group, mode): pooled n and mean over folds, folds with a positive mean, their share, and with
-    ``iters`` the bootstrap of the pooled returns (seed + 17). An empty fold counts as mean 0."""
+    ``iters`` the bootstrap of the pooled returns (seed + 17; ``order`` must be unique in a group). An empty fold
+    counts as mean 0. Groups too short for a fold, and those of ``groups`` without events, have zeros."""
     by = list(by)
+    modes = modes or COST_MODES
     fs = with_cost_modes(fold_stats(ev, by, train, test, step, ret, ts), modes, "mean", "_m")
     pos = F.count(F.when(F.col("_m") > 0, 1))
     n = F.sum("n")
@@ -214,6 +220,8 @@ def walkforward(ev: DataFrame, by: Sequence[str], train: int = 60, test: int = 1
         F.when(n > 0, F.sum(F.col("_m") * F.col("n")) / n).otherwise(0.0).alias("wf_mean"),
         pos.alias("positive_folds"), F.count(F.lit(1)).alias("total_folds"),
         (100.0 * pos / F.count(F.lit(1))).alias("positive_pct"))
+    every = (ev if groups is None else groups).select(*by).distinct()
+    agg = expand(every, mode=list(modes)).join(agg, [*by, "mode"], "left").na.fill(0)
     if iters:
         pooled = assign_folds(ev, by, train, test, step, ts)
         b = bootstrap_means(pooled, by, ret, [*order, "fold_id"], iters, seed + 17)

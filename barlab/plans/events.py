@@ -12,8 +12,9 @@ from ..operators.blocks import block_window
 from ..operators.exits import EXIT_FIELDS, first_touch, path_extreme
 from ..operators.store import stored
 from ..operators.thin import thin
+from ..sources.readers import small
 from .frame import KEYS, FrameConfig, blocked_frame
-from .rules import PARAMS, Rule, Signal, available, frame_columns, needed_columns, rule_table, rules, signal_rows, signal_table
+from .rules import BEST, PARAMS, Rule, Signal, available, best_of_day, frame_columns, history, needed_columns, rule_table, rules, signal_rows, signal_table
 
 SHORT_HOLD = 4  # bars held by the variable-horizon rule after a tail turns neutral
 VARIABLE = "regime_moves_10"
@@ -32,7 +33,8 @@ def _key(leg, offset, horizon):
 
 def with_paths(x: DataFrame, rs: list[Rule]) -> DataFrame:
     """Prices each rule needs, as window columns inside the block: entry, exit and path extremes for
-    every distinct (leg, entry lag, holding period), and the bar path when some rule has exits."""
+    every distinct (leg, entry lag, holding period), and for every (leg, entry lag) of a rule with exits the bar
+    path after its entry bar, with the range and slope at that bar."""
     w = block_window(KEYS)
     entries = []
     for leg, o, h in _legs(rs):
@@ -42,13 +44,20 @@ def with_paths(x: DataFrame, rs: list[Rule]) -> DataFrame:
             W.lead(px, w, o).alias("entry"), W.lead(px, w, o + h).alias("exit"),
             F.min(px).over(path).alias("lowest"), F.max(px).over(path).alias("highest"))]
     x = x.withColumn("_px", F.create_map(*entries))
-    longest = max((r.horizon for r in rs if r.exits), default=0)
-    if longest:
-        have = set(x.columns)
-        bar = F.struct(F.col("close_btc").alias("px"), F.col("eth_slope_sign_1h").alias("slope"), *[
+    have, paths = set(x.columns), []
+    for leg, o in sorted({(r.leg, r.offset) for r in rs if r.exits}):
+        longest = max(r.horizon for r in rs if r.exits and (r.leg, r.offset) == (leg, o))
+        bar = F.struct(F.col(f"close_{leg}").alias("px"), F.col("eth_slope_sign_1h").alias("slope"), *[
             (F.col(n) if n in have else F.lit(None).cast("double")).alias(n) for n in WATCHED])
-        x = x.withColumn("_path", F.collect_list(bar).over(w.rowsBetween(1, longest)))
-    return x
+        paths += [F.lit(f"{leg}|{o}"), F.struct(
+            F.collect_list(bar).over(w.rowsBetween(o + 1, o + longest)).alias("bars"),
+            W.lead(F.col("atr14_btc"), w, o).alias("atr"), W.lead(F.col("eth_slope_sign_1h"), w, o).alias("slope"))]
+    return x.withColumn("_path", F.create_map(*paths)) if paths else x
+
+
+def bars_ahead(rs: list[Rule]) -> int:
+    """Future bars a block needs for the prices of these rules."""
+    return max((r.offset + max(r.horizon, SHORT_HOLD if r.signal == VARIABLE else 0) for r in rs), default=0)
 
 
 def _exit_table(spark, rs: list[Rule]) -> DataFrame:
@@ -62,12 +71,14 @@ def _exit_table(spark, rs: list[Rule]) -> DataFrame:
 def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS,
                         extra: dict[str, Signal] | None = None) -> DataFrame:
     """Events of all rules: pair, rule_id, family, ts, idx, signal_dir, entry_px, exit_px, fwd_r, gross_r,
-    mae_proxy."""
+    mae_proxy. The halo of ``x`` must hold ``bars_ahead(rs)`` bars of future and ``rules.history`` of past."""
     spark = x.sparkSession
     cols = x.columns
     exits = [r for r in rs if r.exits]
     x = with_paths(x, rs)
-    keep = ["_px", "spread_regime", "atr14_btc", "eth_slope_sign_1h"] + (["_path"] if exits else [])
+    keep = ["_px", "spread_regime"] + (["_path"] if exits else [])
+    if any(r.signal == BEST for r in rs):
+        keep.append("eth_slope_abs_pct_1h")
     table = signal_table(cols, params) | (extra or {})
     hits = signal_rows(x, rs, params, keep=[*keep, "R1"], table=table)
     # each signal carries only the prices its own rules read
@@ -84,10 +95,12 @@ def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS,
         hits = hits.withColumn("_path", F.when(F.col("signal").isin(with_exit), F.col("_path")))
     # the frame is evaluated once; what follows works on the firing bars only
     hits = stored(hits)
+    if any(r.signal == BEST for r in rs):
+        hits = best_of_day(hits)
     dim = rule_table(spark, rs, table)
 
     # rules sharing signal and holding period share one thinning
-    gaps = F.broadcast(dim.select("signal", "horizon", "pre_gap").distinct())
+    gaps = small(dim.select("signal", "horizon", "pre_gap").distinct())
     cand = hits.join(gaps, "signal")
     by = [*KEYS, "signal", "horizon"]
     if any(table[r.signal].gap != "H" for r in rs):
@@ -96,7 +109,7 @@ def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS,
         cand = cand.where(F.col("pre_gap").isNull()).unionByName(pre)
     kept = thin(cand, by, F.col("horizon"))
 
-    e = kept.drop("pre_gap").join(F.broadcast(dim), ["signal", "horizon"])
+    e = kept.drop("pre_gap").join(small(dim), ["signal", "horizon"])
     to_neutral = (F.col("signal") == VARIABLE) & ne(F.col("R1"), 0) & eq(F.col("spread_regime"), 0)
     hold = F.when(to_neutral, SHORT_HOLD).otherwise(F.col("horizon"))
     e = e.withColumn("p", F.element_at("_px", _key(F.col("leg"), F.col("offset"), hold)))
@@ -106,10 +119,11 @@ def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS,
     h = hour_of(F.col("ts"))
     e = e.where((h >= F.col("h_from")) & (h < F.col("h_to")))
     if exits:
-        e = e.join(F.broadcast(_exit_table(spark, exits)), "rule_id", "left")
+        e = e.join(small(_exit_table(spark, exits)), "rule_id", "left")
+        e = e.withColumn("_path", F.element_at("_path", F.concat_ws("|", "leg", "offset")))
         spec = F.struct(*[f.split()[0] for f in EXIT_FIELDS.split(", ")])
-        early = first_touch(F.slice(F.col("_path"), F.lit(1), F.col("horizon")), F.col("signal_dir"),
-                            F.col("entry_px"), F.col("atr14_btc"), F.col("eth_slope_sign_1h"), spec)
+        early = first_touch(F.slice(F.col("_path.bars"), F.lit(1), F.col("horizon")), F.col("signal_dir"),
+                            F.col("entry_px"), F.col("_path.atr"), F.col("_path.slope"), spec)
         e = e.withColumn("exit_px", F.when(F.col("has_exit"), F.coalesce(early, "exit_px")).otherwise(F.col("exit_px")))
     fwd = F.col("exit_px") / F.col("entry_px") - 1.0
     return e.select(*KEYS, "rule_id", "family", "ts", "idx", "signal_dir", "entry_px", "exit_px",
@@ -125,7 +139,8 @@ def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str
     """Pair bars -> events of the listed rules (all by default).
 
     A user's own rule is a ``Signal`` (mask and direction over frame columns) in ``extra`` and a ``Rule``
-    that names it in ``extra_rules``.
+    that names it in ``extra_rules``. Block halos follow from the rules: their longest lag and holding period ahead,
+    what their windows reach back over behind.
     """
     rs = [*rules(numbers), *extra_rules]
     offer = frame_columns(set().union(*[s.columns for s in (slow or {}).values()]))
@@ -139,6 +154,7 @@ def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str
     only |= {f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")}
     if any(r.exits for r in rs):
         only |= set(WATCHED)
+    c = c.small(ahead=bars_ahead(rs), rule_back=history(params, [table[r.signal] for r in rs]))
     return events_from_blocked(blocked_frame(pair, c, slow, label, only), rs, params, extra)
 
 

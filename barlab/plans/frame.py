@@ -43,8 +43,8 @@ class FrameConfig:
     block: int = 46080
     slow_block: int = 20000
     chunk: int = 86400 * 14     # seconds per chunk for running values
-    rule_back: int = 200        # history the rules themselves look back over
-    ahead: int = 352            # bars of future: longest holding period, and the rest of a day
+    rule_back: int = 200        # history that windows over the frame look back over; events derive it from their rules
+    ahead: int = 0              # bars of future in a block; events derive it from their rules
 
     def small(self, **kw) -> "FrameConfig":
         return replace(self, **kw)

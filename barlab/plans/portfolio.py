@@ -172,7 +172,7 @@ def combine(events: DataFrame, scenario: Sequence[str], cost: float, max_gross:
     """
     scenario = list(scenario)
     if cooldown:
-        rows = _with_cooldown(events, scenario, cooldown * step, cost, max_gross, max_asset, max_weight, stop)
+        rows = _with_cooldown(events, scenario, cooldown * step, cost, max_gross, max_asset, max_weight, stop, signed_weights)
     else:
         rows = risk_clamp(events, [*scenario, "ts"], max_gross, max_asset, max_weight)
     wgt = F.col("weight") if signed_weights else F.abs("weight")
@@ -183,7 +183,7 @@ def combine(events: DataFrame, scenario: Sequence[str], cost: float, max_gross:
     return t, rows.join(t.select(*scenario, "ts"), [*scenario, "ts"], "left_semi")
 
 
-def _with_cooldown(events, scenario, secs, cost, max_gross, max_asset, max_weight, stop):
+def _with_cooldown(events, scenario, secs, cost, max_gross, max_asset, max_weight, stop, signed_weights):
     """Executed trades decide which later candidates are still cooling down, so this walk is ordered.
     State dies at a day start that follows a quiet stretch of ``secs``; the walk runs per such stretch."""
     times = stored(events.select(*scenario, "ts").distinct())
@@ -222,7 +222,8 @@ def _with_cooldown(events, scenario, secs, cost, max_gross, max_asset, max_weigh
             if g.empty:
                 continue
             last.update(dict.fromkeys(g["rule_id"], ts))
-            pnl[day_] = pnl.get(day_, 0.0) + float((g["weight"] * (g["gross_r"] - cost)).sum())
+            used = g["weight"] if signed_weights else g["weight"].abs()
+            pnl[day_] = pnl.get(day_, 0.0) + float((used * (g["gross_r"] - cost)).sum())
             out.append(g)
         return pd.concat(out)[names] if out else p.iloc[:0].reindex(columns=names)
 

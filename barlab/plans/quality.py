@@ -89,14 +89,18 @@ def feature_summary(joined: DataFrame, names: Sequence[str], by: Sequence[str] =
 
 def feature_coverage(x: DataFrame, names: Sequence[str]) -> DataFrame:
     """Valid rows, share of active rows for near-binary features, mean and maximum for the others."""
+    ends = x.agg(*[e for n in names for e in (F.min(n).alias(f"{n}|lo"), F.max(n).alias(f"{n}|hi"))]).first()
+    few = {}  # at most three values: no two between the smallest and the largest differ
+    for n in names:
+        inner = F.when((F.col(n) > F.lit(ends[f"{n}|lo"])) & (F.col(n) < F.lit(ends[f"{n}|hi"])), F.col(n))
+        few[n] = F.coalesce(F.min(inner) == F.max(inner), F.lit(True))
     a = x.agg(*[e for n in names for e in (
-        F.count(n).alias(f"{n}|valid"),
-        F.approx_count_distinct(n).alias(f"{n}|distinct"), F.count(F.when(F.col(n) > 0, 1)).alias(f"{n}|active"),
+        F.count(n).alias(f"{n}|valid"), few[n].alias(f"{n}|few"), F.count(F.when(F.col(n) > 0, 1)).alias(f"{n}|active"),
         F.avg(n).alias(f"{n}|mean"), F.max(n).alias(f"{n}|max"))])
     arr = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"{n}|valid").alias("valid"),
-                             F.when(F.col(f"{n}|distinct") <= 3, F.col(f"{n}|active") * 100.0 / F.nullif(F.col(f"{n}|valid"), F.lit(0))).alias("active_pct"),
-                             F.when(F.col(f"{n}|distinct") > 3, F.col(f"{n}|mean")).alias("mean"),
-                             F.when(F.col(f"{n}|distinct") > 3, F.col(f"{n}|max").cast("double")).alias("max")) for n in names])
+                             F.when(F.col(f"{n}|few"), F.col(f"{n}|active") * 100.0 / F.nullif(F.col(f"{n}|valid"), F.lit(0))).alias("active_pct"),
+                             F.when(~F.col(f"{n}|few"), F.col(f"{n}|mean")).alias("mean"),
+                             F.when(~F.col(f"{n}|few"), F.col(f"{n}|max").cast("double")).alias("max")) for n in names])
     return a.select(F.explode(arr).alias("f")).select("f.*")
 
 

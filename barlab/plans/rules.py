@@ -22,21 +22,19 @@ from .frame import KEYS
 # ---------------------------------------------------------------------------------------------------
 # Holding period in bars where it is not 8, by rule number
 HORIZON = {
-    4: "62 64 246",
-    6: "15 18 19 22 23 26 27 28 29 30 37 38 39 40 41 42 43 44 45 46 47 48 49 50 51 52 53 54 55 56 59 60 61 "
-       "74 75 87 89 92 94 96 99 121 122 123 124 147 235 236",
-    10: "90 95 100",
-    12: "125 126 127 129 130 131 132 133 134 135 136 137 138 139 144 167 169 170 171 172 173 175 180 187 191 "
-        "192 202 203 204 205 210 212 217 218 219 220 232 233 234 240 241 247 249 251 254 257 260 263 264",
-    24: "128 248 252 255 258 259 262",
-    48: "261",
+    4: (62, 64, 246),
+    6: (15, 18, 19, 22, 23, 26, 27, 28, 29, 30, 37, 38, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48, 49, 50, 51, 52, 53, 54, 55, 56, 59, 60, 61, 74, 75, 87, 89, 92, 94, 96, 99, 121, 122, 123, 124, 147, 235, 236),
+    10: (90, 95, 100),
+    12: (125, 126, 127, 129, 130, 131, 132, 133, 134, 135, 136, 137, 138, 139, 144, 167, 169, 170, 171, 172, 173, 175, 180, 187, 191, 192, 202, 203, 204, 205, 210, 212, 217, 218, 219, 220, 232, 233, 234, 240, 241, 247, 249, 251, 254, 257, 260, 263, 264),
+    24: (128, 248, 252, 255, 258, 259, 262),
+    48: (261,),
 }
 # One-bar entry lag, lead-leg trades, day-parity and session subsamples, by rule number
-ENTRY_LAG = "61 76 161 171 183 184 185 186 187 240 241 249 259 260"
-TRADES_LEAD = "60 64 65 67 70 71 73 75 77 79 83 84 85"
-ODD_DAYS = "68 70 159 169 181"
-EVEN_DAYS = "69 71 160 170 182"
-SESSIONS = {(0, 8): "80 83 165 221 223", (8, 16): "81 84 164", (16, 24): "82 85 166", (12, 20): "222 224"}
+ENTRY_LAG = (61, 76, 161, 171, 183, 184, 185, 186, 187, 240, 241, 249, 259, 260)
+TRADES_LEAD = (60, 64, 65, 67, 70, 71, 73, 75, 77, 79, 83, 84, 85)
+ODD_DAYS = (68, 70, 159, 169, 181)
+EVEN_DAYS = (69, 71, 160, 170, 182)
+SESSIONS = {(0, 8): (80, 83, 165, 221, 223), (8, 16): (81, 84, 164), (16, 24): (82, 85, 166), (12, 20): (222, 224)}
 # Exit parameters by rule number
 EXITS = {
     198: dict(atr_stop=1.5), 199: dict(tp_bps=25), 200: dict(trail_bps=15), 201: dict(atr_stop=1.5, tp_bps=25),
@@ -51,19 +49,20 @@ EXITS = {
 }
 
 
-def _ids(text: str) -> list[int]:
-    return [int(t) for t in text.split()]
-
-
 @dataclass(frozen=True)
 class Signal:
     """``mask`` selects bars, ``direction`` gives -1/+1 (or null). ``gap`` thins candidates before the
     holding period does: 'H' = the holding period (nothing extra to do), an int, or 'H+k'; ``tier`` gives a
-    per-row gap expression for two-tier thinning, bounded by ``gap``."""
+    per-row gap expression for two-tier thinning, bounded by ``gap``.
+
+    A signal of the user's own may look back: ``helpers`` names window columns over ``block_window(KEYS)``, in
+    order, that mask and direction then read, and ``back`` says how many bars they reach back together."""
     mask: Column
     direction: Column
     gap: int | str = "H"
     tier: Column | None = None
+    helpers: dict[str, Column] = field(default_factory=dict)
+    back: int = 0
 
 
 @dataclass(frozen=True)
@@ -93,6 +92,13 @@ PARAMS = {
 c = F.col
 
 
+def history(params: dict = PARAMS, signals: Iterable[Signal] = ()) -> int:
+    """Bars the layers below look back together: lags and windows, then windows over conditions, then windows
+    over those; and the users' own signals on top of frame columns."""
+    one = max(36, params[113]["lookback"] + 1)
+    return max(one + max(72, params[111]["z_window"]) + 5, max((s.back for s in signals), default=0))
+
+
 def _layer_one(have: set[str], params: dict) -> dict[str, Column]:
     """Lags and short windows of frame columns."""
     w = block_window(KEYS)
@@ -261,7 +267,7 @@ def _signals(have: set[str], params: dict) -> dict[str, Signal]:
         "spread_slope": two_sided(long97, short97, gap=8),
         "slope_after_shock": Signal(between(ap, .20, .90) & ~c("after_shock") & nz, S),
         "fresh_flip_hours": Signal(in_hours(ts, (6, 8), (12, 14)) & c("recent_flip") & agree, S),
-        "best_two_a_day": Signal(c("top2_day") & cand100, S),
+        BEST: Signal(cand100, S),
         "spread_tails": two_sided(lt(sp, .10), ge(sp, .90)),
         "spread_turns_neutral": Signal(c("on_neutral"), L),
         "legs_disagree_lead": Signal(ne(S, B) & nz & ne(B, 0.0), S),
@@ -402,66 +408,66 @@ def _signals(have: set[str], params: dict) -> dict[str, Signal]:
 # Which rules use which signal, by family and rule number
 CATALOGUE: dict[str, dict[str, str]] = {
     "cross_asset_regime": {
-        "slope_afternoon": "86", "regime_moves_12": "87", "slope_mid_vol": "88", "slope_z_one": "89",
-        "strong_slope_calm": "90", "regime_moves_10": "91", "slope_confirmed": "92", "slope_no_shock": "93",
-        "slope_sessions": "94", "slope_two_tier": "95", "tail_fade_return": "96", "spread_slope": "97",
-        "slope_after_shock": "98", "fresh_flip_hours": "99", "best_two_a_day": "100", "spread_tails": "19",
-        "spread_turns_neutral": "29", "legs_disagree_lead": "30", "slope_neutral": "37", "slope_long_tail": "38",
-        "flip_lead": "39 60 61 64 65 67 70 71 73 75 77 79 83 84 85", "legs_agree": "40", "legs_disagree_base": "41",
-        "flip_base": "59 62 63 66 68 69 72 74 76 78 80 81 82", "spread_extreme_cool": "124",
-        "spread_stretched": "135", "spread_stretched_tight": "136", "ranging_vol_spread": "137",
-        "vol_low_spread": "139", "flip_below_vwap": "242", "flip_oi_faster": "250 251 252 259", "bull_oi_faster": "262"},
-    "shock_structure": {"wide_heavy_bar": "27", "base_shock": "42", "base_shock_fade": "43", "lead_shock": "44",
-                        "lead_shock_alone": "45", "both_shock": "46"},
-    "volatility_conditioning": {"wide_base": "47", "after_narrow": "48", "expansion": "49", "wide_lead": "50"},
-    "mean_reversion": {"dip_confirmed": "15", "dip_shock": "18", "dip_shock_neutral": "22", "dip_neutral": "23",
-                       "dip_mid": "26", "low_z_neutral": "51", "high_z_neutral": "52", "far_z_fade": "53",
-                       "z_fade_trending": "130", "z_follow_ranging": "131", "low_z": "235", "high_z": "236",
-                       "base_4h_stretch": "253 254 255", "lead_4h_stretch": "261"},
-    "range_structure": {"failed_break_2": "28", "range_break": "54", "failed_break_1": "55", "three_bars": "56",
-                        "filtered_break": "113"},
-    "volatility_state": {"vol_band": "101", "compressed_break": "102", "shock_decay": "103", "ratio_band": "104",
-                         "ratio_band_param": "112", "rv_trending": "128", "lead_atr_trending": "129",
-                         "atr_ranging": "133", "lead_dist_volatile": "134", "lead_atr_funding_ranging": "138"},
-    "efficiency_mean_reversion": {"choppy_fade": "105", "efficient_follow": "106", "efficiency_switch": "107"},
-    "cross_asset_divergence": {"efficiency_gap": "108", "lead_vol_lead": "109", "opposite_sides": "110",
-                               "spread_z_fade": "111", "base_leads_1h": "245", "flip_decoupled": "256 257 258 260",
-                               "bull_flip_decoupled": "263"},
-    "funding_regime": {"crowded_short_tail": "121", "funding_flip": "122", "spread_tail_cool": "123",
-                       "funding_trending": "127", "funding_volatile": "132", "funding_washed": "140",
-                       "dn_crowded_85": "141", "funding_gap": "142", "funding_agrees": "143", "dn_crowded_3h": "144",
-                       "dn_crowded_80": "174 175", "funding_positive_6h": "238"},
-    "momentum": {"z_high_trending": "125"}, "cross_asset": {"lead_dist_trending": "126"},
-    "volume_state": {"flip_volume_80": "145 159 160 161 164 165 166 167 169 170 171", "flip_volume_75": "162 172",
-                     "flip_volume_85": "163 173", "flip_lead_volume": "168", "break_volume": "146",
-                     "quiet_move_fade": "147"},
-    "oi_liq": {"flip_oi": "176 181 182 183 225", "long_liq_90": "177 184 191 221 222 240",
-               "short_liq_90": "178 185 192 223 224 241", "long_liq_80": "188", "long_liq_95": "189",
-               "short_liq_80": "190", "lead_long_liq": "193", "lead_short_liq": "194", "liq_imbalanced": "195",
-               "both_long_liq": "196", "flip_oi_liq": "197", "dn_long_liq": "179 186", "flip_volume_liq": "180 187",
-               "flip_against_funding": "226", "long_liq_bear": "227", "short_liq_bull": "228",
-               "bear_oi_rising": "239", "long_dominant": "243 246 247 248 249", "oi_velocity_high": "244",
-               "short_dominant": "264"},
-    "direction_split": {"flip_up": "215", "flip_dn": "216", "flip_volume_up": "217", "flip_volume_dn": "218",
-                        "flip_volume_liq_up": "219", "flip_volume_liq_dn": "220"},
-    "regime_conditioning": {"flip_trending": "229", "flip_ranging": "230", "flip_volatile": "231",
-                            "flip_volume_trending": "232", "flip_volume_volatile": "233",
-                            "flip_volume_liq_trending": "234"},
-    "vol_compression": {"flip_compressed": "237"},
-    "exit_logic": {"flip_lead": "198 199 200 201 211 214", "flip_volume_80": "202 203 204 205 212",
-                   "long_liq_90": "206 207 213", "short_liq_90": "208", "dn_long_liq": "209", "flip_volume_liq": "210"},
+        "slope_afternoon": (86,), "regime_moves_12": (87,), "slope_mid_vol": (88,), "slope_z_one": (89,),
+        "strong_slope_calm": (90,), "regime_moves_10": (91,), "slope_confirmed": (92,), "slope_no_shock": (93,),
+        "slope_sessions": (94,), "slope_two_tier": (95,), "tail_fade_return": (96,), "spread_slope": (97,),
+        "slope_after_shock": (98,), "fresh_flip_hours": (99,), "best_two_a_day": (100,), "spread_tails": (19,),
+        "spread_turns_neutral": (29,), "legs_disagree_lead": (30,), "slope_neutral": (37,), "slope_long_tail": (38,),
+        "flip_lead": (39, 60, 61, 64, 65, 67, 70, 71, 73, 75, 77, 79, 83, 84, 85), "legs_agree": (40,), "legs_disagree_base": (41,),
+        "flip_base": (59, 62, 63, 66, 68, 69, 72, 74, 76, 78, 80, 81, 82), "spread_extreme_cool": (124,),
+        "spread_stretched": (135,), "spread_stretched_tight": (136,), "ranging_vol_spread": (137,),
+        "vol_low_spread": (139,), "flip_below_vwap": (242,), "flip_oi_faster": (250, 251, 252, 259), "bull_oi_faster": (262,)},
+    "shock_structure": {"wide_heavy_bar": (27,), "base_shock": (42,), "base_shock_fade": (43,), "lead_shock": (44,),
+                        "lead_shock_alone": (45,), "both_shock": (46,)},
+    "volatility_conditioning": {"wide_base": (47,), "after_narrow": (48,), "expansion": (49,), "wide_lead": (50,)},
+    "mean_reversion": {"dip_confirmed": (15,), "dip_shock": (18,), "dip_shock_neutral": (22,), "dip_neutral": (23,),
+                       "dip_mid": (26,), "low_z_neutral": (51,), "high_z_neutral": (52,), "far_z_fade": (53,),
+                       "z_fade_trending": (130,), "z_follow_ranging": (131,), "low_z": (235,), "high_z": (236,),
+                       "base_4h_stretch": (253, 254, 255), "lead_4h_stretch": (261,)},
+    "range_structure": {"failed_break_2": (28,), "range_break": (54,), "failed_break_1": (55,), "three_bars": (56,),
+                        "filtered_break": (113,)},
+    "volatility_state": {"vol_band": (101,), "compressed_break": (102,), "shock_decay": (103,), "ratio_band": (104,),
+                         "ratio_band_param": (112,), "rv_trending": (128,), "lead_atr_trending": (129,),
+                         "atr_ranging": (133,), "lead_dist_volatile": (134,), "lead_atr_funding_ranging": (138,)},
+    "efficiency_mean_reversion": {"choppy_fade": (105,), "efficient_follow": (106,), "efficiency_switch": (107,)},
+    "cross_asset_divergence": {"efficiency_gap": (108,), "lead_vol_lead": (109,), "opposite_sides": (110,),
+                               "spread_z_fade": (111,), "base_leads_1h": (245,), "flip_decoupled": (256, 257, 258, 260),
+                               "bull_flip_decoupled": (263,)},
+    "funding_regime": {"crowded_short_tail": (121,), "funding_flip": (122,), "spread_tail_cool": (123,),
+                       "funding_trending": (127,), "funding_volatile": (132,), "funding_washed": (140,),
+                       "dn_crowded_85": (141,), "funding_gap": (142,), "funding_agrees": (143,), "dn_crowded_3h": (144,),
+                       "dn_crowded_80": (174, 175), "funding_positive_6h": (238,)},
+    "momentum": {"z_high_trending": (125,)}, "cross_asset": {"lead_dist_trending": (126,)},
+    "volume_state": {"flip_volume_80": (145, 159, 160, 161, 164, 165, 166, 167, 169, 170, 171), "flip_volume_75": (162, 172),
+                     "flip_volume_85": (163, 173), "flip_lead_volume": (168,), "break_volume": (146,),
+                     "quiet_move_fade": (147,)},
+    "oi_liq": {"flip_oi": (176, 181, 182, 183, 225), "long_liq_90": (177, 184, 191, 221, 222, 240),
+               "short_liq_90": (178, 185, 192, 223, 224, 241), "long_liq_80": (188,), "long_liq_95": (189,),
+               "short_liq_80": (190,), "lead_long_liq": (193,), "lead_short_liq": (194,), "liq_imbalanced": (195,),
+               "both_long_liq": (196,), "flip_oi_liq": (197,), "dn_long_liq": (179, 186), "flip_volume_liq": (180, 187),
+               "flip_against_funding": (226,), "long_liq_bear": (227,), "short_liq_bull": (228,),
+               "bear_oi_rising": (239,), "long_dominant": (243, 246, 247, 248, 249), "oi_velocity_high": (244,),
+               "short_dominant": (264,)},
+    "direction_split": {"flip_up": (215,), "flip_dn": (216,), "flip_volume_up": (217,), "flip_volume_dn": (218,),
+                        "flip_volume_liq_up": (219,), "flip_volume_liq_dn": (220,)},
+    "regime_conditioning": {"flip_trending": (229,), "flip_ranging": (230,), "flip_volatile": (231,),
+                            "flip_volume_trending": (232,), "flip_volume_volatile": (233,),
+                            "flip_volume_liq_trending": (234,)},
+    "vol_compression": {"flip_compressed": (237,)},
+    "exit_logic": {"flip_lead": (198, 199, 200, 201, 211, 214), "flip_volume_80": (202, 203, 204, 205, 212),
+                   "long_liq_90": (206, 207, 213), "short_liq_90": (208,), "dn_long_liq": (209,), "flip_volume_liq": (210,)},
 }
 
 
 def rules(numbers: Iterable[int] | None = None) -> list[Rule]:
-    horizon = {n: h for h, t in HORIZON.items() for n in _ids(t)}
-    lag, lead = set(_ids(ENTRY_LAG)), set(_ids(TRADES_LEAD))
-    odd, even = set(_ids(ODD_DAYS)), set(_ids(EVEN_DAYS))
-    hours = {n: h for h, t in SESSIONS.items() for n in _ids(t)}
+    horizon = {n: h for h, t in HORIZON.items() for n in t}
+    lag, lead = set(ENTRY_LAG), set(TRADES_LEAD)
+    odd, even = set(ODD_DAYS), set(EVEN_DAYS)
+    hours = {n: h for h, t in SESSIONS.items() for n in t}
     want = None if numbers is None else set(numbers)
     return sorted((Rule(n, fam, sig, horizon.get(n, 8), int(n in lag), "eth" if n in lead else "btc",
                         1 if n in odd else 0 if n in even else -1, hours.get(n), EXITS.get(n, {}))
-                   for fam, sigs in CATALOGUE.items() for sig, t in sigs.items() for n in _ids(t)
+                   for fam, sigs in CATALOGUE.items() for sig, t in sigs.items() for n in t
                    if want is None or n in want), key=lambda r: r.number)
 
 
@@ -475,21 +481,23 @@ def signal_table(columns: Iterable[str], params: dict = PARAMS) -> dict[str, Sig
     return _signals(set(columns), params)
 
 
-def _day_rank(x: DataFrame) -> DataFrame:
-    """First-come rank inside the day by slope strength, for the two-a-day rule. A day lies in one or
-    two blocks; the rank partitions by day over the block's rows, so the frame's halo must hold a day."""
-    S, B = c("eth_slope_sign_1h"), c("btc_slope_sign_1h")
-    cand = (eq(B, S) & ne(S, 0.0) & ge(c("eth_slope_abs_pct_1h"), .75) & between(c("ret1_abs_btc_pct"), .30, .85))
-    x = x.withColumns({"_day": day_of(c("ts")), "_score": F.when(cand, c("eth_slope_abs_pct_1h"))})
-    wd = Window.partitionBy(*KEYS, "blk", "_day").orderBy(F.col("_score").desc_nulls_last(), "idx")
-    return x.withColumn("top2_day", c("_score").isNotNull() & (F.row_number().over(wd) <= 2))
+BEST = "best_two_a_day"
+
+
+def best_of_day(hits: DataFrame, score: str = "eth_slope_abs_pct_1h", top: int = 2) -> DataFrame:
+    """Candidates of the two-a-day rule: the strongest two of each (pair, day), the earlier one on a tie. Only
+    the rows of that signal are shuffled, and a day's candidates are at most its bars."""
+    day = Window.partitionBy(*KEYS, day_of(c("ts"))).orderBy(F.col(score).desc_nulls_last(), "idx")
+    best = hits.where(c("signal") == BEST).withColumn("_n", F.row_number().over(day)).where(c("_n") <= top).drop("_n")
+    return hits.where(c("signal") != BEST).unionByName(best)
 
 
 def signal_rows(x: DataFrame, rs: list[Rule], params: dict = PARAMS, keep: Iterable[str] = (),
                 table: dict[str, Signal] | None = None) -> DataFrame:
     """Blocked frame -> one long row per (bar, signal) that fires: pair, ts, idx, signal, dir, pre_gap.
 
-    ``keep`` lists further columns to carry. Halo rows are dropped here.
+    ``keep`` lists further columns to carry. Halo rows are dropped here. Candidates of the two-a-day rule are
+    not yet cut to two (``best_of_day``).
     """
     have = set(x.columns)
     names = sorted({r.signal for r in rs})
@@ -504,8 +512,9 @@ def signal_rows(x: DataFrame, rs: list[Rule], params: dict = PARAMS, keep: Itera
         used = {n: e for n, e in layer.items() if n in need}
         if used:
             x = x.withColumns(used)
-    if "best_two_a_day" in names:
-        x = _day_rank(x)
+    for n in names:
+        for name, e in table[n].helpers.items():
+            x = x.withColumn(name, e)
     x = x.where("own")
     hits = []
     for n in names:
@@ -545,8 +554,8 @@ def needed_columns(rs: list[Rule], have: Iterable[str], table: dict[str, Signal]
     for r in rs:
         s = table[r.signal]
         todo |= names(s.mask) | names(s.direction) | (names(s.tier) if s.tier is not None else set())
-        if r.signal == "best_two_a_day":
-            todo |= {"eth_slope_abs_pct_1h", "ret1_abs_btc_pct", "btc_slope_sign_1h"}
+        for e in s.helpers.values():
+            todo |= names(e)
     while todo:
         n = todo.pop()
         if n in seen:

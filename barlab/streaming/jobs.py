@@ -116,10 +116,11 @@ def run_available(sdf: DataFrame, checkpoint: str, batch: Callable[[DataFrame, i
     q.awaitTermination()
 
 
-def run_to_table(sdf: DataFrame) -> DataFrame:
-    """Run a stream over what is available and read its output table."""
+def run_to_table(sdf: DataFrame, root: str | None = None) -> DataFrame:
+    """Run a stream over what is available and read its output table. A further call with the same ``root`` goes
+    on from the checkpoint of the one before."""
     spark = sdf.sparkSession
-    root = f"{shared_folder(spark)}/barlab/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_folder(spark)}/barlab/stream-{uuid.uuid4().hex}"
     run_available(sdf, f"{root}/checkpoint", path=f"{root}/out")
     return spark.read.schema(sdf.schema).parquet(f"{root}/out")
 
@@ -136,11 +137,8 @@ def upsert_sink(table: str, keys: Sequence[str], version: str) -> Callable[[Data
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = f"{table}/v={n}"
-        prev = f"{table}/v={n - 1}"
-        try:
-            base = spark.read.parquet(prev)
-        except Exception:
-            base = batch.limit(0)
+        # batches are numbered from 0; a later one must find the snapshot before it, so a failed read stops the query
+        base = batch.limit(0) if n == 0 else spark.read.schema(batch.schema).parquet(f"{table}/v={n - 1}")
         latest(base.unionByName(batch), keys, F.col(version)).write.mode("overwrite").parquet(new)
     return write
 

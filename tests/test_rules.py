@@ -325,3 +325,70 @@ def test_missing_inputs_are_named(spark, data):
     pair = spark.createDataFrame(f[["pair", "ts"] + [f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")]])
     with pytest.raises(ValueError, match="funding_flip"):
         EV.build_events(pair, CFG, numbers=[122])
+
+
+@pytest.fixture(scope="module")
+def long_pair(spark):
+    from barlab.operators.store import stored
+    r = np.random.default_rng(5)
+    n = 3000
+    p = pd.DataFrame({"pair": "a/b", "ts": np.arange(n) * 60 + 1704067200})
+    for a in ("btc", "eth"):
+        c = 100 * np.exp(np.cumsum(r.normal(0, .001, n)))
+        for k, v in (("open", c), ("high", c * 1.001), ("low", c * .999), ("close", c), ("volume", r.gamma(2, 50, n))):
+            p[f"{k}_{a}"] = v
+    return p, stored(spark.createDataFrame(p))
+
+
+def own(numbers, signal, **kw):
+    return [RL.Rule(900 + h, "own", signal, horizon=h, **kw) for h in numbers]
+
+
+def test_holding_periods_longer_than_a_block(long_pair):
+    p, pair = long_pair
+    every = RL.Signal(F.col("idx") % 100 == 0, F.lit(1.0))
+    rs = own([8, 300, 400, 600, 1400], "every")
+    ev = EV.build_events(pair, CFG.small(step=60), numbers=[], extra={"every": every}, extra_rules=rs)
+    got = {(r.rule_id, r.idx): r.exit_px for r in ev.collect()}
+    close = p["close_btc"].to_numpy()
+    want = {(r.rule_id, i): close[i + r.horizon] for r in rs for i in walk(np.arange(len(p)) % 100 == 0, r.horizon) if i + r.horizon < len(p)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_own_signal_with_history_across_blocks(long_pair):
+    p, pair = long_pair
+    w = FR.block_window(FR.KEYS)
+    up = RL.W.lag(F.col("close_btc"), w, 600) < F.col("close_btc")
+    s = RL.Signal(F.col("own_edge"), F.lit(1.0), helpers={"own_up": F.coalesce(up, F.lit(False)), "own_edge": RL.W.onset(F.col("own_up"), w)}, back=601)
+    ev = EV.build_events(pair, CFG.small(step=60), numbers=[], extra={"edge": s}, extra_rules=own([5], "edge"))
+    c = p["close_btc"]
+    u = (c > c.shift(600)).to_numpy()
+    edge = u & ~np.r_[False, u[:-1]]
+    assert sorted(r.idx for r in ev.collect()) == [i for i in walk(edge, 5) if i + 5 < len(p)]
+
+
+def test_exits_follow_the_traded_leg_from_the_entry_bar(long_pair):
+    p, pair = long_pair
+    every = RL.Signal(F.col("idx") % 20 == 0, F.when(F.col("idx") % 40 == 0, 1.0).otherwise(-1.0))
+    rs = own([12], "every", leg="eth", offset=1, exits=dict(tp_bps=10))
+    got = {r.idx: r.exit_px for r in EV.build_events(pair, CFG.small(step=60), numbers=[], extra={"every": every}, extra_rules=rs).collect()}
+    px = p["close_eth"].to_numpy()
+    for i, v in got.items():
+        e, d = i + 1, 1 if i % 40 == 0 else -1
+        early = [k for k in range(e + 1, e + 13) if d * (px[k] / px[e] - 1) >= 0.001]
+        assert v == px[early[0] if early else e + 12]
+    assert len(got) == 150 - sum(i + 13 >= len(p) for i in range(0, 3000, 20))
+
+
+def test_two_a_day_on_minute_bars(spark, long_pair):
+    rows = [("a", 60 * i, i, RL.BEST, 1.0, float((i * 37) % 1000)) for i in range(3000)] + [("a", 60, 1, "other", 1.0, 0.0)]
+    hits = spark.createDataFrame(rows, "pair string, ts long, idx long, signal string, dir double, s double")
+    got = RL.best_of_day(hits, "s").collect()
+    assert sum(r.signal == "other" for r in got) == 1
+    days = {}
+    for r in got:
+        if r.signal == RL.BEST:
+            days.setdefault(r.ts // 86400, []).append(r.idx)
+    for d, v in days.items():
+        of = [i for i in range(3000) if 60 * i // 86400 == d]
+        assert sorted(v) == sorted(sorted(of, key=lambda i: (-((i * 37) % 1000), i))[:2])
