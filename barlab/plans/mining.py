@@ -1,13 +1,14 @@
 """Feature mining: training matrices, folds, per-fold models, stability tables, regime labels."""
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from typing import Sequence
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import windows as W
 from ..functions.nulls import zero_to_null
@@ -16,9 +17,27 @@ from ..operators.asof import asof_join
 from ..operators.blocks import in_blocks
 from ..operators.rolling import Roll, back_rows, long_rolling
 from ..operators.store import stored
+from ..sources.readers import small
 
 SPAN = 86400 * 30
 REGIMES = ["RANGING", "TRENDING", "VOLATILE"]
+# Features of the cross-asset family, and the family that a part of a feature's name stands for
+CROSS_ASSET = ["spread_pct", "eth_slope_sign_1h", "btc_slope_sign_1h", "eth_slope_abs_pct_1h", "eth_slope_z_1h"]
+FAMILY_OF = [("volatility_state", ["rv", "atr"]), ("funding_regime", ["funding"]), ("mean_reversion", ["vwap", "dist"]),
+             ("efficiency", ["er20", "delta_er"]), ("session", ["hour", "day", "weekend"]), ("cross_asset_regime", ["spread", "slope"])]
+
+
+def family_of(feature: Column) -> Column:
+    out = None
+    for name, parts in FAMILY_OF:
+        hit = reduce(lambda a, b: a | b, [F.contains(feature, F.lit(p)) for p in parts])
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("unknown")
+
+
+def family_of_pair(f1: Column, f2: Column) -> Column:
+    a, b = family_of(f1), family_of(f2)
+    return F.when(a == b, a).when((a == "cross_asset_regime") | (b == "cross_asset_regime"), "cross_asset_regime").otherwise(F.concat_ws("_", F.lit("composite"), a, b))
 
 
 def training_matrix(frame: DataFrame, features: Sequence[str], horizon: int, regime: str | None = None,
@@ -41,11 +60,19 @@ def expanding_folds(m: DataFrame, train: int, step: int, min_train: int = 500, m
     computed once; the fold table is a few rows."""
     D = 86400
     days = stored(m.groupBy(day_of(F.col("ts")).alias("d")).agg(F.count(F.lit(1)).alias("n")))
-    b = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    cuts = b.where(F.col("lo") + train <= F.col("hi")).select("lo", F.explode(F.sequence(F.col("lo") + train, F.col("hi"), F.lit(step).cast("long"))).alias("cut"))
-    j = cuts.join(days, F.col("d") < F.col("cut") + step)
-    f = j.groupBy("lo", "cut").agg(F.sum(F.when(F.col("d") < F.col("cut"), F.col("n")).otherwise(0)).alias("n_train"),
-                                   F.sum(F.when(F.col("d") >= F.col("cut"), F.col("n")).otherwise(0)).alias("n_test"))
+    lo, hi = days.agg(F.min("d"), F.max("d")).first()
+    if lo is None or lo + train > hi:
+        cuts = m.sparkSession.range(0)
+        lo = 0
+    else:
+        cuts = m.sparkSession.range((hi - lo - train) // step + 1)
+    # the fold whose test days hold a day; -1: before the first cut. A fold trains on all days of lower folds.
+    k = F.greatest(F.floor((F.col("d") - (lo + train)) / step), F.lit(-1))
+    per = days.groupBy(k.alias("id")).agg(F.sum("n").alias("n"))
+    run = Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
+    f = cuts.unionByName(m.sparkSession.range(-1, 0)).join(per, "id", "left").withColumn("n_test", F.coalesce("n", F.lit(0)))
+    f = f.withColumn("n_train", F.sum("n_test").over(run)).where("id >= 0")
+    f = f.select(F.lit(lo).cast("long").alias("lo"), (F.col("id") * step + lo + train).alias("cut"), "n_train", "n_test")
     f = f.where((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
     w = Window.partitionBy(F.lit(0)).orderBy("cut")
     return f.select(F.row_number().over(w).alias("fold"), (F.col("lo") * D).alias("train_start"), (F.col("cut") * D).alias("train_end"),
@@ -56,13 +83,16 @@ def sliding_folds(m: DataFrame, window_days: int, train: int = 60, step: int = 2
                   min_test: int = 100) -> DataFrame:
     """Sliding folds inside the first ``window_days``; the rest stays a locked hold-out."""
     D = 86400
-    b = m.agg(F.min("ts").alias("lo"))
-    limit = m.join(F.broadcast(b), F.col("ts") < F.col("lo") + window_days * D).agg(F.max("ts").alias("hi"), F.first("lo").alias("lo"))
+    lo = m.agg(F.min("ts")).first()[0] or 0
+    hi = m.where(F.col("ts") < lo + window_days * D).agg(F.max("ts")).first()[0] or 0
     span = (train + step) * D
-    st = limit.where(F.col("lo") + span <= F.col("hi")).select(F.explode(F.sequence(F.col("lo"), F.col("hi") - span, F.lit(step * D).cast("long"))).alias("train_start"))
-    st = st.withColumns({"train_end": F.col("train_start") + train * D, "test_end": F.col("train_start") + span})
-    # rows per fold by arithmetic on the fold table (a few rows), broadcast to the data
-    n = m.select("ts").join(F.broadcast(st), (F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end")))
+    last = (hi - span - lo) // (step * D) if lo + span <= hi else -1
+    # the folds of a row follow from its distance to the first time
+    off = F.col("ts") - lo
+    k0, k1 = F.greatest(F.lit(0), F.floor((off - span) / (step * D)) + 1), F.least(F.lit(last), F.floor(off / (step * D)))
+    n = m.select("ts", F.explode(F.when(k0 <= k1, F.sequence(k0, k1))).alias("k"))
+    n = n.withColumn("train_start", F.col("k") * (step * D) + lo)
+    n = n.withColumns({"train_end": F.col("train_start") + train * D, "test_end": F.col("train_start") + span})
     n = n.groupBy("train_start", "train_end", "test_end").agg(
         F.count(F.when(F.col("ts") < F.col("train_end"), 1)).alias("n_train"), F.count(F.when(F.col("ts") >= F.col("train_end"), 1)).alias("n_test"))
     n = n.where((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
@@ -70,6 +100,17 @@ def sliding_folds(m: DataFrame, window_days: int, train: int = 60, step: int = 2
     return n.select(F.row_number().over(w).alias("fold"), "train_start", "train_end", "test_end", "n_train", "n_test")
 
 
+def in_folds(m: DataFrame, folds: DataFrame, start: str = "train_start") -> DataFrame:
+    """Rows once per fold whose [start, test_end) holds them, with the fold's columns. Folds are a calendar: a short
+    list, held in the plan, so there is no join."""
+    cols = ["fold", "train_start", "train_end", "test_end"]
+    every = [F.struct(*[F.lit(int(r[c])).cast("int" if c == "fold" else "long").alias(c) for c in cols]) for r in folds.select(*cols).collect()]
+    if not every:
+        return m.limit(0).select("*", *[F.lit(0).cast("int" if c == "fold" else "long").alias(c) for c in cols])
+    hit = F.filter(F.array(*every), lambda f: (F.col("ts") >= f[start]) & (F.col("ts") < f["test_end"]))
+    return m.select("*", F.explode(hit).alias("_f")).select(*m.columns, "_f.*")
+
+
 def fold_importance(m: DataFrame, folds: DataFrame, features: Sequence[str], label: str = "fwd_r_h", trees: int = 20,
                     depth: int = 3, top: int = 15) -> DataFrame:
     """Per fold: boosted trees fitted by Spark on the training rows, feature importances, and the sign of
@@ -95,10 +136,11 @@ def fold_importance(m: DataFrame, folds: DataFrame, features: Sequence[str], lab
 
 
 def stable_features(imp: DataFrame, n_folds: int, min_folds: int = 5, top: int = 10) -> DataFrame:
-    """Features in the top ten of enough folds: mean importance and net direction."""
+    """Features in the top ten of enough folds: mean importance, net direction, whether of the cross-asset family."""
     return (imp.groupBy("feature").agg(
         F.count(F.when(F.col("rank") <= top, 1)).alias("consistent_folds"), (F.sum("importance") / n_folds).alias("mean_importance"),
         F.when(F.sum("signed") > 0, "positive").otherwise("negative").alias("direction"))
+        .withColumn("ca_family", F.col("feature").isin(CROSS_ASSET))
         .where(F.col("consistent_folds") >= min_folds).orderBy(F.col("consistent_folds").desc(), F.col("mean_importance").desc()))
 
 
@@ -134,12 +176,11 @@ def quadrants(m: DataFrame, folds: DataFrame, features: Sequence[str], hi: float
     """
     features = list(features)
     from ..operators.quantiles import exact_quantiles
-    j = m.join(F.broadcast(folds), (F.col("ts") >= F.col("train_start")) & (F.col("ts") < F.col("test_end")))
-    d = stored(j.select("fold", (F.col("ts") < F.col("train_end")).alias("train"), F.col(ret).alias("_r"), *features))
+    d = stored(in_folds(m, folds).select("fold", (F.col("ts") < F.col("train_end")).alias("train"), F.col(ret).alias("_r"), *features))
     lab = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features])).alias("x")
     q = exact_quantiles(d.where("train").select("fold", lab).select("fold", "x.*"), ["fold", "feature"], "v", {"hi": hi, "lo": lo})
     t = q.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("hi", "lo")))).alias("lim"))
-    te = d.where(~F.col("train")).join(F.broadcast(t), "fold")  # one row per fold
+    te = d.where(~F.col("train")).join(small(t), "fold")  # one row per fold
     code = {f: F.when(F.col(f) > F.element_at("lim", F.lit(f))["hi"], "high").when(F.col(f) < F.element_at("lim", F.lit(f))["lo"], "low") for f in features}
     te = te.select("fold", "_r", *[c.alias(f) for f, c in code.items()])
     pairs = list(combinations(sorted(features), 2))
@@ -179,25 +220,35 @@ def regime_breakdown(m: DataFrame, cands: DataFrame, regime: str = "hmm_regime",
     lab = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(d).alias("direction"), F.col(f).cast("double").alias("v")) for f, d in c.items()])).alias("x")
     d = stored(m.select(F.col(regime).alias("regime"), F.col(ret).alias("_r"), lab).select("regime", "_r", "x.*"))
     q = exact_quantiles(d, ["feature"], "v", {"hi": .70, "lo": .30})
-    j = d.join(F.broadcast(q), "feature")  # one row per candidate
+    j = d.join(small(q), "feature")  # one row per candidate
     hit = F.when(F.col("direction") == "positive", F.col("v") > F.col("hi")).otherwise(F.col("v") < F.col("lo"))
     g = j.where(hit & F.col("regime").isin(REGIMES)).groupBy("feature", "direction", "regime").agg(F.count(F.lit(1)).alias("n"), F.avg("_r").alias("_m"))
     return g.select("feature", "direction", "regime", "n", F.when(F.col("n") >= min_n, F.col("_m")).alias("mean_fwd_r"))
 
 
 def suggest(stable: DataFrame, by_regime: DataFrame, next_id: int, min_folds: int = 6, top: int = 5) -> DataFrame:
-    """Numbered rule candidates from the most consistent features, each with its best regime."""
+    """Numbered rule candidates from the most consistent features outside the cross-asset family, each with its best
+    regime."""
     best = by_regime.where("mean_fwd_r is not null").groupBy("feature").agg(F.max_by("regime", "mean_fwd_r").alias("best_regime"))
     rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("consistent_folds").desc(), F.col("mean_importance").desc(), "feature"))
-    s = stable.where(F.col("consistent_folds") >= min_folds).withColumn("_n", rn).where(F.col("_n") <= top).join(best, "feature", "left")
+    s = stable.where((F.col("consistent_folds") >= min_folds) & ~F.col("feature").isin(CROSS_ASSET)).withColumn("_n", rn).where(F.col("_n") <= top).join(best, "feature", "left")
     f = F.col("feature")
-    fam = (F.when(f.contains("funding"), "funding_regime").when(f.contains("liq") | f.startswith("oi_"), "oi_liq")
-           .when(f.contains("volume") | f.startswith("vol_"), "volume_state").when(f.contains("rv") | f.contains("atr"), "volatility_state")
-           .when(f.contains("vwap") | f.startswith("ret_"), "mean_reversion").otherwise("cross_asset_regime"))
     word = F.when(F.col("direction") == "positive", "above 70th pct").otherwise("below 30th pct")
     return s.select(F.concat(F.lit("H"), (F.lit(next_id - 1) + F.col("_n")).cast("string")).alias("suggested_id"), "feature", "direction", "consistent_folds",
-                    F.concat(F.lit("Enter long when "), f, F.lit(" is "), word, F.coalesce(F.concat(F.lit(", gated by regime="), F.col("best_regime")), F.lit(""))).alias("suggested_rule"),
-                    fam.alias("suggested_family"), "best_regime")
+                    F.concat(F.lit("Enter long BTC when "), f, F.lit(" is "), word, F.coalesce(F.concat(F.lit(", gated by regime="), F.col("best_regime")), F.lit(""))).alias("suggested_rule"),
+                    family_of(f).alias("suggested_family"), "best_regime")
+
+
+def suggest_pairs(stable: DataFrame, next_id: int, regime: str | None = None, min_folds: int = 4, min_share: float = 0.70, top: int = 8) -> DataFrame:
+    """Numbered two-feature candidates from the most stable corners (``stable_pairs``)."""
+    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("fold_count").desc(), F.col("pct_consistent").desc(), F.abs("mean_fwd_r").desc(), "f1", "dir1", "f2", "dir2"))
+    s = stable.where((F.col("fold_count") >= min_folds) & (F.round("pct_consistent", 2) >= min_share)).withColumn("_n", rn).where(F.col("_n") <= top)
+    word = lambda d: F.when(F.col(d) == "high", ">70th pct").otherwise("<30th pct")
+    rule = F.concat(F.lit("Enter "), "direction", F.lit(" BTC when "), "f1", F.lit(" "), word("dir1"), F.lit(" AND "), "f2", F.lit(" "), word("dir2"),
+                    F.lit(f", gated by regime={regime}" if regime else ""))
+    return s.select(F.concat(F.lit("H"), (F.lit(next_id - 1) + F.col("_n")).cast("string")).alias("suggested_id"), "f1", "dir1", "f2", "dir2", "direction",
+                    "fold_count", "pct_consistent", "mean_fwd_r", rule.alias("suggested_rule"), family_of_pair(F.col("f1"), F.col("f2")).alias("suggested_family"),
+                    (F.col("f1").isin(CROSS_ASSET) | F.col("f2").isin(CROSS_ASSET)).alias("ca_family"))
 
 
 # --- regimes -------------------------------------------------------------------------------------------
@@ -247,7 +298,7 @@ def label_regimes(feats: DataFrame, folds: DataFrame, cols: Sequence[str] = ("rv
     m = out.groupBy("fold", "_s").agg(F.avg(cols[0]).alias("_m"))
     m = m.withColumn("state_id", F.row_number().over(Window.partitionBy("fold").orderBy("_m", "_s")) - 1)
     names = F.array(*[F.lit(x) for x in REGIMES])
-    j = out.join(F.broadcast(m.drop("_m")), ["fold", "_s"])  # k rows per fold
+    j = out.join(small(m.drop("_m")), ["fold", "_s"])  # k rows per fold
     return j.withColumn("regime_name", F.coalesce(F.get(names, F.col("state_id")), F.lit("UNKNOWN"))).drop("_s")
 
 

@@ -262,13 +262,13 @@ def daily_wide(daily: DataFrame, ids: Sequence[str], key: str = "rule_id") -> Da
 
 
 def pair_correlation(daily: DataFrame, ids: Sequence[str], key: str = "rule_id") -> DataFrame:
-    """Correlation of daily pnl for all strategy pairs. One pass accumulates the k x k moment matrix, k
-    being the number of strategies in the catalogue; no pair rows are formed per day."""
+    """Correlation of daily pnl for each pair of strategies, a before b in ``ids``. One pass accumulates the k x k
+    moment matrix, k being the number of strategies in the catalogue; no pair rows are formed per day."""
     ids = list(ids)
     wide = daily_wide(daily, ids, key)
     v = VectorAssembler(inputCols=ids, outputCol="v").transform(wide).select("v")
     m = Correlation.corr(v, "v").head()[0].toArray()
-    rows = [(a, b, 0.0 if m[i][j] != m[i][j] else float(m[i][j])) for i, a in enumerate(ids) for j, b in enumerate(ids)]
+    rows = [(a, b, 0.0 if m[i][j] != m[i][j] else float(m[i][j])) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j]
     return daily.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 

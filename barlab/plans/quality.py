@@ -127,8 +127,9 @@ def fingerprint(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFr
     commutative aggregates, so it needs no sort and no single writer."""
     line = F.concat_ws("|", *[F.format_string("%.8f", F.col(c)) if t == "double" else F.col(c).cast("string")
                               for c, t in ((c, dict(df.dtypes)[c]) for c in cols)])
-    h = F.conv(F.substring(F.sha2(line, 256), 1, 8), 16, 10).cast("long")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("hash_xor"), F.sum(h).alias("hash_sum"))
+    h = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("long")  # 60 bits
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("hash_xor"),
+                               F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum"))
 
 
 def key_parity(a: DataFrame, b: DataFrame, by: Sequence[str], key: str, sample: int = 10) -> DataFrame:
@@ -183,46 +184,60 @@ def reconcile(expected: DataFrame, actual: DataFrame, by: Sequence[str], tol: in
 
 
 # --- documents ---------------------------------------------------------------------------------------
-# What a run document must hold
-TOP_KEYS = ["hypothesis_id", "baseline", "walkforward", "mode_classification", "dataset"]
+# What a run document must hold, and the names of the failures below
+TOP_KEYS = ["hypothesis_id", "timestamp_utc", "dataset", "baseline", "walkforward", "mode_classification"]
+DATASET_KEYS = ["timeframe", "start_ts", "end_ts", "bar_count", "db_path", "db_last_modified"]
 MODES = ["gross", "bps8", "bps10"]
 SPLIT = {"train_days": 60, "test_days": 15, "step_days": 15}
 BASE_KEYS = ["n", "mean", "ci_low", "ci_high", "p_mean_gt_0"]
 AGG_KEYS = ["n", "mean", "mean_ci_low", "mean_ci_high", "p_mean_gt_0"]
 FOLD_KEYS = ["count", "pct", "total"]
 CLASS_KEYS = ["baseline_status", "wf_status", "final_status"]
+# path of an object -> reason when something else stands there
+OBJECTS = {"dataset": "dataset_type", "baseline": "baseline_type", "walkforward": "walkforward_type", "walkforward.split": "walkforward_split_type",
+           "walkforward.modes": "walkforward_modes_type", "mode_classification": "mode_classification_type"}
 
 
 def audit_documents(docs: DataFrame, top_keys: Sequence[str] = TOP_KEYS) -> DataFrame:
-    """(artifact, body) JSON text -> failure rows (artifact, reason, detail)."""
-    get = lambda p: F.get_json_object("body", p)
-    parsed = F.try_parse_json("body").isNotNull()
-    has = lambda p: get(p).isNotNull()
-    checks: list[tuple[Column, str, str]] = [(~parsed, "json_parse", "")]
-    add = lambda c, reason, detail: checks.append((parsed & c, reason, detail))
-    obj = lambda p: F.coalesce(get(p).startswith("{"), F.lit(False))
-    arr = lambda p: F.coalesce(get(p).startswith("["), F.lit(False))
+    """(artifact, body) JSON text -> failure rows (artifact, reason, detail). A JSON null is a present key."""
+    d = docs.select("artifact", F.try_parse_json("body").alias("v"))
+    at = lambda p: F.try_variant_get("v", f"$.{p}", "variant")
+    kind = lambda p: F.coalesce(F.schema_of_variant(at(p)), F.lit(""))
+    has = lambda p: at(p).isNotNull()
+    obj = lambda p: F.startswith(kind(p), F.lit("OBJECT"))
+    arr = lambda p: F.startswith(kind(p), F.lit("ARRAY"))
+    text = lambda p: kind(p) == "STRING"
+    number = lambda p: kind(p).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    parsed = F.col("v").isNotNull()
+    checks: list[tuple[Column, str, Column]] = [(~parsed, "json_parse", F.lit(""))]
+    add = lambda c, reason, detail: checks.append((parsed & c, reason, detail if isinstance(detail, Column) else F.lit(detail)))
     for k in top_keys:
-        add(~has(f"$.{k}"), "missing_top_key", k)
-    add(~arr("$.dataset.primary_symbols"), "missing_dataset_symbols", "dataset.primary_symbols is required")
-    add(has("$.dataset.bar_count") & get("$.dataset.bar_count").try_cast("double").isNull(), "dataset_bar_count_type", "bar_count must be numeric")
+        add(~has(k), "missing_top_key", k)
+    for p, reason in OBJECTS.items():
+        add(has(p) & ~obj(p), reason, f"{p} must be object")
+    add(~arr("dataset.primary_symbols"), "missing_dataset_symbols", "dataset.primary_symbols is required")
+    for k in DATASET_KEYS:
+        add(~has(f"dataset.{k}"), "missing_dataset_key", k)
+    add(has("dataset.bar_count") & ~number("dataset.bar_count"), "dataset_bar_count_type", "bar_count must be numeric")
     for k, v in SPLIT.items():
-        add(~F.coalesce(get(f"$.walkforward.split.{k}").try_cast("int") == v, F.lit(False)), "walkforward_split_mismatch", k)
+        p = f"walkforward.split.{k}"
+        same = number(p) & F.coalesce(F.try_variant_get("v", f"$.{p}", "double") == v, F.lit(False))
+        got = F.coalesce(F.try_variant_get("v", f"$.{p}", "string"), F.lit("None"))
+        add((obj("walkforward.split") | ~has("walkforward.split")) & ~same, "walkforward_split_mismatch", F.concat(F.lit(f"{k} expected {v}, got "), got))
     for m in MODES:
-        b, w, c = f"$.baseline.{m}", f"$.walkforward.modes.{m}", f"$.mode_classification.{m}"
+        b, w, c = f"baseline.{m}", f"walkforward.modes.{m}", f"mode_classification.{m}"
         add(~obj(b), "missing_baseline_mode", m)
         for k in BASE_KEYS:
             add(obj(b) & ~has(f"{b}.{k}"), "missing_baseline_metric", f"{m}.{k}")
         add(~obj(w), "missing_wf_mode", m)
-        add(obj(w) & ~obj(f"{w}.aggregate"), "missing_wf_aggregate", m)
-        for k in AGG_KEYS:
-            add(obj(f"{w}.aggregate") & ~has(f"{w}.aggregate.{k}"), "missing_wf_aggregate_metric", f"{m}.{k}")
-        add(obj(w) & ~obj(f"{w}.positive_folds"), "missing_positive_folds", m)
-        for k in FOLD_KEYS:
-            add(obj(f"{w}.positive_folds") & ~has(f"{w}.positive_folds.{k}"), "missing_positive_folds_metric", f"{m}.{k}")
+        for part, none, lacks, keys in ((f"{w}.aggregate", "missing_wf_aggregate", "missing_wf_aggregate_metric", AGG_KEYS),
+                                        (f"{w}.positive_folds", "missing_positive_folds", "missing_positive_folds_metric", FOLD_KEYS)):
+            add(obj(w) & ~obj(part), none, m)
+            for k in keys:
+                add(obj(w) & obj(part) & ~has(f"{part}.{k}"), lacks, f"{m}.{k}")
         add(obj(w) & ~arr(f"{w}.folds"), "missing_folds_list", m)
         add(obj(w) & ~obj(c), "missing_mode_classification_mode", m)
         for k in CLASS_KEYS:
-            add(obj(w) & obj(c) & ~has(f"{c}.{k}"), "missing_mode_classification_metric", f"{m}.{k}")
-    bad = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("reason"), F.lit(d).alias("detail"))) for c, r, d in checks]))
-    return docs.select("artifact", F.explode(bad).alias("f")).select("artifact", "f.*")
+            add(obj(w) & obj(c) & ~text(f"{c}.{k}"), "missing_mode_classification_metric", f"{m}.{k}")
+    bad = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("reason"), x.alias("detail"))) for c, r, x in checks]))
+    return d.select("artifact", F.explode(bad).alias("f")).select("artifact", "f.*")

@@ -75,9 +75,9 @@ def append_versioned(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def newest_first(df: DataFrame, n: int, ts: str = "ts") -> DataFrame:
-    """The latest n rows: a top-n per partition, then a merge; not a full sort."""
-    return df.orderBy(F.col(ts).desc()).limit(n)
+def newest_first(df: DataFrame, n: int, ts: str = "ts", tie: str | None = None) -> DataFrame:
+    """The latest n rows: a top-n per partition, then a merge; not a full sort. ``tie`` decides between equal times."""
+    return df.orderBy(F.col(ts).desc(), *([F.col(tie).desc()] if tie else [])).limit(n)
 
 
 def newest(df: DataFrame, ts: str = "ts", keys: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,8 @@ from barlab.sources import derive, readers
 # hourly bars play the fine grid and four hours the coarse one; windows shrink with the data
 CFG = FrameConfig(step=3600, slow=14400, w_long=96, w_slow=24, w_spread=48, w_deriv=120, w_vwap=24, w_day=24,
                   min_day=12, w_corr=120, min_corr=36, chunk=86400 * 10, block=512, slow_block=128)
-PAIRS = [("click", "view")]
+# every event type is base once and lead once
+PAIRS = [("click", "view"), ("view", "purchase"), ("purchase", "signup"), ("signup", "error"), ("error", "click")]
 
 
 def pair(spark, d) -> DataFrame:
@@ -18,9 +19,8 @@ def pair(spark, d) -> DataFrame:
 
 
 def slow(spark, d) -> dict[str, DataFrame]:
-    """Side series of the pair from the other event types, every four hours."""
-    b = derive.event_bars(spark, d, 14400)
-    p = readers.pair_bars(b, [("error", "signup")]).withColumn("pair", F.lit("click/view"))
+    """Side series of each pair from its own bars, every four hours."""
+    p = readers.pair_bars(derive.event_bars(spark, d, 14400), PAIRS)
     c = F.col
     return {
         "funding": p.select("pair", "ts", ((c("close_btc") - 115) / 1e4).alias("funding_rate_btc"), ((c("close_eth") - 115) / 1e4).alias("funding_rate_eth")),
@@ -42,12 +42,13 @@ DB = """db AS (
         (l_orderkey, l_linenumber, l_partkey, l_extendedprice/l_quantity) AS o FROM lineitem) GROUP BY 1, 2)"""
 
 SUF = lambda t, s: ", ".join(f"{t}.{c} AS {c}_{s}" for c in ("open", "high", "low", "close", "volume"))
-PAIR = lambda step=3600, base="click", lead="view", eb="eb", name="pb": f"""{name} AS (
- SELECT '{base}/{lead}' AS pair, a.ts, {SUF('a', 'btc')}, {SUF('b', 'eth')}
- FROM {eb} a JOIN {eb} b ON a.ts = b.ts WHERE a.symbol = '{base}' AND b.symbol = '{lead}')"""
+_LEGS = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
+PAIR = lambda eb="eb", name="pb": f"""{name} AS (
+ SELECT r.base || '/' || r.lead AS pair, a.ts, {SUF('a', 'btc')}, {SUF('b', 'eth')}
+ FROM (VALUES {_LEGS}) r(base, lead) JOIN {eb} a ON a.symbol = r.base JOIN {eb} b ON b.symbol = r.lead AND b.ts = a.ts)"""
 
-SLOW = EB(14400, "eb4") + ",\n" + PAIR(base="error", lead="signup", eb="eb4", name="sb") + """,
-sl AS (SELECT ts, (close_btc-115)/1e4 AS funding_rate_btc, (close_eth-115)/1e4 AS funding_rate_eth,
+SLOW = EB(14400, "eb4") + ",\n" + PAIR(eb="eb4", name="sb") + """,
+sl AS (SELECT pair, ts, (close_btc-115)/1e4 AS funding_rate_btc, (close_eth-115)/1e4 AS funding_rate_eth,
   volume_btc*3+high_btc AS oi_contracts_btc, volume_eth*3+high_eth AS oi_contracts_eth,
   high_btc-100 AS long_liq_usd_btc, close_btc-100 AS short_liq_usd_btc, high_eth-100 AS long_liq_usd_eth, close_eth-100 AS short_liq_usd_eth,
   ['TRENDING','RANGING','VOLATILE'][CAST((ts//14400)%3 AS INT)+1] AS hmm_regime FROM sb)"""

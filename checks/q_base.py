@@ -15,7 +15,7 @@ from barlab.plans import features as feat
 from barlab.plans import quality as Q
 from barlab.sources import derive, readers, sinks
 
-from .fixtures import DB, EB, PAIR, SUF
+from .fixtures import DB, EB, PAIR, PAIRS, SUF
 from .registry import R, query, rx
 
 OHLCV = "open, high, low, close, volume"
@@ -50,7 +50,7 @@ def _(spark, d):
 
 @query("pair_bar_scan", f"WITH {EB()}, {PAIR()} SELECT pair, ts, " + R(*[f"{c}_{s}" for s in ("btc", "eth") for c in OHLCV.split(", ")]) + " FROM pb")
 def _(spark, d):
-    return readers.pair_bars(derive.event_bars(spark, d), [("click", "view")])
+    return readers.pair_bars(derive.event_bars(spark, d), PAIRS)
 
 
 _SLOWROWS = """sr AS (SELECT o_orderstatus AS symbol, o_orderpriority AS venue, CAST(epoch(o_orderdate) AS BIGINT) AS ts,
@@ -217,7 +217,7 @@ def _(spark, d):
 
 @query("last_close_per_bin", f"WITH {EB()}, {PAIR()} SELECT pair, ts//14400*14400 AS ts, {rx(close_btc='arg_max(close_btc, ts)', close_eth='arg_max(close_eth, ts)')} FROM pb GROUP BY 1, 2")
 def _(spark, d):
-    return last_per_bin(readers.pair_bars(derive.event_bars(spark, d), [("click", "view")]), 14400, ["close_btc", "close_eth"], ["pair"])
+    return last_per_bin(readers.pair_bars(derive.event_bars(spark, d), PAIRS), 14400, ["close_btc", "close_eth"], ["pair"])
 
 
 # --- quality ----------------------------------------------------------------------------------------------
@@ -291,11 +291,11 @@ def _(spark, d):
     return Q.key_parity(b.where("volume < 6"), b.where("volume > 1"), ["symbol"], "ts")
 
 
-_HX = "CAST(('0x' || substr(sha256(symbol || '|' || CAST(ts AS VARCHAR) || '|' || printf('%.8f', open) || '|' || printf('%.8f', close)), 1, 8)) AS BIGINT)"
+_HX = "CAST(('0x' || substr(sha256(symbol || '|' || CAST(ts AS VARCHAR) || '|' || printf('%.8f', open) || '|' || printf('%.8f', close)), 1, 15)) AS BIGINT)"
 
 
-@query("two_source_parity", f"""WITH {EB()}, h AS (SELECT *, {_HX} AS h FROM eb), g AS (SELECT symbol, count(*) AS a_count, count(*) FILTER (volume > 1) AS b_count, bit_xor(h) AS a_xor, CAST(sum(h) AS BIGINT) AS a_sum, min(ts) AS a_min, max(ts) AS a_max,
-  coalesce(bit_xor(h) FILTER (volume > 1), 0) AS b_xor, CAST(sum(h) FILTER (volume > 1) AS BIGINT) AS b_sum FROM h GROUP BY 1)
+@query("two_source_parity", f"""WITH {EB()}, h AS (SELECT *, {_HX} AS h FROM eb), g AS (SELECT symbol, count(*) AS a_count, count(*) FILTER (volume > 1) AS b_count, bit_xor(h) AS a_xor, CAST(sum(h) AS VARCHAR) AS a_sum, min(ts) AS a_min, max(ts) AS a_max,
+  coalesce(bit_xor(h) FILTER (volume > 1), 0) AS b_xor, CAST(sum(h) FILTER (volume > 1) AS VARCHAR) AS b_sum FROM h GROUP BY 1)
 SELECT symbol, a_count, b_count, a_xor, a_sum, a_min, a_max, b_xor, b_sum, a_xor = b_xor AND a_sum = b_sum AND a_count = b_count AS identical, a_count - b_count AS missing_count FROM g""")
 def _(spark, d):
     b = stored(derive.event_bars(spark, d))
@@ -321,26 +321,76 @@ def _(spark, d):
     return Q.reconcile(one(e), one(a), ["strategy"], 300, span=86400 * 5)
 
 
-@query("document_audit", """WITH e AS (SELECT CAST(event_id AS VARCHAR) AS artifact, CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 5) WHEN event_id % 3 = 0 THEN '{"hypothesis_id": "H1", "baseline": {"gross": {"n": 1}}}' ELSE '{"hypothesis_id": "H1", "baseline": ' || props || ', "walkforward": {}, "mode_classification": {}, "dataset": {"primary_symbols": []}}' END AS body, event_id FROM events)
-SELECT reason, detail, count(*) AS n FROM (
- SELECT 'json_parse' AS reason, '' AS detail FROM e WHERE event_id % 7 = 0
- UNION ALL SELECT 'missing_top_key', unnest(['walkforward','mode_classification','dataset']) FROM e WHERE event_id % 7 <> 0 AND event_id % 3 = 0
- UNION ALL SELECT 'missing_dataset_symbols', 'dataset.primary_symbols is required' FROM e WHERE event_id % 7 <> 0 AND event_id % 3 = 0
- UNION ALL SELECT 'walkforward_split_mismatch', unnest(['train_days','test_days','step_days']) FROM e WHERE event_id % 7 <> 0
- UNION ALL SELECT 'missing_baseline_mode', unnest(CASE WHEN event_id % 3 = 0 THEN ['bps8','bps10'] ELSE ['gross','bps8','bps10'] END) FROM e WHERE event_id % 7 <> 0
- UNION ALL SELECT 'missing_baseline_metric', unnest(['gross.mean','gross.ci_low','gross.ci_high','gross.p_mean_gt_0']) FROM e WHERE event_id % 7 <> 0 AND event_id % 3 = 0
- UNION ALL SELECT 'missing_wf_mode', unnest(['gross','bps8','bps10']) FROM e WHERE event_id % 7 <> 0) GROUP BY 1, 2""")
+_METRICS = '"n": 1, "mean": 0.1, "ci_low": null, "ci_high": 1, "p_mean_gt_0": 0.5'
+_WF = '{"aggregate": {"n": 1, "mean": 0, "mean_ci_low": null, "mean_ci_high": 1, "p_mean_gt_0": 1}, "positive_folds": {"count": 1, "pct": 2, "total": 3}, "folds": []}'
+_CLS = '{"baseline_status": "PASS", "wf_status": "FAIL", "final_status": "PASS"}'
+_BODIES = [  # one of these per event, by its id; every kind of failure is met
+    '{"hypothesis_id": "H1", "baseline": {"gross": {"n": 1, "mean": null}}}',
+    '{"hypothesis_id": "H1", "timestamp_utc": null, "dataset": [], "baseline": 3, "walkforward": "x", "mode_classification": [1]}',
+    '{"hypothesis_id": "H1", "timestamp_utc": "t", "dataset": {"timeframe": "5m", "start_ts": 1, "end_ts": 2, "bar_count": 3.5, "db_path": "p", "db_last_modified": null, "primary_symbols": ["a"]}, '
+    + '"baseline": {' + ", ".join(f'"{m}": {{{_METRICS}}}' for m in ("gross", "bps8", "bps10")) + '}, "walkforward": {"split": {"train_days": 60, "test_days": 15, "step_days": 15.0}, "modes": {'
+    + ", ".join(f'"{m}": {_WF}' for m in ("gross", "bps8", "bps10")) + '}}, "mode_classification": {' + ", ".join(f'"{m}": {_CLS}' for m in ("gross", "bps8", "bps10")) + '}}',
+    '{"dataset": {"bar_count": "many", "primary_symbols": {"a": 1}, "timeframe": null}, "walkforward": {"split": [], "modes": 7}, "mode_classification": {}}',
+    '{"dataset": {"bar_count": true, "primary_symbols": []}, "walkforward": {"split": {"train_days": 30, "test_days": "15", "step_days": null}, "modes": {"gross": {"aggregate": {}, "positive_folds": {"pct": 1}, "folds": {}}, '
+    + '"bps8": {"aggregate": [], "positive_folds": 1, "folds": []}, "bps10": null}}, "mode_classification": {"gross": {"baseline_status": 1, "wf_status": null, "final_status": "PASS"}, "bps8": []}}',
+]
+
+
+def _audit_sql() -> str:
+    t = lambda p: f"json_type(j, '{p}')"
+    obj, lst, txt = (lambda p, k=k: f"coalesce({t(p)} = '{k}', false)" for k in ("OBJECT", "ARRAY", "VARCHAR"))
+    num = lambda p: f"coalesce({t(p)} IN ('UBIGINT', 'BIGINT', 'DOUBLE'), false)"
+    no = lambda p: f"{t(p)} IS NULL"
+    f = [(no(f"$.{k}"), "missing_top_key", f"'{k}'") for k in ("hypothesis_id", "timestamp_utc", "dataset", "baseline", "walkforward", "mode_classification")]
+    wrong = lambda p, r, d: f.append((f"NOT {obj(p)} AND NOT ({no(p)})", r, f"'{d} must be object'"))
+    wrong("$.dataset", "dataset_type", "dataset")
+    f.append((f"NOT {lst('$.dataset.primary_symbols')}", "missing_dataset_symbols", "'dataset.primary_symbols is required'"))
+    f += [(no(f"$.dataset.{k}"), "missing_dataset_key", f"'{k}'") for k in ("timeframe", "start_ts", "end_ts", "bar_count", "db_path", "db_last_modified")]
+    f.append((f"NOT ({no('$.dataset.bar_count')}) AND NOT {num('$.dataset.bar_count')}", "dataset_bar_count_type", "'bar_count must be numeric'"))
+    wrong("$.baseline", "baseline_type", "baseline")
+    wrong("$.walkforward", "walkforward_type", "walkforward")
+    wrong("$.walkforward.split", "walkforward_split_type", "walkforward.split")
+    for k, v in (("train_days", 60), ("test_days", 15), ("step_days", 15)):
+        p = f"$.walkforward.split.{k}"
+        f.append((f"({obj('$.walkforward.split')} OR {no('$.walkforward.split')}) AND NOT ({num(p)} AND coalesce(TRY_CAST(json_extract_string(j, '{p}') AS DOUBLE) = {v}, false))",
+                  "walkforward_split_mismatch", f"'{k} expected {v}, got ' || coalesce(json_extract_string(j, '{p}'), 'None')"))
+    wrong("$.walkforward.modes", "walkforward_modes_type", "walkforward.modes")
+    wrong("$.mode_classification", "mode_classification_type", "mode_classification")
+    for m in ("gross", "bps8", "bps10"):
+        b, w, c = f"$.baseline.{m}", f"$.walkforward.modes.{m}", f"$.mode_classification.{m}"
+        f.append((f"NOT {obj(b)}", "missing_baseline_mode", f"'{m}'"))
+        f += [(f"{obj(b)} AND {no(f'{b}.{k}')}", "missing_baseline_metric", f"'{m}.{k}'") for k in ("n", "mean", "ci_low", "ci_high", "p_mean_gt_0")]
+        f.append((f"NOT {obj(w)}", "missing_wf_mode", f"'{m}'"))
+        for part, r, d, keys in ((f"{w}.aggregate", "missing_wf_aggregate", "missing_wf_aggregate_metric", ("n", "mean", "mean_ci_low", "mean_ci_high", "p_mean_gt_0")),
+                                 (f"{w}.positive_folds", "missing_positive_folds", "missing_positive_folds_metric", ("count", "pct", "total"))):
+            f.append((f"{obj(w)} AND NOT {obj(part)}", r, f"'{m}'"))
+            f += [(f"{obj(w)} AND {obj(part)} AND {no(f'{part}.{k}')}", d, f"'{m}.{k}'") for k in keys]
+        f.append((f"{obj(w)} AND NOT {lst(f'{w}.folds')}", "missing_folds_list", f"'{m}'"))
+        f.append((f"{obj(w)} AND NOT {obj(c)}", "missing_mode_classification_mode", f"'{m}'"))
+        f += [(f"{obj(w)} AND {obj(c)} AND NOT {txt(f'{c}.{k}')}", "missing_mode_classification_metric", f"'{m}.{k}'") for k in ("baseline_status", "wf_status", "final_status")]
+    cases = ", ".join(f"CASE WHEN {c} THEN {{r: '{r}', d: {d}}} END" for c, r, d in f)
+    bodies = " ".join(f"WHEN {i + 1} THEN '{b}'" for i, b in enumerate(_BODIES))
+    return f"""WITH e AS (SELECT CASE event_id % 7 WHEN 0 THEN substr(props, 1, 5) {bodies} ELSE '{{"baseline": ' || props || '}}' END AS body FROM events),
+p AS (SELECT CASE WHEN json_valid(body) THEN body::JSON END AS j, json_valid(body) AS ok FROM e),
+f AS (SELECT 'json_parse' AS reason, '' AS detail FROM p WHERE NOT ok UNION ALL SELECT x.r, x.d FROM (SELECT unnest([{cases}]) AS x FROM p WHERE ok) WHERE x IS NOT NULL)
+SELECT reason, detail, count(*) AS n FROM f GROUP BY 1, 2"""
+
+
+@query("document_audit", _audit_sql())
 def _(spark, d):
     e = derive.read(spark, d, "events")
-    body = (F.when(F.col("event_id") % 7 == 0, F.substring("props", 1, 5)).when(F.col("event_id") % 3 == 0, '{"hypothesis_id": "H1", "baseline": {"gross": {"n": 1}}}')
-            .otherwise(F.concat(F.lit('{"hypothesis_id": "H1", "baseline": '), F.col("props"), F.lit(', "walkforward": {}, "mode_classification": {}, "dataset": {"primary_symbols": []}}'))))
+    body, kind = None, F.col("event_id") % 7
+    body = F.when(kind == 0, F.substring("props", 1, 5))
+    for i, b in enumerate(_BODIES):
+        body = body.when(kind == i + 1, b)
+    body = body.otherwise(F.concat(F.lit('{"baseline": '), F.col("props"), F.lit("}")))
     docs = e.select(F.col("event_id").cast("string").alias("artifact"), body.alias("body"))
     return Q.audit_documents(docs).groupBy("reason", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("newest_rows", "SELECT event_id, event_type FROM events ORDER BY ts DESC LIMIT 500")
+@query("newest_rows", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def _(spark, d):
-    return sinks.newest_first(derive.read(spark, d, "events"), 500).select("event_id", "event_type")
+    return sinks.newest_first(derive.read(spark, d, "events"), 500, tie="event_id").select("event_id", "event_type")
 
 
 @query("newest_per_symbol", "SELECT event_type, arg_max(event_id, ts) AS event_id, round((arg_max(value, ts)) + 3.14159e-08, 6)+0.0 AS value FROM events GROUP BY 1")

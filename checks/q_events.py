@@ -8,6 +8,7 @@ from barlab.operators import stats
 from barlab.operators.store import stored
 from barlab.plans import events as EV
 from barlab.plans import frame as FR
+from barlab.plans import rules as RL
 from barlab.plans import studies as ST
 
 from .fixtures import CFG, pair, slow
@@ -54,13 +55,13 @@ q1 AS (SELECT *, lag(reg) OVER ({PW}) AS r1, lag(bd) OVER ({PW}) AS bd1, lag(bd,
 
 
 def _events_sql(numbers) -> str:
-    sig = "\n UNION ALL ".join(f"SELECT {k} AS r, n, ts, CAST({RULE_SQL[k][1]} AS DOUBLE) AS dir, {RULE_SQL[k][2]} AS h, {RULE_SQL[k][3]} AS gap, {int(k in _LAG1)} AS o, reg, r1, ({RULE_SQL[k][0]}) AS hit FROM q1" for k in numbers)
+    sig = "\n UNION ALL ".join(f"SELECT {k} AS r, pair, n, ts, CAST({RULE_SQL[k][1]} AS DOUBLE) AS dir, {RULE_SQL[k][2]} AS h, {RULE_SQL[k][3]} AS gap, {int(k in _LAG1)} AS o, reg, r1, ({RULE_SQL[k][0]}) AS hit FROM q1" for k in numbers)
     px = "CASE WHEN e.r IN (60,70,83) THEN {0}.close_eth ELSE {0}.close_btc END"
     post = " AND ".join(f"(r <> {k} OR {c})" for k, c in _POST.items())
     return f"""sg AS MATERIALIZED (SELECT * FROM ({sig}) WHERE hit AND {NE('dir', '0')}),
-th AS (SELECT r, gap, min(n) AS n FROM sg GROUP BY 1, 2 UNION ALL SELECT th.r, th.gap, (SELECT min(sg.n) FROM sg WHERE sg.r = th.r AND sg.n >= th.n + th.gap) FROM th WHERE th.n IS NOT NULL),
-e AS (SELECT sg.*, CASE WHEN sg.r = 91 AND r1 <> 0 AND reg = 0 THEN 4 ELSE h END AS hold FROM sg JOIN th ON th.r = sg.r AND th.n = sg.n),
-ev AS (SELECT 'H' || e.r AS rule_id, e.r, e.n, e.ts, make_timestamp(e.ts*1000000) AS d, e.dir AS signal_dir, {px.format('a')} AS entry_px, {px.format('b')} AS exit_px, hold, o FROM e JOIN q1 a ON a.n = e.n + e.o JOIN q1 b ON b.n = e.n + e.o + e.hold WHERE e.dir IS NOT NULL),
+th AS (SELECT r, pair, gap, min(n) AS n FROM sg GROUP BY 1, 2, 3 UNION ALL SELECT th.r, th.pair, th.gap, (SELECT min(sg.n) FROM sg WHERE sg.r = th.r AND sg.pair = th.pair AND sg.n >= th.n + th.gap) FROM th WHERE th.n IS NOT NULL),
+e AS (SELECT sg.*, CASE WHEN sg.r = 91 AND r1 <> 0 AND reg = 0 THEN 4 ELSE h END AS hold FROM sg JOIN th ON th.r = sg.r AND th.pair = sg.pair AND th.n = sg.n),
+ev AS (SELECT 'H' || e.r AS rule_id, e.r, e.pair, e.n, e.ts, make_timestamp(e.ts*1000000) AS d, e.dir AS signal_dir, {px.format('a')} AS entry_px, {px.format('b')} AS exit_px, hold, o FROM e JOIN q1 a ON a.pair = e.pair AND a.n = e.n + e.o JOIN q1 b ON b.pair = e.pair AND b.n = e.n + e.o + e.hold WHERE e.dir IS NOT NULL),
 evf AS (SELECT *, signal_dir*(exit_px/entry_px - 1) AS gross_r FROM ev WHERE {post})"""
 
 
@@ -72,10 +73,10 @@ def _(spark, d):
 
 
 @query("rule_events", f"""WITH RECURSIVE {FRAME}, {ROWS}, {_events_sql(list(RULE_SQL))}
-SELECT rule_id, ts, {R('signal_dir','entry_px','exit_px','gross_r')}, {r6("(SELECT min((CASE WHEN evf.r IN (60,70,83) THEN p.close_eth ELSE p.close_btc END/entry_px - 1)*signal_dir) FROM q1 p WHERE p.n > evf.n + evf.o AND p.n <= evf.n + evf.o + evf.hold)")} AS mae_proxy FROM evf""")
+SELECT pair, rule_id, ts, {R('signal_dir','entry_px','exit_px','gross_r')}, {r6("(SELECT min((CASE WHEN evf.r IN (60,70,83) THEN p.close_eth ELSE p.close_btc END/entry_px - 1)*signal_dir) FROM q1 p WHERE p.pair = evf.pair AND p.n > evf.n + evf.o AND p.n <= evf.n + evf.o + evf.hold)")} AS mae_proxy FROM evf""")
 def _(spark, d):
     ev = EV.build_events(pair(spark, d), CFG, numbers=list(RULE_SQL))
-    return ev.select("rule_id", "ts", "signal_dir", "entry_px", "exit_px", "gross_r", "mae_proxy")
+    return ev.select("pair", "rule_id", "ts", "signal_dir", "entry_px", "exit_px", "gross_r", "mae_proxy")
 
 
 @query("all_rules_counts")
@@ -83,7 +84,9 @@ def _(spark, d):
     """The whole catalogue at once. SQL for 218 rules is out of proportion; tests/test_rules.py checks
     the events against a walk over a small fixture."""
     ev = EV.build_events(pair(spark, d), CFG, slow(spark, d))
-    return ev.groupBy("rule_id", "family").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_r").alias("mean"), F.sum("signal_dir").alias("net_dir"))
+    a = ev.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_r").alias("mean"), F.sum("signal_dir").alias("net_dir"))
+    every = spark.createDataFrame([(r.rule_id, r.family) for r in RL.rules()], "rule_id string, family string")
+    return every.join(a, "rule_id", "left").na.fill(0, ["n"])
 
 
 _EXIT = {198: "k.atr_hit", 199: "k.pnl >= 0.0025", 200: "k.trail15", 201: "k.atr_hit OR k.pnl >= 0.0025", 211: "k.be15", 214: "k.low AND k.low1"}
@@ -91,22 +94,22 @@ _EXIT = {198: "k.atr_hit", 199: "k.pnl >= 0.0025", 200: "k.trail15", 201: "k.atr
 
 def _exits_sql() -> str:
     base = _events_sql([39]).replace("39 AS r", "198 AS r").replace("6 AS h, 6 AS gap", "8 AS h, 8 AS gap")
-    path = """pa AS (SELECT evf.n AS en, evf.ts, evf.signal_dir AS dir, evf.entry_px AS ep, evf.exit_px AS tx, a.atr14_btc AS atr, p.n - evf.n AS k, p.close_btc AS px, coalesce(p.volume_btc_pct < 0.3, false) AS low FROM evf JOIN q1 a ON a.n = evf.n JOIN q1 p ON p.n > evf.n AND p.n <= evf.n + 8),
-pb2 AS (SELECT *, dir*(px/ep-1) AS pnl, greatest(ep, max(px) OVER w) AS hi, least(ep, min(px) OVER w) AS lo_, k > 1 AND coalesce(lag(low) OVER w, false) AS low1, max(dir*(px/ep-1)) OVER w AS best FROM pa WINDOW w AS (PARTITION BY en ORDER BY k)),
+    path = """pa AS (SELECT evf.pair, evf.n AS en, evf.ts, evf.signal_dir AS dir, evf.entry_px AS ep, evf.exit_px AS tx, a.atr14_btc AS atr, p.n - evf.n AS k, p.close_btc AS px, coalesce(p.volume_btc_pct < 0.3, false) AS low FROM evf JOIN q1 a ON a.pair = evf.pair AND a.n = evf.n JOIN q1 p ON p.pair = evf.pair AND p.n > evf.n AND p.n <= evf.n + 8),
+pb2 AS (SELECT *, dir*(px/ep-1) AS pnl, greatest(ep, max(px) OVER w) AS hi, least(ep, min(px) OVER w) AS lo_, k > 1 AND coalesce(lag(low) OVER w, false) AS low1, max(dir*(px/ep-1)) OVER w AS best FROM pa WINDOW w AS (PARTITION BY pair, en ORDER BY k)),
 pk AS (SELECT *, coalesce(atr, 0) > 0 AND CASE WHEN dir > 0 THEN px <= ep - 1.5*atr ELSE px >= ep + 1.5*atr END AS atr_hit, CASE WHEN dir > 0 THEN px <= hi - 0.0015*ep ELSE px >= lo_ + 0.0015*ep END AS trail15,
   best >= 0.0015 AND CASE WHEN dir > 0 THEN px <= ep ELSE px >= ep END AS be15 FROM pb2)"""
-    sel = " UNION ALL ".join(f"SELECT 'H{r}' AS rule_id, en, ts, ep, dir, coalesce(arg_min(k.px, k.k) FILTER ({c}), max(tx)) AS exit_px FROM pk k GROUP BY en, ts, ep, dir" for r, c in _EXIT.items())
-    return f"WITH RECURSIVE {FRAME}, {ROWS}, {base}, {path} SELECT rule_id, ts, {rx(exit_px='exit_px', gross_r='dir*(exit_px/ep-1)')} FROM ({sel})"
+    sel = " UNION ALL ".join(f"SELECT 'H{r}' AS rule_id, pair, en, ts, ep, dir, coalesce(arg_min(k.px, k.k) FILTER ({c}), max(tx)) AS exit_px FROM pk k GROUP BY pair, en, ts, ep, dir" for r, c in _EXIT.items())
+    return f"WITH RECURSIVE {FRAME}, {ROWS}, {base}, {path} SELECT pair, rule_id, ts, {rx(exit_px='exit_px', gross_r='dir*(exit_px/ep-1)')} FROM ({sel})"
 
 
 @query("rule_exits", _exits_sql())
 def _(spark, d):
-    return EV.build_events(pair(spark, d), CFG, numbers=list(_EXIT)).select("rule_id", "ts", "exit_px", "gross_r")
+    return EV.build_events(pair(spark, d), CFG, numbers=list(_EXIT)).select("pair", "rule_id", "ts", "exit_px", "gross_r")
 
 
-@query("tail_slope_events", f"""WITH RECURSIVE {EB()}, {PAIR()}, {COARSE}, x AS (SELECT pb.pair, pb.ts, pb.close_btc, h4.spread_pct, h4.eth_slope_sign_1h AS s, row_number() OVER (ORDER BY pb.ts) AS n FROM pb JOIN h4 ON h4.ts = pb.ts//14400*14400),
-c AS (SELECT * FROM x WHERE coalesce(spread_pct < 0.1, false) AND {NE('s', '0')}), t AS (SELECT min(n) AS n FROM c UNION ALL SELECT (SELECT min(c.n) FROM c WHERE c.n >= t.n + 6) FROM t WHERE t.n IS NOT NULL)
-SELECT c.pair, c.ts, {rx(signal_dir='c.s', fwd_r='z.close_btc/c.close_btc-1', gross_r='c.s*(z.close_btc/c.close_btc-1)')} FROM t JOIN c ON c.n = t.n JOIN x z ON z.n = c.n + 6 WHERE c.s IS NOT NULL""")
+@query("tail_slope_events", f"""WITH RECURSIVE {EB()}, {PAIR()}, {COARSE}, x AS (SELECT pb.pair, pb.ts, pb.close_btc, h4.spread_pct, h4.eth_slope_sign_1h AS s, row_number() OVER (PARTITION BY pb.pair ORDER BY pb.ts) AS n FROM pb JOIN h4 ON h4.pair = pb.pair AND h4.ts = pb.ts//14400*14400),
+c AS (SELECT * FROM x WHERE coalesce(spread_pct < 0.1, false) AND {NE('s', '0')}), t AS (SELECT pair, min(n) AS n FROM c GROUP BY 1 UNION ALL SELECT t.pair, (SELECT min(c.n) FROM c WHERE c.pair = t.pair AND c.n >= t.n + 6) FROM t WHERE t.n IS NOT NULL)
+SELECT c.pair, c.ts, {rx(signal_dir='c.s', fwd_r='z.close_btc/c.close_btc-1', gross_r='c.s*(z.close_btc/c.close_btc-1)')} FROM t JOIN c ON c.pair = t.pair AND c.n = t.n JOIN x z ON z.pair = c.pair AND z.n = c.n + 6 WHERE c.s IS NOT NULL""")
 def _(spark, d):
     x = stored(FR.aligned(stored(pair(spark, d)), CFG).drop("idx"))
     return ST.tail_slope_events(x, 6)

@@ -130,12 +130,12 @@ def _(spark, d):
     return _blocks(stored(pair(spark, d)), build, keys=["pair"]).select("pair", "ts", "corr24")
 
 
-@query("carried_changes", f"""WITH {EB()}, {SLOW}, {PAIR()}, j AS (SELECT pb.ts, sl.oi_contracts_btc AS oi FROM pb ASOF LEFT JOIN sl ON pb.ts >= sl.ts)
-SELECT ts, round((CASE WHEN oi <> lag(oi) OVER (ORDER BY ts) THEN oi/lag(oi) OVER (ORDER BY ts) - 1 END) + 3.14159e-08, 6) + 0.0 AS chg FROM j""")
+@query("carried_changes", f"""WITH {EB()}, {SLOW}, {PAIR()}, j AS (SELECT pb.pair, pb.ts, sl.oi_contracts_btc AS oi FROM pb ASOF LEFT JOIN sl ON pb.pair = sl.pair AND pb.ts >= sl.ts)
+SELECT pair, ts, round((CASE WHEN oi <> lag(oi) OVER (PARTITION BY pair ORDER BY ts) THEN oi/lag(oi) OVER (PARTITION BY pair ORDER BY ts) - 1 END) + 3.14159e-08, 6) + 0.0 AS chg FROM j""")
 def _(spark, d):
     from barlab.operators.asof import asof_join
     j = stored(asof_join(stored(pair(spark, d)), slow(spark, d)["oi"], ["pair"], ["oi_contracts_btc"]))
-    return _blocks(j, lambda x, w: x.withColumn("chg", W.carry_change(F.col("oi_contracts_btc"), w)), keys=["pair"]).select("ts", "chg")
+    return _blocks(j, lambda x, w: x.withColumn("chg", W.carry_change(F.col("oi_contracts_btc"), w)), keys=["pair"]).select("pair", "ts", "chg")
 
 
 @query("best_two_per_day", f"""WITH {EB()}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts//86400 ORDER BY volume DESC, ts) AS k FROM eb) SELECT symbol, ts, round((volume) + 3.14159e-08, 6)+0.0 AS volume FROM r WHERE k <= 2""")
@@ -261,12 +261,12 @@ def _(spark, d):
     return FR.frame(pair(spark, d), CFG).select("pair", "ts", *_FC)
 
 
-@query("frame_without_lookahead", f"""WITH {EB()}, {PAIR()}, {COARSE} SELECT pb.pair, pb.ts, {R('eth_slope_sign_1h', 'spread_pct', t='h')} FROM pb ASOF LEFT JOIN (SELECT *, ts + 14400 AS until FROM h4) h ON pb.ts >= h.until""")
+@query("frame_without_lookahead", f"""WITH {EB()}, {PAIR()}, {COARSE} SELECT pb.pair, pb.ts, {R('eth_slope_sign_1h', 'spread_pct', t='h')} FROM pb ASOF LEFT JOIN (SELECT *, ts + 14400 AS until FROM h4) h ON pb.pair = h.pair AND pb.ts >= h.until""")
 def _(spark, d):
     return FR.aligned(stored(pair(spark, d)), CFG, label="right").select("pair", "ts", "eth_slope_sign_1h", "spread_pct")
 
 
-ALIGNED = f"{EB()}, {SLOW}, {PAIR()}, al AS (SELECT pb.pair, pb.ts, sl.* EXCLUDE (ts) FROM pb ASOF LEFT JOIN sl ON pb.ts >= sl.ts)"
+ALIGNED = f"{EB()}, {SLOW}, {PAIR()}, al AS (SELECT pb.pair, pb.ts, sl.* EXCLUDE (pair, ts) FROM pb ASOF LEFT JOIN sl ON pb.pair = sl.pair AND pb.ts >= sl.ts)"
 
 
 @query("slow_feature_block", f"""WITH {ALIGNED}, a AS (SELECT *, long_liq_usd_btc + short_liq_usd_btc AS tl, coalesce(long_liq_usd_btc,0) AS ll, sign(funding_rate_btc)::DOUBLE AS fs, funding_rate_eth - funding_rate_btc AS fsp FROM al),
@@ -285,7 +285,7 @@ def _(spark, d):
 def _th():
     lg = lambda c, k: f"lag({c},{k}) OVER ({PW})"
     z = lambda c: f"coalesce({c},0)"
-    return f"""WITH {EB()}, {SLOW}, {PAIR()}, {COARSE}, {_f1}, g0 AS (SELECT f4.*, sl.* EXCLUDE (ts) FROM f4 ASOF LEFT JOIN sl ON f4.ts >= sl.ts),
+    return f"""WITH {EB()}, {SLOW}, {PAIR()}, {COARSE}, {_f1}, g0 AS (SELECT f4.*, sl.* EXCLUDE (pair, ts) FROM f4 ASOF LEFT JOIN sl ON f4.pair = sl.pair AND f4.ts >= sl.ts),
 g1 AS (SELECT *, coalesce(spread_pct, 0.5) AS sp, coalesce(rv48_pct_btc, 0.5) AS rv, coalesce(funding_rate_btc, 0) AS f, oi_contracts_btc AS oi, coalesce(sign(ret1_btc), 0)::INT AS sg, {z('c_btc/c48_btc-1')} AS r4b, {z('c_eth/c48_eth-1')} AS r4e,
   {z('c_btc/c12_btc-1')} - {z('c_eth/c12_eth-1')} AS dv, {rank_sql('(long_liq_usd_btc + short_liq_usd_btc)',120,PW)} AS tlp, {rank_sql('long_liq_usd_btc',120,PW)} AS llp,
   {win('quantile_cont','ar_btc',24,PW,extra=', 0.3')} AS q30, (ts % 86400)//60/60.0 AS hr, coalesce(rv48_pct_btc < 0.2, false)::INT AS low, row_number() OVER ({PW}) AS rn FROM g0),

@@ -29,7 +29,7 @@ def _(spark, d):
     return _matrix(spark, d)
 
 
-@query("training_matrix_by_regime", f"""WITH {SLOW}, {FRAME}, {_M0.replace('FROM f4)', 'FROM f4 ASOF LEFT JOIN (SELECT ts AS st, hmm_regime FROM sl) s ON f4.ts >= s.st)').replace('WHERE fwd_r_h <> 0', "WHERE hmm_regime = 'RANGING' AND fwd_r_h <> 0")} SELECT pair, ts, target, {R('fwd_r_h', *FEATS)} FROM m""")
+@query("training_matrix_by_regime", f"""WITH {SLOW}, {FRAME}, {_M0.replace('FROM f4)', 'FROM f4 ASOF LEFT JOIN (SELECT pair AS sp_, ts AS st, hmm_regime FROM sl) s ON f4.pair = s.sp_ AND f4.ts >= s.st)').replace('WHERE fwd_r_h <> 0', "WHERE hmm_regime = 'RANGING' AND fwd_r_h <> 0")} SELECT pair, ts, target, {R('fwd_r_h', *FEATS)} FROM m""")
 def _(spark, d):
     return _matrix(spark, d, "RANGING")
 
@@ -70,13 +70,12 @@ _IMP = f"{_F}, {_LONG}, im AS (SELECT *, row_number() OVER (PARTITION BY fold OR
 
 def _imp(m, folds):
     from pyspark.sql import Window
-    j = m.join(F.broadcast(folds), (F.col("ts") >= F.col("train_end")) & (F.col("ts") < F.col("test_end")))  # a few folds
-    a = j.groupBy("fold").agg(*[F.round(F.corr(f, "fwd_r_h"), 9).alias(f) for f in FEATS])
+    a = MN.in_folds(m, folds, "train_end").groupBy("fold").agg(*[F.round(F.corr(f, "fwd_r_h"), 9).alias(f) for f in FEATS])
     l = a.unpivot(["fold"], FEATS, "feature", "signed").withColumn("importance", F.abs("signed"))
     return l.withColumn("rank", F.row_number().over(Window.partitionBy("fold").orderBy(F.col("importance").desc(), "feature")))
 
 
-@query("stable_features", f"""WITH {_M}, {_IMP} SELECT feature, count(*) FILTER (rank <= 3) AS consistent_folds, {rx(mean_importance='sum(importance)/4')}, CASE WHEN sum(signed) > 0 THEN 'positive' ELSE 'negative' END AS direction FROM im GROUP BY 1 HAVING count(*) FILTER (rank <= 3) >= 2""")
+@query("stable_features", f"""WITH {_M}, {_IMP} SELECT feature, count(*) FILTER (rank <= 3) AS consistent_folds, {rx(mean_importance='sum(importance)/4')}, CASE WHEN sum(signed) > 0 THEN 'positive' ELSE 'negative' END AS direction, false AS ca_family FROM im GROUP BY 1 HAVING count(*) FILTER (rank <= 3) >= 2""")
 def _(spark, d):
     m = stored(_matrix(spark, d))
     return MN.stable_features(_imp(m, _folds(m)), 4, min_folds=2, top=3)
@@ -142,7 +141,20 @@ def _(spark, d):
     return MN.stable_pairs(_quads(spark, d), min_folds=2)
 
 
-_RB = f"""WITH {SLOW}, {FRAME}, {_M0.replace('FROM f4)', 'FROM f4 ASOF LEFT JOIN (SELECT ts AS st, hmm_regime FROM sl) s ON f4.ts >= s.st)').replace('SELECT pair, ts, fwd_r_h', 'SELECT hmm_regime, pair, ts, fwd_r_h')},
+_FAM = lambda f: f"CASE WHEN contains({f}, 'rv') OR contains({f}, 'atr') THEN 'volatility_state' WHEN contains({f}, 'funding') THEN 'funding_regime' WHEN contains({f}, 'vwap') OR contains({f}, 'dist') THEN 'mean_reversion' WHEN contains({f}, 'er20') OR contains({f}, 'delta_er') THEN 'efficiency' ELSE 'unknown' END"
+
+
+@query("pair_suggestions", f"""WITH {_M}, {_quads_sql()}, g AS (SELECT f1, dir1, f2, dir2, count(*) AS fold_count, count(*) FILTER (direction='long')*1.0/count(*) AS l, avg(mean_fwd_r) AS r FROM qd GROUP BY 1,2,3,4),
+s AS (SELECT *, greatest(l, 1-l) AS pc, CASE WHEN l >= 0.67 THEN 'long' ELSE 'short' END AS direction FROM g WHERE fold_count >= 3 AND (l >= 0.67 OR 1-l >= 0.67)),
+k AS (SELECT *, row_number() OVER (ORDER BY fold_count DESC, pc DESC, abs(r) DESC, f1, dir1, f2, dir2) AS n, {_FAM('f1')} AS a, {_FAM('f2')} AS b FROM s WHERE round(pc, 2) >= 0.7)
+SELECT 'H' || CAST(264 + n AS VARCHAR) AS suggested_id, f1, dir1, f2, dir2, direction, fold_count, {rx(pct_consistent='pc', mean_fwd_r='r')},
+ 'Enter ' || direction || ' BTC when ' || f1 || CASE dir1 WHEN 'high' THEN ' >70th pct' ELSE ' <30th pct' END || ' AND ' || f2 || CASE dir2 WHEN 'high' THEN ' >70th pct' ELSE ' <30th pct' END || ', gated by regime=RANGING' AS suggested_rule,
+ CASE WHEN a = b THEN a ELSE 'composite_' || a || '_' || b END AS suggested_family, false AS ca_family FROM k WHERE n <= 8""")
+def _(spark, d):
+    return MN.suggest_pairs(MN.stable_pairs(_quads(spark, d), min_folds=2), 265, "RANGING", min_folds=3)
+
+
+_RB = f"""WITH {SLOW}, {FRAME}, {_M0.replace('FROM f4)', 'FROM f4 ASOF LEFT JOIN (SELECT pair AS sp_, ts AS st, hmm_regime FROM sl) s ON f4.pair = s.sp_ AND f4.ts >= s.st)').replace('SELECT pair, ts, fwd_r_h', 'SELECT hmm_regime, pair, ts, fwd_r_h')},
 c AS (SELECT * FROM (VALUES ('er20_btc','positive'), ('ret1_btc','negative')) v(feature, direction)), l AS (SELECT hmm_regime AS regime, fwd_r_h, feature, direction, CASE feature WHEN 'er20_btc' THEN er20_btc ELSE ret1_btc END AS v FROM m CROSS JOIN c),
 q AS (SELECT feature, quantile_cont(v, 0.7) AS hi, quantile_cont(v, 0.3) AS lo FROM l GROUP BY 1),
 rb AS (SELECT feature, direction, regime, count(*) AS n, CASE WHEN count(*) >= 20 THEN avg(fwd_r_h) END AS mean_fwd_r FROM l JOIN q USING (feature) WHERE regime IS NOT NULL AND CASE WHEN direction='positive' THEN v > hi ELSE v < lo END GROUP BY 1,2,3)"""
@@ -162,8 +174,8 @@ def _(spark, d):
 
 @query("rule_suggestions", f"""{_RB}, best AS (SELECT feature, arg_max(regime, mean_fwd_r) AS best_regime FROM rb WHERE mean_fwd_r IS NOT NULL GROUP BY 1), st AS (SELECT feature, direction, sum(n) AS consistent_folds FROM rb GROUP BY 1,2),
 s AS (SELECT *, row_number() OVER (ORDER BY consistent_folds DESC, feature) AS k FROM st LEFT JOIN best USING (feature))
-SELECT 'H' || CAST(264 + k AS VARCHAR) AS suggested_id, feature, direction, CAST(consistent_folds AS BIGINT) AS consistent_folds, 'Enter long when ' || feature || ' is ' || CASE WHEN direction='positive' THEN 'above 70th pct' ELSE 'below 30th pct' END || coalesce(', gated by regime=' || best_regime, '') AS suggested_rule,
- CASE WHEN feature LIKE 'ret_%' AND feature LIKE 'ret\\_%' ESCAPE '\\' THEN 'mean_reversion' ELSE 'cross_asset_regime' END AS suggested_family, best_regime FROM s""")
+SELECT 'H' || CAST(264 + k AS VARCHAR) AS suggested_id, feature, direction, CAST(consistent_folds AS BIGINT) AS consistent_folds, 'Enter long BTC when ' || feature || ' is ' || CASE WHEN direction='positive' THEN 'above 70th pct' ELSE 'below 30th pct' END || coalesce(', gated by regime=' || best_regime, '') AS suggested_rule,
+ CASE feature WHEN 'er20_btc' THEN 'efficiency' ELSE 'unknown' END AS suggested_family, best_regime FROM s""")
 def _(spark, d):
     rb = stored(_breakdown(spark, d))
     st = rb.groupBy("feature", "direction").agg(F.sum("n").alias("consistent_folds")).withColumn("mean_importance", F.lit(0.0))

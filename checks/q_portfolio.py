@@ -146,7 +146,7 @@ def _(spark, d):
 
 
 _IDS = "(SELECT DISTINCT rule_id FROM me)"
-_COR = f"{ME}, dy AS (SELECT i.rule_id, g.day, coalesce(sum(gross_r - 0.0008) FILTER (me.ts IS NOT NULL), 0) AS pnl FROM {_IDS} i CROSS JOIN (SELECT DISTINCT ts//86400 AS day FROM me) g LEFT JOIN me ON me.rule_id = i.rule_id AND me.ts//86400 = g.day GROUP BY 1,2), co AS (SELECT a.rule_id AS a, b.rule_id AS b, corr(a.pnl, b.pnl) AS corr FROM dy a JOIN dy b USING (day) GROUP BY 1,2)"
+_COR = f"{ME}, dy AS (SELECT i.rule_id, g.day, coalesce(sum(gross_r - 0.0008) FILTER (me.ts IS NOT NULL), 0) AS pnl FROM {_IDS} i CROSS JOIN (SELECT DISTINCT ts//86400 AS day FROM me) g LEFT JOIN me ON me.rule_id = i.rule_id AND me.ts//86400 = g.day GROUP BY 1,2), co AS (SELECT a.rule_id AS a, b.rule_id AS b, corr(a.pnl, b.pnl) AS corr FROM dy a JOIN dy b USING (day) WHERE a.rule_id < b.rule_id GROUP BY 1,2)"
 
 
 @query("pair_correlation", f"WITH {_COR} SELECT a, b, {R('corr')} FROM co")

@@ -50,12 +50,12 @@ def _(spark, d):
 _DRAW = stats.draw_sql("b.b", "i.i", 42, "g.n")
 
 
-@query("bootstrap_intervals", f"""WITH {OE}, v AS (SELECT rule_id, gross_r, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS j FROM oe WHERE ev_id % 20 = 0),
-g AS (SELECT rule_id, count(*) AS n FROM v GROUP BY 1), dr AS (SELECT g.rule_id, b.b, {_DRAW} AS j FROM g CROSS JOIN range(200) b(b) CROSS JOIN range(1000) i(i) WHERE i.i < g.n),
+@query("bootstrap_intervals", f"""WITH {OE}, v AS (SELECT rule_id, gross_r, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS j FROM oe),
+g AS (SELECT rule_id, count(*) AS n FROM v GROUP BY 1), dr AS (SELECT g.rule_id, b.b, {_DRAW} AS j FROM g CROSS JOIN range(200) b(b) JOIN range(1000000) i(i) ON i.i < g.n),
 m AS (SELECT dr.rule_id, dr.b, avg(v.gross_r) AS mean FROM dr JOIN v ON v.rule_id = dr.rule_id AND v.j = dr.j GROUP BY 1, 2)
 SELECT rule_id, mode, {rx(mean_ci_low='quantile_cont(mean - c, 0.025)', mean_ci_high='quantile_cont(mean - c, 0.975)', p_mean_gt_0='avg((mean - c > 0)::INT)')} FROM m CROSS JOIN {MODES} GROUP BY 1, 2""")
 def _(spark, d):
-    e = order_events(spark, d).where("ev_id % 20 = 0")
+    e = order_events(spark, d)
     return stats.bootstrap_ci(stats.bootstrap_means(e, BY, "gross_r", ["ts", "ev_id"], 200, 42), BY)
 
 

@@ -13,14 +13,29 @@ from barlab.plans import features as feat
 from barlab.sources import derive
 from barlab.streaming import jobs as J
 
-from .fixtures import EB
+from .fixtures import EB, PAIRS, _LEGS
 from .q_features import BF, W1
 from .registry import R, query, rx
 
 
+def _streamed(spark, df, make, order="ts", parts=4, run=None):
+    """``df`` arrives as files in order, one file per micro-batch; the query is stopped half-way and started again
+    from its checkpoint."""
+    root = f"{shared_folder(spark)}/barlab/stream-{uuid.uuid4().hex}"
+    df = stored(df)
+    at = F.col(order).cast("double")
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - lo) / ((hi - lo) / parts)), F.lit(parts - 1))
+    for i in range(parts):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if i in (parts // 2 - 1, parts - 1):
+            s = make(J.read_parquet(spark, f"{root}/in", df.schema, files_per_batch=1))
+            out = run(s, root) if run else J.run_to_table(s, root)
+    return out
+
+
 def _ticks(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    s = J.read_parquet(spark, d, schema, pattern="events.parquet")
+    s = derive.read(spark, d, "events")
     return s.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), "event_id",
                     (F.lit(100.0) + F.col("value")).alias("price"), F.lit(1.0).alias("volume"), "user_id")
 
@@ -31,22 +46,19 @@ _CLOSED = f"cb AS (SELECT * FROM eb WHERE ts + 3600 <= {_LATE})"
 
 @query("stream_bars", f"WITH {EB()}, {_CLOSED} SELECT symbol, ts, {R('open','high','low','close','volume')} FROM cb")
 def _(spark, d):
-    return J.run_to_table(J.stream_bars(_ticks(spark, d)))
+    return _streamed(spark, _ticks(spark, d), J.stream_bars, "at")
 
 
 @query("stream_distinct", "SELECT user_id, count(*) AS n FROM (SELECT user_id, symbol FROM (SELECT user_id, event_type AS symbol FROM events) GROUP BY 1, 2) GROUP BY 1")
 def _(spark, d):
-    s = J.stream_distinct(_ticks(spark, d).select("user_id", "symbol", "at"), ["user_id", "symbol"], "at", "60 days")
-    return J.run_to_table(s).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    s = _streamed(spark, _ticks(spark, d).select("user_id", "symbol", "at"), lambda s: J.stream_distinct(s, ["user_id", "symbol"], "at", "60 days"), "at")
+    return s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_features", f"WITH {EB()}, {BF} SELECT symbol, ts, {R('atr14','er20','rv48','vwap48')} FROM bf")
 def _(spark, d):
     """Bars as a stream of files, features from the ring buffer; equal to the batch features."""
-    root = f"{shared_folder(spark)}/barlab/sf-{uuid.uuid4().hex}"
-    b = stored(derive.event_bars(spark, d))
-    b.write.parquet(f"{root}/in")
-    return J.run_to_table(J.stream_features(J.read_parquet(spark, f"{root}/in", b.schema)))
+    return _streamed(spark, derive.event_bars(spark, d), J.stream_features)
 
 
 _IX = f"ix AS (SELECT *, row_number() OVER ({W1}) - 1 AS idx FROM eb)"
@@ -60,10 +72,7 @@ def _cands(spark, d):
 @query("stream_thinning", f"""WITH RECURSIVE {EB()}, {_IX}, c AS (SELECT symbol, ts, idx FROM ix WHERE volume >= 3),
 t AS (SELECT symbol, min(idx) AS idx FROM c GROUP BY 1 UNION ALL SELECT t.symbol, (SELECT min(c.idx) FROM c WHERE c.symbol = t.symbol AND c.idx >= t.idx + 9) FROM t WHERE t.idx IS NOT NULL) SELECT c.symbol, c.ts, c.idx FROM t JOIN c ON t.symbol=c.symbol AND t.idx=c.idx""")
 def _(spark, d):
-    root = f"{shared_folder(spark)}/barlab/st-{uuid.uuid4().hex}"
-    c = stored(_cands(spark, d))
-    c.write.parquet(f"{root}/in")
-    return J.run_to_table(J.stream_thin(J.read_parquet(spark, f"{root}/in", c.schema), ["symbol"], 9))
+    return _streamed(spark, _cands(spark, d), lambda s: J.stream_thin(s, ["symbol"], 9))
 
 
 @query("stream_replay_check", f"""WITH RECURSIVE {EB()}, {_IX}, c AS (SELECT symbol, ts, idx FROM ix WHERE volume >= 3),
@@ -71,23 +80,18 @@ t AS (SELECT symbol, min(idx) AS idx FROM c GROUP BY 1 UNION ALL SELECT t.symbol
 n AS (SELECT t.symbol, count(*) AS n FROM t WHERE idx IS NOT NULL GROUP BY 1) SELECT symbol, n AS expected, n AS actual, n AS matches, 0 AS mismatches, 0 AS length_gap FROM n""")
 def _(spark, d):
     """The streamed thinning against the batch thinning of the same candidates."""
-    root = f"{shared_folder(spark)}/barlab/sr-{uuid.uuid4().hex}"
     c = stored(_cands(spark, d))
-    c.write.parquet(f"{root}/in")
     as_trades = lambda x: x.select("symbol", F.col("ts").alias("entry_ts"), (F.col("ts") + 3600).alias("exit_ts"), F.lit(1).alias("signal_dir"))
-    s = J.run_to_table(J.stream_thin(J.read_parquet(spark, f"{root}/in", c.schema), ["symbol"], 9))
+    s = _streamed(spark, c, lambda s: J.stream_thin(s, ["symbol"], 9))
     return J.replay_check(stored(as_trades(s)), stored(as_trades(thin(c, ["symbol"], 9))), ["symbol"], 0)
 
 
-@query("stream_stale_legs", f"""WITH {EB()}, l AS (SELECT symbol, max(ts) AS t FROM eb GROUP BY 1) SELECT base || '/' || lead AS pair, a.t AS base_ts, b.t AS lead_ts, a.t - b.t > 300 AS blocked FROM (VALUES ('click','view'), ('error','signup')) p(base, lead) JOIN l a ON a.symbol=base JOIN l b ON b.symbol=lead""")
+@query("stream_stale_legs", f"""WITH {EB()}, l AS (SELECT symbol, max(ts) AS t FROM eb GROUP BY 1) SELECT base || '/' || lead AS pair, a.t AS base_ts, b.t AS lead_ts, a.t - b.t > 300 AS blocked FROM (VALUES {_LEGS}) p(base, lead) JOIN l a ON a.symbol=base JOIN l b ON b.symbol=lead""")
 def _(spark, d):
-    root = f"{shared_folder(spark)}/barlab/sg-{uuid.uuid4().hex}"
-    b = derive.event_bars(spark, d)
-    b.write.parquet(f"{root}/in")
-    p = spark.createDataFrame([("click", "view"), ("error", "signup")], "base string, lead string")
-    s = J.run_to_table(J.stream_stale(J.read_parquet(spark, f"{root}/in", b.schema), p))
-    # several batches may report; the newest state stands
-    return s.groupBy("pair").agg(F.max("base_ts").alias("base_ts"), F.max("lead_ts").alias("lead_ts")).withColumn("blocked", F.col("base_ts") - F.col("lead_ts") > 300)
+    p = spark.createDataFrame(PAIRS, "base string, lead string")
+    s = _streamed(spark, derive.event_bars(spark, d), lambda s: J.stream_stale(s, p))
+    # every batch reports; times only grow, so the newest state is the largest
+    return s.groupBy("pair").agg(F.max(F.struct("base_ts", "lead_ts", "blocked")).alias("s")).select("pair", "s.*")
 
 
 @query("stream_upsert_sink", """SELECT event_type AS symbol, CAST(floor(epoch(ts)/3600) AS BIGINT)*3600 AS ts, round(arg_max(value, event_id) + 3.14159e-08, 6)+0.0 AS v FROM events GROUP BY 1, 2""")
@@ -104,10 +108,11 @@ def _(spark, d):
 
 @query("stream_asof_sink", f"""WITH {EB()}, s AS (SELECT ts, open AS rate FROM eb WHERE symbol='error' AND ts % 14400 = 0) SELECT c.symbol, c.ts, {R('rate', t='s')} FROM (SELECT * FROM eb WHERE symbol <> 'error') c ASOF LEFT JOIN s ON c.ts >= s.ts""")
 def _(spark, d):
-    root = f"{shared_folder(spark)}/barlab/sa-{uuid.uuid4().hex}"
     b = stored(derive.event_bars(spark, d))
     x = b.where("symbol <> 'error'").select("symbol", "ts")
-    x.write.parquet(f"{root}/in")
     slow = expand(b.where("symbol = 'error' and ts % 14400 = 0").select("ts", F.col("open").alias("rate")), symbol=["click", "purchase", "signup", "view"])
-    J.run_available(J.read_parquet(spark, f"{root}/in", x.schema), f"{root}/ck", batch=J.asof_sink(slow, ["symbol"], ["rate"], f"{root}/out"))
-    return spark.read.parquet(f"{root}/out").select("symbol", "ts", "rate")
+
+    def run(s, root):
+        J.run_available(s, f"{root}/ck", batch=J.asof_sink(slow, ["symbol"], ["rate"], f"{root}/out"))
+        return spark.read.parquet(f"{root}/out").select("symbol", "ts", "rate")
+    return _streamed(spark, x, lambda s: s, run=run)

@@ -102,4 +102,4 @@ def test_correlation_matches_pandas(spark):
     m = p.assign(day=p.ts // 86400).pivot_table(index="day", columns="rule_id", values="gross_r", aggfunc="sum").fillna(0).corr()
     for a in "abcd":
         for b in "abcd":
-            assert got[a, b] == pytest.approx(m.loc[a, b])
+            assert (a, b) not in got if a >= b else got[a, b] == pytest.approx(m.loc[a, b])
