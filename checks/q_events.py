@@ -8,10 +8,9 @@ from barlab.operators import stats
 from barlab.operators.store import stored
 from barlab.plans import events as EV
 from barlab.plans import frame as FR
-from barlab.plans import rules as RL
 from barlab.plans import studies as ST
 
-from .fixtures import CFG, pair, slow
+from .fixtures import CFG, pair
 from .q_features import ALIGNED, COARSE, FRAME, PW, EB, PAIR
 from .registry import R, query, r6, rank_sql, rx
 
@@ -79,16 +78,6 @@ def _(spark, d):
     return ev.select("pair", "rule_id", "ts", "signal_dir", "entry_px", "exit_px", "gross_r", "mae_proxy")
 
 
-@query("all_rules_counts")
-def _(spark, d):
-    """The whole catalogue at once. SQL for 218 rules is out of proportion; tests/test_rules.py checks
-    the events against a walk over a small fixture."""
-    ev = EV.build_events(pair(spark, d), CFG, slow(spark, d))
-    a = ev.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_r").alias("mean"), F.sum("signal_dir").alias("net_dir"))
-    every = spark.createDataFrame([(r.rule_id, r.family) for r in RL.rules()], "rule_id string, family string")
-    return every.join(a, "rule_id", "left").na.fill(0, ["n"])
-
-
 _EXIT = {198: "k.atr_hit", 199: "k.pnl >= 0.0025", 200: "k.trail15", 201: "k.atr_hit OR k.pnl >= 0.0025", 211: "k.be15", 214: "k.low AND k.low1"}
 
 
