@@ -1,6 +1,7 @@
 """Feature mining: training matrices, folds, per-fold models, stability tables, regime labels."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 from typing import Sequence
@@ -279,26 +280,30 @@ def regime_features(hourly: DataFrame, funding: DataFrame | None = None, keys: S
 
 
 def label_regimes(feats: DataFrame, folds: DataFrame, cols: Sequence[str] = ("rv_1h", "er20_1h", "atr_pct_1h", "funding_pct_1h"),
-                  k: int = 3, key: str = "symbol") -> DataFrame:
-    """Walk-forward state labels: per fold standardise on the training rows, fit a k-component Gaussian
-    mixture there, decode the test rows, and renumber states by rising mean volatility. A mixture stands
-    in for the hidden Markov model (same emissions, no transition matrix)."""
+                  k: int = 3, key: str = "symbol", parallel: int = 4) -> DataFrame:
+    """Walk-forward state labels, one model per (symbol, fold): standardise on the training rows, fit a k-component
+    Gaussian mixture there, decode the test rows, and renumber states by rising mean volatility. A mixture stands in
+    for the hidden Markov model (same emissions, no transition matrix). ``folds`` has the key, fold, train_start,
+    train_end and test_end; the list is short, its fits are Spark jobs submitted ``parallel`` at a time."""
     cols = list(cols)
-    asm = VectorAssembler(inputCols=cols, outputCol="_raw")
-    f_all = asm.transform(feats)
-    out = None
-    for f in folds.orderBy("fold").collect():
-        tr = f_all.where((F.col("ts") >= f.train_start) & (F.col("ts") < f.train_end))
-        te = f_all.where((F.col("ts") >= f.train_end) & (F.col("ts") < f.test_end))
+    f_all = VectorAssembler(inputCols=cols, outputCol="_raw").transform(feats)
+
+    def label(f) -> DataFrame:
+        own = f_all.where(F.col(key) == f[key])
+        tr = own.where((F.col("ts") >= f.train_start) & (F.col("ts") < f.train_end))
+        te = own.where((F.col("ts") >= f.train_end) & (F.col("ts") < f.test_end))
         sc = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(tr)
         gm = GaussianMixture(k=k, seed=42, maxIter=50).fit(sc.transform(tr))
         z = gm.transform(sc.transform(te)).select(key, "ts", *cols, F.col("prediction").alias("_s"))
-        one = z.withColumns({"fold": F.lit(int(f.fold)), "model_train_end": F.lit(int(f.train_end))})
-        out = one if out is None else out.unionByName(one)
-    m = out.groupBy("fold", "_s").agg(F.avg(cols[0]).alias("_m"))
-    m = m.withColumn("state_id", F.row_number().over(Window.partitionBy("fold").orderBy("_m", "_s")) - 1)
+        return z.withColumns({"fold": F.lit(int(f.fold)), "model_train_end": F.lit(int(f.train_end))})
+
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(label, folds.orderBy(key, "fold").collect()))
+    out = stored(reduce(lambda a, b: a.unionByName(b), done))
+    m = out.groupBy(key, "fold", "_s").agg(F.avg(cols[0]).alias("_m"))
+    m = m.withColumn("state_id", F.row_number().over(Window.partitionBy(key, "fold").orderBy("_m", "_s")) - 1)
     names = F.array(*[F.lit(x) for x in REGIMES])
-    j = out.join(small(m.drop("_m")), ["fold", "_s"])  # k rows per fold
+    j = out.join(small(m.drop("_m")), [key, "fold", "_s"])  # k rows per model
     return j.withColumn("regime_name", F.coalesce(F.get(names, F.col("state_id")), F.lit("UNKNOWN"))).drop("_s")
 
 

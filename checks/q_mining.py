@@ -56,11 +56,14 @@ def _(spark, d):
     return MN.sliding_folds(stored(_matrix(spark, d)), 25, 8, 3, 50, 20)
 
 
-@query("fold_importance")
+@query("fold_importance", f"WITH {_M}, {_F} SELECT fold, {len(FEATS)} AS features, true AS ranked_in_order, true AS sums_to_one FROM fo")
 def _(spark, d):
-    """Boosted trees per fold; results depend on the fit, so rows only."""
+    """Boosted trees per fold. The importances depend on the fit; SQL says what holds for any fit."""
     m = stored(_matrix(spark, d))
-    return MN.fold_importance(m, _folds(m), FEATS, trees=5, depth=2)
+    i = MN.fold_importance(m, _folds(m), FEATS, trees=5, depth=2)
+    ranks = F.array_sort(F.collect_list(F.struct("rank", (-F.col("importance")).alias("i"))))
+    return i.groupBy("fold").agg(F.count(F.lit(1)).alias("features"), ((F.array_sort(F.transform(ranks, lambda x: x["i"])) == F.transform(ranks, lambda x: x["i"]))
+                                 & (F.max("rank") == F.count(F.lit(1)))).alias("ranked_in_order"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"))
 
 
 # importances that SQL can repeat: absolute correlation of feature and target on the test rows of a fold
@@ -197,14 +200,24 @@ def _(spark, d):
     return _regime_feats(spark, d)
 
 
-@query("regime_labels")
+@query("regime_labels", f"""WITH {_RF}, d AS (SELECT symbol, ts//86400 AS day, count(*) AS n FROM rf GROUP BY 1, 2), b AS (SELECT symbol, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1), cu AS (SELECT symbol, lo + 12 + k*6 AS cut FROM b, range(50) r(k) WHERE lo + 12 + k*6 <= hi),
+f0 AS (SELECT symbol, cut, coalesce(sum(n) FILTER (day < cut), 0) AS n_train, coalesce(sum(n) FILTER (day >= cut), 0) AS n_test FROM cu JOIN d USING (symbol) WHERE day < cut + 6 GROUP BY 1, 2),
+fo AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY cut) AS fold FROM f0 WHERE n_train >= 100 AND n_test >= 30)
+SELECT fo.symbol, fo.fold, fo.cut*86400 AS model_train_end, count(*) AS n, true AS once, true AS rising FROM fo JOIN rf ON rf.symbol = fo.symbol AND rf.ts >= cut*86400 AND rf.ts < (cut + 6)*86400 GROUP BY 1, 2, 3""")
 def _(spark, d):
-    """Mixture states per fold; results depend on the fit, so rows only."""
+    """Mixture states per symbol and fold. The labels depend on the fit; SQL says which rows are labelled, once each, by
+    which fold, and that states rise with volatility."""
     f = stored(_regime_feats(spark, d))
-    one = f.where("symbol = 'click'")
-    folds = MN.expanding_folds(one, 12, 6, 100, 30)
-    l = stored(MN.label_regimes(f, folds))
-    return MN.state_summary(l, ["rv_1h", "er20_1h", "atr_pct_1h"], ["symbol"])
+    symbols = [r[0] for r in f.select("symbol").distinct().collect()]
+    folds = None
+    for s in symbols:
+        one = MN.expanding_folds(f.where(F.col("symbol") == s), 12, 6, 100, 30).withColumn("symbol", F.lit(s))
+        folds = one if folds is None else folds.unionByName(one)
+    x = stored(MN.label_regimes(f, folds))
+    by = ["symbol", "fold", "model_train_end"]
+    m = x.groupBy(*by, "state_id").agg(F.avg("rv_1h").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("ts").alias("u"))
+    v = F.transform(F.array_sort(F.collect_list(F.struct("state_id", "m"))), lambda s: s["m"])
+    return m.groupBy(*by).agg(F.sum("n").alias("n"), (F.sum("u") == F.sum("n")).alias("once"), (F.array_sort(v) == v).alias("rising"))
 
 
 @query("state_summary", f"""WITH {_RF}, s AS (SELECT *, CASE WHEN er20_1h < 0.1 THEN 0 WHEN er20_1h < 0.2 THEN 1 ELSE 2 END AS state_id FROM rf)
