@@ -89,7 +89,7 @@ m AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS
       FROM a LEFT JOIN dl USING (r) LEFT JOIN c USING (r))
 SELECT *, n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.repeat_pct} * n_words AS base_failed,
        NOT (n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.repeat_pct} * n_words)
-       AND dup_line_chars <= CAST({_LIMITS.line_chars} AS DOUBLE) * word_chars AND {_COVER} AS kept FROM m""")
+       AND dup_line_chars <= CAST({_LIMITS.line_chars} AS DOUBLE) * word_chars AND n_symbols <= CAST({_LIMITS.symbols} AS DOUBLE) * n_words AND {_COVER} AS kept FROM m""")
 def _(spark, sf_dir):
     return repetition.quality(table(spark, sf_dir, "documents"))
 

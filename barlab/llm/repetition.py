@@ -22,11 +22,12 @@ _BY_WORD = Powers(0xAF251AF3B0F025B5)
 @dataclass(frozen=True)
 class Limits:
     """The verdict. ``coverage``: largest share of the characters of words inside repeated n-grams of each
-    length; ``line_chars``: largest share inside lines that equal an earlier one. Longer n-grams are allowed
-    less, since they repeat by chance less often. The base rule (too few words, too many repeated 5-word
-    windows) comes first."""
-    coverage: dict[int, float] = field(default_factory=lambda: {6: 0.20, 7: 0.19, 8: 0.18, 9: 0.17, 10: 0.16})
+    length; ``line_chars``: largest share inside lines that equal an earlier one; ``symbols``: most symbols per
+    word. Longer n-grams are allowed less, since they repeat by chance less often; the shortest catches words
+    repeated in a row. The base rule (too few words, too many repeated 5-word windows) comes first."""
+    coverage: dict[int, float] = field(default_factory=lambda: {4: 0.50, 6: 0.30, 8: 0.28, 10: 0.26})
     line_chars: float = 0.30
+    symbols: float = 0.10
     min_words: int = 10
     repeat_pct: int = 20
     window: int = 5
@@ -95,7 +96,7 @@ def measure_slice(s: Slice, window: int, lengths: tuple[int, ...]) -> dict[str,
     return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-def measures(window: int = 5, lengths: tuple[int, ...] = (6, 7, 8, 9, 10)):
+def measures(window: int = 5, lengths: tuple[int, ...] = (4, 6, 8, 10)):
     """Arrow UDF: text -> struct of counts. n_words, word_chars (code points in words), n_symbols,
     n_dup_lines, dup_line_chars, n_repeat_words and in_<n>: code points of words inside repeated n-grams."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "dup_line_chars", "n_repeat_words", *[f"in_{k}" for k in lengths]]
@@ -113,7 +114,7 @@ def base_failed(m: Column, limits: Limits) -> Column:
 
 
 def passed(m: Column, limits: Limits) -> Column:
-    ok = m["dup_line_chars"] <= limits.line_chars * m["word_chars"]
+    ok = (m["dup_line_chars"] <= limits.line_chars * m["word_chars"]) & (m["n_symbols"] <= limits.symbols * m["n_words"])
     for k, share in sorted(limits.coverage.items()):
         ok &= m[f"in_{k}"] <= share * m["word_chars"]
     return ok & ~base_failed(m, limits)

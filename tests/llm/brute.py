@@ -45,7 +45,7 @@ def quality(text, limits):
     out = {"n_words": len(w), "word_chars": chars, "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": dup,
            "n_repeat_words": len(inside(limits.window)), "dup_line_chars": dup_chars}
     out["base_failed"] = len(w) < limits.min_words or 100 * out["n_repeat_words"] > limits.repeat_pct * len(w)
-    kept = not out["base_failed"] and dup_chars <= limits.line_chars * chars
+    kept = not out["base_failed"] and dup_chars <= limits.line_chars * chars and out["n_symbols"] <= limits.symbols * len(w)
     for k, share in limits.coverage.items():
         out[f"in_{k}"] = sum(len(w[p]) for p in inside(k))
         kept = kept and out[f"in_{k}"] <= share * chars

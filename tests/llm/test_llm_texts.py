@@ -104,6 +104,7 @@ def test_merges_one_by_one_where_order_matters(tmp_path):
 
 def test_quality_measures(spark):
     rs, lim = rows(6, 120, 120), repetition.Limits()
+    rs += [(800, " ".join(f"w{i}x " * 5 for i in range(40)), "en", "s"), (801, " ".join(f"w{i} |" for i in range(40)), "en", "s")]
     d = repetition.quality(docs(spark, rs))
     cols = d.columns[1:]
     want = [(i, *[brute.quality(t, lim)[c] for c in cols]) for i, t, _, _ in rs]
