@@ -132,16 +132,7 @@ def events_from_blocked(x: DataFrame, rs: list[Rule], params: dict = PARAMS,
                                  F.col("p.highest")).alias("mae_proxy"))
 
 
-def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str, DataFrame] | None = None,
-                 numbers: Iterable[int] | None = None, params: dict = PARAMS, label: str = "left",
-                 skip_missing: bool = False, extra: dict[str, Signal] | None = None,
-                 extra_rules: Iterable[Rule] = ()) -> DataFrame:
-    """Pair bars -> events of the listed rules (all by default).
-
-    A user's own rule is a ``Signal`` (mask and direction over frame columns) in ``extra`` and a ``Rule``
-    that names it in ``extra_rules``. Block halos follow from the rules: their longest lag and holding period ahead,
-    what their windows reach back over behind.
-    """
+def _chosen(slow, numbers, params, skip_missing, extra, extra_rules) -> tuple[list[Rule], set[str], dict[str, Signal]]:
     rs = [*rules(numbers), *extra_rules]
     offer = frame_columns(set().union(*[s.columns for s in (slow or {}).values()]))
     if skip_missing:
@@ -150,12 +141,37 @@ def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str
     missing = sorted({r.signal for r in rs} - set(table))
     if missing:
         raise ValueError(f"the given series lack the inputs of: {missing}")
+    return rs, offer, table
+
+
+def rule_frame(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str, DataFrame] | None = None,
+               numbers: Iterable[int] | None = None, params: dict = PARAMS, label: str = "left",
+               skip_missing: bool = False, extra: dict[str, Signal] | None = None,
+               extra_rules: Iterable[Rule] = (), every_column: bool = False) -> DataFrame:
+    """The blocked frame these rules need, with halos that follow from the rules: their longest lag and holding period
+    ahead, what their windows reach back over behind. Store it to run ``events_from_blocked`` on it more than once."""
+    rs, offer, table = _chosen(slow, numbers, params, skip_missing, extra, extra_rules)
     only = needed_columns(rs, offer, table, params) | {"atr14_btc", "eth_slope_sign_1h", "spread_pct"}
     only |= {f"{k}_{a}" for a in ("btc", "eth") for k in ("open", "high", "low", "close", "volume")}
     if any(r.exits for r in rs):
         only |= set(WATCHED)
     c = c.small(ahead=bars_ahead(rs), rule_back=history(params, [table[r.signal] for r in rs]))
-    return events_from_blocked(blocked_frame(pair, c, slow, label, only), rs, params, extra)
+    return blocked_frame(pair, c, slow, label, None if every_column else only)
+
+
+def build_events(pair: DataFrame, c: FrameConfig = FrameConfig(), slow: dict[str, DataFrame] | None = None,
+                 numbers: Iterable[int] | None = None, params: dict = PARAMS, label: str = "left",
+                 skip_missing: bool = False, extra: dict[str, Signal] | None = None,
+                 extra_rules: Iterable[Rule] = ()) -> DataFrame:
+    """Pair bars -> events of the listed rules (all by default).
+
+    A user's own rule is a ``Signal`` (mask and direction over frame columns) in ``extra`` and a ``Rule``
+    that names it in ``extra_rules``.
+    """
+    extra_rules = list(extra_rules)
+    rs, _, _ = _chosen(slow, numbers, params, skip_missing, extra, extra_rules)
+    x = rule_frame(pair, c, slow, numbers, params, label, skip_missing, extra, extra_rules)
+    return events_from_blocked(x, rs, params, extra)
 
 
 def mae_compat(events: DataFrame, rs: list[Rule]) -> DataFrame:

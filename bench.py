@@ -15,12 +15,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from barlab.functions.scalar import with_cost_modes  # noqa: E402
+from barlab.functions.scalar import COST_MODES, with_cost_modes  # noqa: E402
 from barlab.operators import stats  # noqa: E402
 from barlab.operators.store import stored  # noqa: E402
 from barlab.plans import classify as C  # noqa: E402
 from barlab.plans import events as EV  # noqa: E402
 from barlab.plans import frame as FR  # noqa: E402
+from barlab.plans import rules as RL  # noqa: E402
 from barlab.session import session  # noqa: E402
 from barlab.sources import derive, readers  # noqa: E402
 
@@ -53,19 +54,21 @@ def main() -> None:
         out[name] = round(time.time() - t, 3)
         return r
 
-    only = set(sys.argv[1:])
     bars = timed("bars_5m", lambda: stored(derive.event_bars(spark, SF, 300)))
     pair = timed("pair_bars_20", lambda: stored(readers.pair_bars(bars, list(permutations(SYMBOLS, 2)))))
     slow = {k: stored(v) for k, v in slow_series(bars).items()}
     rows = pair.count()
-    frame = timed("feature_frame_20_pairs", lambda: stored(FR.frame(pair, CFG, slow)))
-    ev = timed("events_218_rules_20_pairs", lambda: stored(EV.build_events(pair, CFG, slow)))
+    # one blocked frame with every column serves the frame and all rules
+    frame = timed("feature_frame_20_pairs", lambda: stored(EV.rule_frame(pair, CFG, slow, every_column=True)))
+    ev = timed("events_218_rules_20_pairs", lambda: stored(EV.events_from_blocked(frame, RL.rules())))
     by = ["pair", "rule_id"]
-    timed("baseline_modes", lambda: stats.baseline(with_cost_modes(ev), [*by, "mode"]).write.format("noop").mode("overwrite").save())
-    wf = timed("walkforward", lambda: stored(stats.walkforward(ev, by, 6, 3, 3)))
-    ci = timed("bootstrap_3000", lambda: stored(stats.bootstrap_ci(stats.bootstrap_means(ev, by, "gross_r", ["ts"], 3000, 42), by)))
+    every = stats.dense_grid(spark, pair=["/".join(p) for p in permutations(SYMBOLS, 2)], rule_id=[r.rule_id for r in RL.rules()])
+    cells = stats.expand(every, mode=list(COST_MODES))
+    timed("baseline_modes", lambda: stats.baseline(with_cost_modes(ev), [*by, "mode"], groups=cells).write.format("noop").mode("overwrite").save())
+    wf = timed("walkforward_3000", lambda: stored(stats.walkforward(ev, by, 6, 3, 3, iters=3000, order=["ts", "idx"], groups=every)))
+    ci = timed("bootstrap_3000", lambda: stored(stats.bootstrap_ci(stats.bootstrap_means(ev, by, "gross_r", ["ts", "idx"], 3000, 42), by)))
     def verdict():
-        b = stats.baseline(with_cost_modes(ev), [*by, "mode"]).join(ci, [*by, "mode"]).join(wf.withColumn("wf_mean_ci_low", F.col("wf_mean")), [*by, "mode"])
+        b = stats.baseline(with_cost_modes(ev), [*by, "mode"], groups=cells).join(ci, [*by, "mode"], "left").join(wf, [*by, "mode"], "left")
         return C.status_counts(C.combine_status(C.classify(b), by)).collect()
     timed("verdicts", verdict)
     timed("flagship_one_rule", lambda: EV.build_events(pair, CFG, numbers=[39]).write.format("noop").mode("overwrite").save())

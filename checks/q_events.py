@@ -8,6 +8,7 @@ from barlab.operators import stats
 from barlab.operators.store import stored
 from barlab.plans import events as EV
 from barlab.plans import frame as FR
+from barlab.plans import rules as RL
 from barlab.plans import studies as ST
 
 from .fixtures import CFG, pair
@@ -96,6 +97,31 @@ def _(spark, d):
     return EV.build_events(pair(spark, d), CFG, numbers=list(_EXIT)).select("pair", "rule_id", "ts", "exit_px", "gross_r")
 
 
+_PN = f"{EB()}, {PAIR()}, x AS (SELECT *, row_number() OVER ({PW}) - 1 AS n FROM pb)"
+
+
+@query("long_hold_events", f"""WITH {_PN}, h AS (SELECT unnest([8, 300, 400, 600]) AS h)
+SELECT a.pair, 'H' || (900 + h) AS rule_id, a.ts, {rx(exit_px='b.close_btc', gross_r='b.close_btc/a.close_btc - 1')} FROM x a CROSS JOIN h JOIN x b ON b.pair = a.pair AND b.n = a.n + h
+WHERE a.n % greatest(50, h // 50 * 50) = 0""")
+def _(spark, d):
+    """Holding periods longer than a block of the frame."""
+    every = RL.Signal(F.col("idx") % 50 == 0, F.lit(1.0))
+    own = [RL.Rule(900 + h, "own", "every", horizon=h) for h in (8, 300, 400, 600)]
+    ev = EV.build_events(pair(spark, d), CFG.small(block=64), numbers=[], extra={"every": every}, extra_rules=own)
+    return ev.select("pair", "rule_id", "ts", "exit_px", "gross_r")
+
+
+@query("lead_leg_exits", f"""WITH {_PN}, e AS (SELECT s.pair, s.ts, s.n, CASE WHEN s.n % 40 = 0 THEN 1.0 ELSE -1.0 END AS dir, a.close_eth AS ep, b.close_eth AS tx FROM x s JOIN x a ON a.pair = s.pair AND a.n = s.n + 1 JOIN x b ON b.pair = s.pair AND b.n = s.n + 13 WHERE s.n % 20 = 0),
+k AS (SELECT e.pair, e.n, arg_min(p.close_eth, p.n) AS px FROM e JOIN x p ON p.pair = e.pair AND p.n > e.n + 1 AND p.n <= e.n + 13 WHERE e.dir*(p.close_eth/e.ep - 1) >= 0.01 GROUP BY 1, 2)
+SELECT e.pair, e.ts, {rx(exit_px='coalesce(k.px, e.tx)', gross_r='e.dir*(coalesce(k.px, e.tx)/e.ep - 1)')} FROM e LEFT JOIN k USING (pair, n)""")
+def _(spark, d):
+    """An exit on the lead leg, entered a bar late: the path starts at the entry bar of the traded leg."""
+    turn = RL.Signal(F.col("idx") % 20 == 0, F.when(F.col("idx") % 40 == 0, 1.0).otherwise(-1.0))
+    own = [RL.Rule(950, "own", "turn", horizon=12, offset=1, leg="eth", exits=dict(tp_bps=100))]
+    ev = EV.build_events(pair(spark, d), CFG, numbers=[], extra={"turn": turn}, extra_rules=own)
+    return ev.select("pair", "ts", "exit_px", "gross_r")
+
+
 @query("tail_slope_events", f"""WITH RECURSIVE {EB()}, {PAIR()}, {COARSE}, x AS (SELECT pb.pair, pb.ts, pb.close_btc, h4.spread_pct, h4.eth_slope_sign_1h AS s, row_number() OVER (PARTITION BY pb.pair ORDER BY pb.ts) AS n FROM pb JOIN h4 ON h4.pair = pb.pair AND h4.ts = pb.ts//14400*14400),
 c AS (SELECT * FROM x WHERE coalesce(spread_pct < 0.1, false) AND {NE('s', '0')}), t AS (SELECT pair, min(n) AS n FROM c GROUP BY 1 UNION ALL SELECT t.pair, (SELECT min(c.n) FROM c WHERE c.pair = t.pair AND c.n >= t.n + 6) FROM t WHERE t.n IS NOT NULL)
 SELECT c.pair, c.ts, {rx(signal_dir='c.s', fwd_r='z.close_btc/c.close_btc-1', gross_r='c.s*(z.close_btc/c.close_btc-1)')} FROM t JOIN c ON c.pair = t.pair AND c.n = t.n JOIN x z ON z.pair = c.pair AND z.n = c.n + 6 WHERE c.s IS NOT NULL""")

@@ -75,6 +75,18 @@ def _(spark, d):
     return stats.walkforward(stored(order_events(spark, d)), BY, 200, 60, 45)
 
 
+_DRAW17 = stats.draw_sql("b.b", "i.i", 42 + 17, "gg.n")
+
+
+@query("walkforward_bootstrap", f"""WITH {FOLDS}, v AS (SELECT rule_id, gross_r, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id, fold_id) - 1 AS j FROM f JOIN oe USING (rule_id) WHERE ts >= test_start AND ts < test_end),
+gg AS (SELECT rule_id, count(*) AS n FROM v GROUP BY 1), dr AS (SELECT gg.rule_id, b.b, {_DRAW17} AS j FROM gg CROSS JOIN range(100) b(b) JOIN range(1000000) i(i) ON i.i < gg.n),
+m AS (SELECT dr.rule_id, dr.b, avg(v.gross_r) AS mean FROM dr JOIN v ON v.rule_id = dr.rule_id AND v.j = dr.j GROUP BY 1, 2)
+SELECT rule_id, mode, {rx(wf_mean_ci_low='quantile_cont(mean - c, 0.025)', wf_mean_ci_high='quantile_cont(mean - c, 0.975)', wf_p_mean_gt_0='avg((mean - c > 0)::INT)')} FROM m CROSS JOIN {MODES} GROUP BY 1, 2""")
+def _(spark, d):
+    w = stats.walkforward(stored(order_events(spark, d)), BY, 200, 60, 45, iters=100, order=["ts", "ev_id"])
+    return w.select("rule_id", "mode", "wf_mean_ci_low", "wf_mean_ci_high", "wf_p_mean_gt_0")
+
+
 @query("diagnostics", f"""WITH {OE}, k AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY gross_r DESC) AS rn, count(*) OVER (PARTITION BY rule_id) AS n FROM oe)
 SELECT rule_id, {rx(trades_per_day='count(*)/greatest(1.0, (max(ts)-min(ts))/86400.0)', median_hold_return='median(gross_r)', top10_pct_pnl_contribution='sum(gross_r) FILTER (rn <= ceil(0.1*n))/sum(gross_r)', mae_proxy_median='median(mae_proxy)')} FROM k GROUP BY 1""")
 def _(spark, d):
