@@ -27,6 +27,16 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_cha
     return each.where(F.length(F.trim("line")) >= min_chars).select("rid", "site", line_key(F.col("line")).alias("h"))
 
 
+SALTS = 16
+
+
+def _rows_of(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``lines`` whose hash is in ``keys``. The keys, one row per line text, are repeated per salt, so that
+    the rows of a hot line meet in as many partitions."""
+    each = keys.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return lines.withColumn("salt", F.pmod(F.col("rid"), F.lit(SALTS))).join(each, ["h", "salt"], "left_semi").drop("salt")
+
+
 def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 12, sigmas: float = 4.0) -> DataFrame:
     """Hashes of the lines found on at least ``min_sites`` sites."""
     sketch = F.hll_sketch_agg("site", F.lit(lg_k))
@@ -34,7 +44,7 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 12, sigmas: float
     band = sigmas * 1.04 / sqrt(1 << lg_k)
     lo, hi = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
     near = est.where((F.col("est") >= lo) & (F.col("est") <= hi)).select("h")
-    exact = (lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites).select("h"))
+    exact = (_rows_of(lines, near).groupBy("h").agg(F.countDistinct("site").alias("n")).where(F.col("n") >= min_sites).select("h"))
     return est.where(F.col("est") > hi).select("h").unionByName(exact)
 
 
@@ -50,7 +60,7 @@ def strip_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     lines = stored(lines_of(docs, id_col, text_col, site_col, min_chars))
     wide = stored(spread_lines(lines, min_sites))
-    cut = lines.join(wide, "h").groupBy("rid").agg(F.collect_set("h").alias("gone"))
+    cut = _rows_of(lines, wide).groupBy("rid").agg(F.collect_set("h").alias("gone"))
     d = docs.select(F.struct("*").alias("row"), _row_key(id_col, text_col).alias("rid")).join(cut, "rid", "left")
     text, gone = F.col("row")[text_col], F.col("gone")
     every = F.split(text, "\n", -1)
