@@ -10,6 +10,7 @@ from ..functions.nulls import between, eq, ge, gt, le, lt, ne, zero_to_null
 from ..functions.scalar import atr_shock_bucket, bucket, shock_side, trend_regime
 from ..operators.blocks import in_blocks
 from ..operators.prefix import Run, running
+from ..operators.resample import resample
 from ..operators.rolling import Roll, back_rows, long_rolling
 from ..operators.stats import summarize, with_t_stat
 from ..operators.store import stored
@@ -18,6 +19,11 @@ from ..operators.thin import thin
 # Bins and labels of the studies
 RV_BINS, RV_LABELS = [0.0, 0.1, 0.3, 0.7, 0.9, 1.0], ["0-10%", "10-30%", "30-70%", "70-90%", "90-100%"]
 SHOCK_BINS, SHOCK_LABELS = [0.0, 0.9, 0.95, 0.99, 0.995, 1.0], ["0-90%", "90-95%", "95-99%", "99-99.5%", "99.5-100%"]
+Z_BINS = [float("-inf"), -2.0, -1.5, -1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0, float("inf")]
+Z_LABELS = ["<-2.0", "-2.0--1.5", "-1.5--1.0", "-1.0--0.5", "-0.5-0.0", "0.0-0.5", "0.5-1.0", "1.0-1.5", "1.5-2.0", ">2.0"]
+RET_BINS = [float("-inf"), -0.05, -0.02, -0.01, 0.0, 0.01, 0.02, 0.05, float("inf")]
+RET_LABELS = ["<-5%", "-5--2%", "-2--1%", "-1-0%", "0-1%", "1-2%", "2-5%", ">5%"]
+LOW_VOLATILITY = {"rv_low_10": 0.10, "rv_low_20": 0.20}
 SPAN = 86400 * 30
 
 
@@ -57,6 +63,40 @@ def drift_study(df: DataFrame, symbol: Sequence[str], by: str, horizons: Sequenc
     return summarize(r, [*symbol, by, "h"], "fwd", grid)
 
 
+def low_volatility_study(bars: DataFrame, keys: Sequence[str], window: int, horizons: Sequence[int], grid: DataFrame | None = None,
+                         span: int = SPAN) -> DataFrame:
+    """Returns after bars of low volatility rank, and after those where volatility also rises."""
+    rolls = [Roll("rv_pct", "rank", "rv48", window)]
+
+    def build(d, w):
+        d = d.withColumn("_up", gt(F.col("rv48"), W.lag(F.col("rv48"), w)))
+        return long_rolling(d, keys, rolls)
+    d = in_blocks(bars.select(*keys, "ts", "close", "rv48"), keys, build, back=back_rows(rolls) + 1, span=span)
+    hits = F.array_compact(F.array(*[x for n, p in LOW_VOLATILITY.items() for x in (
+        F.when(le(F.col("rv_pct"), p), F.lit(n)), F.when(le(F.col("rv_pct"), p) & F.col("_up"), F.lit(f"{n}_rising")))]))
+    e = stored(d.select(*keys, "ts", "close", F.explode(hits).alias("event")))
+    return summarize(ahead_returns(e, [*keys, "event"], horizons), [*keys, "event", "h"], "fwd", grid)
+
+
+def price_z_study(bars: DataFrame, keys: Sequence[str], window: int, horizons: Sequence[int], grid: DataFrame | None = None,
+                  span: int = SPAN) -> DataFrame:
+    """Returns by distance from the average price in sample deviations. ``bars`` has close and vwap."""
+    def build(d, w):
+        dev = F.col("close") - F.col("vwap")
+        d = d.withColumn("_dev", dev)
+        return d.withColumn("z_bucket", bucket(F.col("_dev") / zero_to_null(W.std(F.col("_dev"), w, window, ddof=1)), Z_BINS, Z_LABELS))
+    d = in_blocks(bars.select(*keys, "ts", "close", "vwap"), keys, build, back=window, span=span)
+    return drift_study(d, keys, "z_bucket", horizons, grid=grid)
+
+
+def daily_return_study(bars: DataFrame, keys: Sequence[str], horizons: Sequence[int] = (1, 3, 5), grid: DataFrame | None = None,
+                       span: int = 86400 * 200) -> DataFrame:
+    """Returns of the next days of a bucket by the size of the day's return; days end at midnight, closed right."""
+    daily = resample(bars, 86400, "right", keys)
+    d = in_blocks(daily, keys, lambda x, w: x.withColumn("ret_bucket", bucket(W.ret(F.col("close"), w), RET_BINS, RET_LABELS)), back=1, span=span)
+    return drift_study(d, keys, "ret_bucket", horizons, grid=grid)
+
+
 def breakout_flags(bars: DataFrame, keys: Sequence[str], ns: Sequence[int], buffers: Sequence[float], span: int = SPAN) -> DataFrame:
     """Long rows for bars closing above the prior n-bar high plus a fraction of ATR."""
     def build(d, w):

@@ -210,6 +210,48 @@ def _(spark, d):
     return ST.drift_study(t, ["symbol"], "rv_bucket", [5], absolute=True)
 
 
+def _cells(cut, labels, hs, src):
+    """All (symbol, bucket, horizon) with the returns of rows of one bucket."""
+    z = " UNION ALL ".join(SUB(cut, h, src) for h in hs)
+    g = f"(SELECT symbol, {cut}, h FROM (SELECT DISTINCT symbol FROM eb), (SELECT unnest({labels}) AS {cut}), (SELECT unnest({list(hs)}) AS h))"
+    return f"SELECT g.symbol, g.{cut}, g.h::BIGINT AS h, {AGG} FROM {g} g LEFT JOIN ({z}) z ON z.symbol = g.symbol AND z.{cut} = g.{cut} AND z.h = g.h GROUP BY 1, 2, 3"
+
+
+def _binned(x, edges, labels):
+    inf = lambda v: f"'{v}'::DOUBLE" if abs(v) == float("inf") else str(v)
+    return "CASE " + " ".join(f"WHEN {x} >= {inf(a)} AND {x} < {inf(b)} THEN '{lab}'" for a, b, lab in zip(edges, edges[1:], labels)) + " END"
+
+
+_LOW = ["rv_low_10", "rv_low_10_rising", "rv_low_20", "rv_low_20_rising"]
+
+
+@query("low_volatility_study", f"""WITH {_rvsql()}, v AS (SELECT *, rv48 > lag(rv48) OVER ({W1}) AS up FROM x2), e AS (SELECT symbol, ts, close, unnest(list_filter([CASE WHEN rp <= .1 THEN 'rv_low_10' END, CASE WHEN rp <= .1 AND up THEN 'rv_low_10_rising' END,
+ CASE WHEN rp <= .2 THEN 'rv_low_20' END, CASE WHEN rp <= .2 AND up THEN 'rv_low_20_rising' END], lambda q: q IS NOT NULL)) AS event FROM v), y AS (SELECT *, row_number() OVER (PARTITION BY symbol, event ORDER BY ts) AS k FROM e)
+{_cells('event', _LOW, (5, 10), 'y')}""")
+def _(spark, d):
+    b = _study_bars(spark, d)
+    grid = stats.expand(b.select("symbol").distinct(), event=_LOW, h=[5, 10])
+    return ST.low_volatility_study(b, ["symbol"], 120, [5, 10], grid)
+
+
+@query("price_z_study", f"""WITH {EB()}, {BF}, v AS (SELECT *, close - vwap48 AS dev FROM bf), u AS (SELECT *, dev/nullif({win('stddev_samp', 'dev', 96, W1)}, 0) AS z FROM v), b AS (SELECT *, {_binned('z', ST.Z_BINS, ST.Z_LABELS)} AS z_bucket FROM u),
+y AS (SELECT symbol, z_bucket, close, row_number() OVER (PARTITION BY symbol, z_bucket ORDER BY ts) AS k FROM b WHERE z_bucket IS NOT NULL)
+{_cells('z_bucket', ST.Z_LABELS, (5, 10), 'y')}""")
+def _(spark, d):
+    b = _study_bars(spark, d).withColumn("vwap", F.col("vwap48"))
+    grid = stats.expand(b.select("symbol").distinct(), z_bucket=ST.Z_LABELS, h=[5, 10])
+    return ST.price_z_study(b, ["symbol"], 96, [5, 10], grid)
+
+
+@query("daily_return_study", f"""WITH {EB()}, dd AS (SELECT symbol, (ts + 86399)//86400*86400 AS ts, arg_max(close, ts) AS close FROM eb GROUP BY 1, 2), r AS (SELECT *, close/lag(close) OVER ({W1}) - 1 AS ret FROM dd), b AS (SELECT *, {_binned('ret', ST.RET_BINS, ST.RET_LABELS)} AS ret_bucket FROM r),
+y AS (SELECT symbol, ret_bucket, close, row_number() OVER (PARTITION BY symbol, ret_bucket ORDER BY ts) AS k FROM b WHERE ret_bucket IS NOT NULL)
+{_cells('ret_bucket', ST.RET_LABELS, (1, 3), 'y')}""")
+def _(spark, d):
+    b = stored(derive.event_bars(spark, d))
+    grid = stats.expand(b.select("symbol").distinct(), ret_bucket=ST.RET_LABELS, h=[1, 3])
+    return ST.daily_return_study(b, ["symbol"], [1, 3], grid)
+
+
 @query("shock_continuation_study", f"""WITH {_rvsql()}, y AS (SELECT symbol, shock_side, shock_bucket, (lead(close, 5) OVER (PARTITION BY symbol, shock_side, shock_bucket ORDER BY ts)/close - 1)*sign(r1) AS r FROM x WHERE shock_bucket IS NOT NULL AND shock_side <> 'zero')
 SELECT symbol, shock_side, shock_bucket, 5 AS h, count(r) < 20 AS n_lt_20, {rx(t_stat=TST)}, {AGG} FROM y GROUP BY 1,2,3""")
 def _(spark, d):
