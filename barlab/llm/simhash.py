@@ -201,6 +201,19 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     return dealt.mapInArrow(_link, "a long, b long")
 
 
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, *more) -> DataFrame:
+    return stored(docs.select(F.col(id_col).alias("id"), *more, fingerprinter(shingle)(F.col(text_col)).alias("fp")))
+
+
+def _groups(fp: DataFrame) -> DataFrame:
+    """fp, root (a fingerprint that stands for the component) and component_id of every distinct fingerprint."""
+    distinct = stored(fp.groupBy("fp").agg(F.min("id").alias("low")))
+    joined = components(links(distinct.select("fp")))
+    rooted = distinct.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rooted.join(lows, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row per document: id, fp (long), component_id, the smallest id linked to it directly or through others.
 
@@ -208,24 +221,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like others. Repeated rows stay; null ids are no component id unless a component has no other. Texts are read
     once and not shuffled; everything after works on distinct fingerprints.
     """
-    fp = stored(docs.select(F.col(id_col).alias("id"), fingerprinter(shingle)(F.col(text_col)).alias("fp")))
-    distinct = stored(fp.groupBy("fp").agg(F.min("id").alias("low")))
-    joined = components(links(distinct.select("fp")))
-    rooted = distinct.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    group = rooted.join(lows, "root").select("fp", "component_id")
-    return fp.join(group, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    fp = _fingerprints(docs, id_col, text_col, shingle)
+    return fp.join(_groups(fp), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The document with the smallest id of each component, with all columns; of repeated rows with that id one."""
-    d = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key_id"))
-    kept = near_duplicates(docs, id_col, text_col, **kw)
-    kept = kept.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    d = d.join(kept, F.col("key_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    one = Window.partitionBy("key_id").orderBy(F.xxhash64("row"))
-    return d.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """The document with the smallest id of each component, with all columns; of repeated rows with that id one. The
+    texts are shuffled once, by a hash of id and text that meets the rows to keep."""
+    rid = F.xxhash64(F.col(id_col), F.col(text_col))
+    fp = _fingerprints(docs, id_col, text_col, shingle, rid.alias("rid"))
+    kept = fp.join(_groups(fp), "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("rid")).select("rid")
+    one = Window.partitionBy("rid").orderBy(F.xxhash64("row"))
+    return (docs.select(F.struct("*").alias("row"), rid.alias("rid")).join(kept, "rid", "left_semi")
+            .withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*"))
