@@ -9,6 +9,7 @@ together, one numpy step for all lanes.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -165,14 +166,21 @@ RESULT = "n_words long, hits array<long>, items array<string>"
 _ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())]
 
 
+_BUILT: dict[str, WuManber] = {}  # of this worker: the tables of the last patterns, for all tasks it runs
+
+
+def _tables(key: str, pairs) -> WuManber:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = WuManber(pairs.value)
+    return _BUILT[key]
+
+
 def _scanner(spark: SparkSession, pairs: list[tuple[bytes, str]], later: bool):
-    shared = spark.sparkContext.broadcast(pairs)
-    built: list[WuManber] = []
+    shared, key = spark.sparkContext.broadcast(pairs), uuid.uuid4().hex
 
     def run(texts, before):
-        if not built:
-            built.append(WuManber(shared.value))
-        cols = built[0].scan(texts, before)
+        cols = _tables(key, shared).scan(texts, before)
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW)], ["n_words", "hits", "items"])
 
     if not later:
@@ -188,12 +196,12 @@ def _scanner(spark: SparkSession, pairs: list[tuple[bytes, str]], later: bool):
 
 
 def with_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_id: str = "item_id",
-                 item_text: str = "text", window: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+                 item_text: str = "text", window: int = 13, block_bytes: int = 2 << 20) -> DataFrame:
     """Columns ``row`` (all columns of docs) and ``m``: n_words, hits (flat word stretches), items.
 
-    The driver holds and broadcasts at most about ``block_bytes`` of benchmark text at a time (times the window
-    length as patterns): the benchmark is read in blocks of that size and each further block scans the texts
-    again, adding to what the blocks before found. Null texts have no words; items without words or with a null
+    The driver holds and broadcasts at most about ``block_bytes`` of benchmark text at a time, which as windows is
+    up to ``window`` times that (about 300 MB with their tables in a worker at 2 MB): the benchmark is read in blocks
+    of that size and each further block scans the texts again, adding to what the blocks before found. Null texts have no words; items without words or with a null
     id are left out; equal items all count. No shuffle of documents.
     """
     spark = docs.sparkSession
