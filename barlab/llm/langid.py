@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .sampling import lowest
 from .textbytes import slices
 
 UNDETERMINED = "und"
@@ -20,7 +21,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Setup:
-    """``rows`` bounds the training sample (documents, those of lowest text hash), ``stretches`` the windows taken
+    """``rows`` bounds the training sample (different texts, those of lowest hash), ``stretches`` the windows taken
     from each of them."""
     hidden: int = 8
     window: int = 128
@@ -202,10 +203,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", how:
     in them, follows from hashes of the text alone."""
     w, text = how.train_window, F.col(text_col)
     place = lambda i: F.pmod(F.xxhash64(text, F.lit(i)), F.greatest(F.length(text) - w, F.lit(0)) + 1).cast("int") + 1
-    sample = (docs.where(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
-              .select(F.col(lang_col).alias("lang"), F.xxhash64(text).alias("at"), F.array(*[F.substr(text, place(i), F.lit(w)) for i in range(how.stretches)]).alias("w"))
-              .orderBy("at", "lang", "w").limit(how.rows))
-    rows = [(r["lang"], s.encode()[:w]) for r in sample.collect() for s in r["w"]]
+    known = docs.where(F.col(lang_col).isNotNull())
+    each = (known.where(text.rlike(r"\p{L}"))
+            .select(F.col(lang_col).alias("lang"), F.xxhash64(text).alias("at"), F.array(*[F.substr(text, place(i), F.lit(w)) for i in range(how.stretches)]).alias("w")))
+    sample = lowest(each, "at", how.rows, known.count()).collect()
+    rows = [(r["lang"], s.encode()[:w]) for r in sample for s in r["w"]]
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})

@@ -304,3 +304,11 @@ def test_pipeline(spark, tmp_path):
     texts = {}
     clusters_ = [(i, len(t.split()), s, texts.setdefault(t, i)) for i, t, _, s in clean]
     check_packing(clusters_, got, 2048)
+
+
+def test_bounded_samples_count_copies_once(spark):
+    from barlab.llm.sampling import lowest
+    d = spark.range(20000).select(F.xxhash64(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))).alias("at"), (F.col("id") % 5).alias("x"))
+    got = lowest(d, "at", 50, 20000).collect()
+    want = sorted({r["at"] for r in d.collect()})[:50]
+    assert [r["at"] for r in got] == want and len(lowest(d, "at", 10 ** 6, 20000).collect()) == d.select("at").distinct().count()
