@@ -5,6 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.store import stored
 from ..session import use_utc
 from . import decontam, langid, lines, packing, pii, repetition, secret_scan, simhash, tokens, urls
 
@@ -100,13 +101,15 @@ def _(spark, sf_dir):
 
 
 def with_packing_keys(docs: DataFrame) -> DataFrame:
-    """Length in words, and the cluster of exact copies."""
+    """Length in words, and the cluster of exact copies: for the pipeline, whose documents are near-deduplicated."""
     return docs.select("doc_id", "source", F.regexp_count("text", F.lit(r"\S+")).alias("n"), F.xxhash64("text").alias("cluster"))
 
 
 @query("op5_packing")
 def _(spark, sf_dir):
-    return packing.pack(with_packing_keys(table(spark, sf_dir, "documents")), "n")
+    from public_tokenizers import path
+    n = tokens.counter(path(VOCABULARY))(F.col("text")).alias("n")
+    return packing.pack(stored(simhash.clustered(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("source"), n)), "n")
 
 
 @query("op6_personal_data")

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.store import stored
 from .components import components
@@ -214,6 +214,14 @@ def _groups(fp: DataFrame) -> DataFrame:
     return rooted.join(lows, "root").select("fp", "root", "component_id")
 
 
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column, shingle: int = 4) -> DataFrame:
+    """One row per document: id, the named columns ``more``, and cluster, a fingerprint that stands for the component.
+    Unlike component_id it is never null. Texts are read once, for the fingerprint and for ``more``."""
+    fp = _fingerprints(docs, id_col, text_col, shingle, *more)
+    kept = [c for c in fp.columns if c not in ("id", "fp")]
+    return fp.join(_groups(fp), "fp").select(F.col("id").alias(id_col), *kept, F.col("root").alias("cluster"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row per document: id, fp (long), component_id, the smallest id linked to it directly or through others.
 

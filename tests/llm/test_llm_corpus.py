@@ -101,6 +101,25 @@ def test_packing(spark, shard_rows):
     assert packing.pack(d.withColumn("doc_id", F.lit(None).cast("long")), "n", capacity=100).where("doc_id is not null").count() == 0
 
 
+def test_packing_query_takes_tokens_and_near_copies(spark, tmp_path):
+    """Texts without spaces are cut by tokens; near copies from different sources share no bin."""
+    from public_tokenizers import path
+    from barlab.llm import tokens
+    rnd = random.Random(6)
+    t = " ".join(rnd.choice("lorem ipsum dolor sit amet consetetur sadipscing elitr".split()) + str(rnd.randint(0, 99)) for _ in range(150))
+    near = [(i, f"{t} {w}", "en", f"s{i}") for i, w in enumerate(["one", "two", "three"])]
+    rs = [*near, (10, "日本語テキスト" * 900, "ja", "s8"), (11, "zq7Xk0" * 2000, "en", "s9"), (12, "", "en", "s9"), (13, None, "en", "s9"), (None, "no id", "en", "s7")]
+    d = f"{tmp_path}/{uuid.uuid4().hex}"
+    docs(spark, rs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
+    got = queries.QUERIES["op5_packing"](spark, d).collect()
+    n = dict(zip([r[0] for r in rs], tokens.model(path(queries.VOCABULARY)).count([r[1] or "" for r in rs])))
+    assert n[10] > 2048 and n[11] > 2048
+    root = {r["doc_id"]: r["cluster"] for r in simhash.clustered(docs(spark, rs)).collect()}
+    assert len({root[i] for i in range(3)}) == 1 and root[None] is not None
+    bins = check_packing([(i, n[i], s, root[i] if n[i] else None) for i, _, _, s in rs], got, 2048)
+    assert sum(len({r["doc_id"] for r in b} & {0, 1, 2}) > 0 for b in bins.values()) == 3
+
+
 def line_rows(seed):
     rnd = random.Random(seed)
     common = [(f"boilerplate line number {k}", k) for k in range(1, 25)]
