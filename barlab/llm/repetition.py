@@ -24,9 +24,10 @@ class Limits:
     """The verdict. ``coverage``: largest share of the characters of words inside repeated n-grams of each
     length; ``line_chars``: largest share inside lines that equal an earlier one; ``symbols``: most symbols per
     word. Longer n-grams are allowed less, since they repeat by chance less often; the shortest catches words
-    repeated in a row. The base rule (too few words, too many repeated 5-word windows) comes first."""
-    coverage: dict[int, float] = field(default_factory=lambda: {4: 0.50, 6: 0.30, 8: 0.28, 10: 0.26})
-    line_chars: float = 0.30
+    repeated in a row. The base rule (too few words, too many repeated 5-word windows) comes first; words in longer
+    repeated n-grams are among those it counts, so these limits lie well under ``repeat_pct``."""
+    coverage: dict[int, float] = field(default_factory=lambda: {4: 0.50, 6: 0.14, 8: 0.12, 10: 0.10})
+    line_chars: float = 0.10
     symbols: float = 0.10
     min_words: int = 10
     repeat_pct: int = 20

@@ -115,6 +115,31 @@ def test_quality_measures(spark):
     assert repetition.quality(docs(spark, rs).limit(0)).count() == 0
 
 
+def planted(total, size, copies, sep=" "):
+    """``total`` words of one length, of which ``copies`` passages of ``size`` words are alike, spread over the text."""
+    fresh = iter(f"w{i:04d}" for i in range(total))
+    passage = " ".join(f"p{i:04d}" for i in range(size))
+    gap = (total - size * copies) // copies
+    return sep.join(x for _ in range(copies) for x in (passage, " ".join(next(fresh) for _ in range(gap))))
+
+
+def test_coverage_rejects_what_the_base_rule_keeps(spark):
+    """Each document fails by one limit alone and passes the base rule."""
+    ts = {"in_10": planted(200, 11, 2), "in_8": planted(210, 9, 3), "in_6": planted(190, 7, 4), "dup_line_chars": planted(190, 3, 8, "\n")}
+    clean = [planted(200, 8, 2), planted(300, 11, 2), planted(190, 3, 4, "\n"), planted(400, 1, 1)]
+    lim = repetition.Limits()
+    got = repetition.quality(docs(spark, list(enumerate_rows([*ts.values(), *clean])))).orderBy("doc_id").collect()
+    for name, r in zip(ts, got):
+        over = {k for k, v in {**{f"in_{n}": v for n, v in lim.coverage.items()}, "dup_line_chars": lim.line_chars}.items() if r[k] > v * r["word_chars"]}
+        assert over == {name} and not r["base_failed"] and not r["kept"]
+    assert all(r["kept"] for r in got[len(ts):])
+    assert list(lim.coverage.values()) == sorted(lim.coverage.values(), reverse=True) and 100 * max(v for n, v in lim.coverage.items() if n > 5) < lim.repeat_pct
+
+
+def enumerate_rows(ts):
+    return ((i, t, "en", "s") for i, t in enumerate(ts))
+
+
 def test_quality_over_many_slices():
     import pyarrow as pa
     from barlab.llm.textbytes import slices
