@@ -27,7 +27,7 @@ CROWD = 1 << 17
 
 def fingerprint_slice(data: np.ndarray, off: np.ndarray, shingle: int) -> np.ndarray:
     """``data``: squeezed words of texts. Fingerprints of the texts."""
-    starts, ends = word_bounds(data > 32)
+    starts, ends = word_bounds(~WHITE[data])
     words = np.searchsorted(starts, off)
     n = np.diff(words)
     last = np.minimum(np.arange(len(starts)) + shingle, np.repeat(words[1:], n)) - 1

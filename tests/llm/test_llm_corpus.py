@@ -177,6 +177,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, rs).limit(0)).count() == 0
 
 
+def test_control_characters_belong_to_words(spark):
+    """Only blank and \\x09-\\x0D part words."""
+    ts = ["a\x01b c d e", "a b c d e", "\x01", "\x00\x1f \x0e", "", " \x0b\x0c ", "A\x1cB\x08 c\x0bd\x7f e f g", "\x1b[0m x y z w \x1b[1m"]
+    rs = [(i, t, "en", "s") for i, t in enumerate(ts)]
+    got = simhash.near_duplicates(docs(spark, rs)).select("doc_id", simhash.fingerprint_hex(F.col("fp")), "component_id").collect()
+    want = brute.simhash_components([(i, t) for i, t, _, _ in rs])
+    same(got, [(r[0], f"{f:016x}", c) for r, (f, c) in zip(rs, want)])
+    assert want[2][0] != 0 and {c for _, c in want[4:6]} == {4}
+
+
 def clusters(seed, centres=30, each=25):
     rnd = random.Random(seed)
     out = {0, (1 << 64) - 1}
