@@ -21,7 +21,7 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Setup:
-    """``rows`` bounds the training sample (different texts, those of lowest hash), ``stretches`` the windows taken
+    """``rows`` bounds the training sample (different texts, those of lowest hash in each language), ``stretches`` the windows taken
     from each of them."""
     hidden: int = 8
     window: int = 128
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", how:
     known = docs.where(F.col(lang_col).isNotNull())
     each = (known.where(text.rlike(r"\p{L}"))
             .select(F.col(lang_col).alias("lang"), F.xxhash64(text).alias("at"), F.array(*[F.substr(text, place(i), F.lit(w)) for i in range(how.stretches)]).alias("w")))
-    sample = lowest(each, "at", how.rows, known.count()).collect()
+    sample = lowest(each, "at", how.rows, known.count(), "lang").collect()
     rows = [(r["lang"], s.encode()[:w]) for r in sample for s in r["w"]]
     if not rows:
         return None

@@ -60,10 +60,10 @@ def grams(host: Column, path: Column, sizes: tuple[int, ...]) -> Column:
 
 def train(labelled: DataFrame, sizes: tuple[int, ...] = (3, 4), features: int = 1 << 15, rows: int = 20000,
           iterations: int = 30, reg: float = 1e-3) -> PipelineModel | None:
-    """Fit on host, path and label (1: block) of at most ``rows`` different urls, those of lowest hash of host and path.
-    None if one class is missing."""
+    """Fit on host, path and label (1: block) of at most ``rows`` different urls, those of lowest hash of host and path of
+    each class. None if one class is missing."""
     sample = labelled.select(F.xxhash64("host", "path").alias("at"), "host", "path", F.col("label").cast("double").alias("label"))
-    sample = lowest(sample, "at", rows, labelled.count())
+    sample = lowest(sample, "at", rows, labelled.count(), "label")
     sample = stored(sample.withColumn("grams", grams(F.col("host"), F.col("path"), sizes)))
     if sample.select("label").distinct().count() < 2:
         return None

@@ -341,3 +341,29 @@ def test_bounded_samples_count_copies_once(spark):
     got = lowest(d, "at", 50, 20000).collect()
     want = sorted({r["at"] for r in d.collect()})[:50]
     assert [r["at"] for r in got] == want and len(lowest(d, "at", 10 ** 6, 20000).collect()) == d.select("at").distinct().count()
+
+
+def test_copies_do_not_shrink_bounded_samples(spark):
+    """Few keys among many rows, and a rare label."""
+    from barlab.llm.sampling import lowest, quotas
+    d = spark.range(40000).select(F.xxhash64(F.col("id") % 200).alias("at"), (F.col("id") % 200).alias("x"))
+    want = sorted({r["at"] for r in d.collect()})
+    assert [r["at"] for r in lowest(d, "at", 50, 40000).collect()] == want[:50]
+    assert [r["at"] for r in lowest(d, "at", 3, 40000).collect()] == want[:3]
+    d = spark.range(40000).select(F.xxhash64("id").alias("at"), F.when(F.col("id") < 5, "rare").when(F.col("id") % 3 == 0, "b").otherwise("a").alias("lang"))
+    got = [(r["at"], r["lang"]) for r in lowest(d, "at", 105, 40000, "lang").collect()]
+    every = {}
+    for r in d.collect():
+        every.setdefault(r["lang"], []).append(r["at"])
+    assert len(got) == 105 and len(set(got)) == 105
+    for k, n in (("rare", 5), ("a", 50), ("b", 50)):
+        assert sorted(a for a, lang in got if lang == k) == sorted(every[k])[:n]
+    assert quotas({"a": 5, "b": 1000, "c": 40}, 100) == {"a": 5, "c": 40, "b": 55}
+
+
+def test_url_model_survives_many_copies(spark):
+    """Ten host and path pairs in 3,000 pages of different query strings: both classes are learnt."""
+    us = [f"http://{w}.org/{w}" for w in ["casino", "poker", "bets", "pills", "xxx", "school", "garden", "museum", "river", "news"]]
+    train = spark.createDataFrame([(f"{us[i % 10]}?q={i}", int(i % 10 < 5)) for i in range(3000)], "url string, label int")
+    got = urls.judge(pages(spark, us), [], train, rows=20).orderBy("page_id").collect()
+    assert [r["verdict"] for r in got] == ["block"] * 5 + ["allow"] * 5
