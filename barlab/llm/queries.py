@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.store import stored
 from ..session import use_utc
-from . import decontam, langid, lines, packing, pii, repetition, secret_scan, simhash, tokens, urls
+from . import decontam, langid, lines, packing, periodic, pii, repetition, secret_scan, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -149,3 +149,8 @@ def _(spark, sf_dir):
 @query("op10_language")
 def _(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"))
