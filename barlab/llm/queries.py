@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.store import stored
 from ..session import use_utc
-from . import decontam, langid, lines, packing, periodic, pii, repetition, secret_scan, simhash, tokens, urls
+from . import decontam, langid, lexical, lines, packing, periodic, pii, repetition, secret_scan, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,6 +151,24 @@ def _(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+_TERMS = rf"regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_lexical_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+b AS (SELECT DISTINCT i, item_id, t FROM (SELECT i, item_id, unnest(w) AS t FROM
+      (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark WHERE text IS NOT NULL))),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN b USING (t) GROUP BY r, t),
+f AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS wt FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+c AS (SELECT r, doc_id, t, wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(w) * big_n) // big_l))) AS v FROM p JOIN f USING (t) JOIN d USING (r), g),
+s AS (SELECT i, item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM b JOIN c USING (t) GROUP BY i, item_id, r, doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""")
+def _(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_periodic_runs")
 def _(spark, sf_dir):
     return periodic.report(table(spark, sf_dir, "documents"))
