@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.store import stored
 from ..session import use_utc
-from . import decontam, langid, lexical, lines, packing, periodic, pii, repetition, secret_scan, simhash, tokens, urls
+from . import decontam, extraction, langid, lexical, lines, packing, periodic, pii, repetition, secret_scan, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,6 +151,11 @@ def _(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op11_html_extraction")
+def _(spark, sf_dir):
+    return extraction.report(table(spark, sf_dir, "pages"))
+
+
 _TERMS = rf"regexp_extract_all({_AZ}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 

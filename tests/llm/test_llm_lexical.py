@@ -35,7 +35,7 @@ def plain(rs, items, k):
 def items(seed):
     rnd = random.Random(seed)
     out = [(i, prose(rnd, rnd.choice([1, 3, 8, 20, 60]))) for i in range(10)]
-    return [*out, (20, None), (21, " .. "), (22, "nowhere to be found zzz"), (23, "The THE the É é 42"), (3, out[5][1]), (None, "lorem"), (24, out[2][1])]
+    return [*out, (20, None), (21, " .. "), (22, "nowhere zzz"), (23, "The THE the É é 42"), (3, out[5][1]), (None, "lorem"), (24, out[2][1])]
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 100])
