@@ -3,16 +3,19 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
 
 from ..functions.scalar import day_of, hour_of, id_number, month_label
-from ..operators.prefix import Run, drawdown, running
+from ..operators.prefix import drawdown
+from ..operators.replay import replayed
 from ..operators.store import stored
 from ..sources.readers import small
 
+DAY = 86400
 POLICY_DDL = ("policy_id string, candidate_universe array<string>, include_members array<string>, "
               "exclude_members array<string>, dedup_keep string, dedup_drop string, weighting_mode string, "
               "rank_window_days int, score_clip_floor double, fallback_weighting string, "
@@ -172,7 +175,7 @@ def combine(events: DataFrame, scenario: Sequence[str], cost: float, max_gross:
     """
     scenario = list(scenario)
     if cooldown:
-        rows = _with_cooldown(events, scenario, cooldown * step, cost, max_gross, max_asset, max_weight, stop, signed_weights)
+        rows, _ = cooldown_walk(events, scenario, cooldown * step, cost, max_gross, max_asset, max_weight, stop, signed_weights)
     else:
         rows = risk_clamp(events, [*scenario, "ts"], max_gross, max_asset, max_weight)
     wgt = F.col("weight") if signed_weights else F.abs("weight")
@@ -183,51 +186,43 @@ def combine(events: DataFrame, scenario: Sequence[str], cost: float, max_gross:
     return t, rows.join(t.select(*scenario, "ts"), [*scenario, "ts"], "left_semi")
 
 
-def _with_cooldown(events, scenario, secs, cost, max_gross, max_asset, max_weight, stop, signed_weights):
-    """Executed trades decide which later candidates are still cooling down, so this walk is ordered.
-    State dies at a day start that follows a quiet stretch of ``secs``; the walk runs per such stretch."""
-    times = stored(events.select(*scenario, "ts").distinct())
-    day = F.col("ts") - F.pmod(F.col("ts"), F.lit(86400))
-    d = running(times, scenario, ["ts"], [Run("_prev", "max", F.col("ts"), inclusive=False)], F.col("ts"), 86400 * 30)
-    fresh = F.col("_prev").isNull() | ((F.col("ts") - F.col("_prev") >= secs) & (F.col("_prev") < day))
-    d = running(d.withColumn("_new", fresh.cast("long")), scenario, ["ts"], [Run("_seg", "sum", F.col("_new"))], F.col("ts"), 86400 * 30)
-    e = events.join(d.select(*scenario, "ts", "_seg"), [*scenario, "ts"])
-    from pyspark.sql import types as T
-    schema = T.StructType([*events.schema.fields, T.StructField("weight", T.DoubleType()),
-                           T.StructField("asset_net", T.DoubleType()), T.StructField("gross_exposure", T.DoubleType())])
-    names = schema.fieldNames()
-
-    def clamp(g: pd.DataFrame) -> pd.DataFrame:
-        total = g["signal_dir"].abs().sum()
-        if total <= 0:
-            return g.iloc[:0].assign(weight=0.0, asset_net=0.0, gross_exposure=0.0)
-        w = (g["signal_dir"] / total).clip(-max_weight, max_weight)
-        w = w * min(1.0, max_gross / w.abs().sum())
-        net = w.groupby(g["asset"]).transform("sum").abs()
-        w = w.where(net <= max_asset, w * max_asset / net.where(net > 0, 1.0))
-        g = g.assign(weight=w)
-        g = g[g["weight"].abs() > 1e-12]
-        nets = g.groupby("asset")["weight"].sum()
-        return g.assign(asset_net=g["asset"].map(nets), gross_exposure=nets.abs().sum())
-
-    def walk(p: pd.DataFrame) -> pd.DataFrame:
-        last: dict = {}
-        pnl: dict = {}
-        out = []
-        for ts, g in p.sort_values(["ts", "rule_id"]).groupby("ts"):
-            day_ = ts // 86400
-            if pnl.get(day_, 0.0) <= -abs(stop):
+def cooldown_walk(events, scenario, secs, cost, max_gross, max_asset, max_weight, stop, signed_weights) -> tuple[DataFrame, int]:
+    """(clamped rows of the executed trades, replay rounds). An executed trade keeps its rule out for ``secs``, and a
+    day's losses keep out the rest of the day, so later candidates depend on earlier trades. Days are replayed in
+    parallel; what a day hands over is the last trade of each rule that still cools down at the next day's start."""
+    schema = T.StructType([*events.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("weight", "asset_net", "gross_exposure")]])
+
+    def walk(p: pd.DataFrame, last: dict[str, int]) -> tuple[pd.DataFrame, dict[str, int]]:
+        p = p.sort_values(["ts", "rule_id"], ignore_index=True)
+        rule, asset = p["rule_id"].tolist(), pd.factorize(p["asset"])[0]
+        direction, ret = p["signal_dir"].to_numpy(float), p["gross_r"].to_numpy(float)
+        times, first = np.unique(p["ts"].to_numpy(), return_index=True)
+        kept, found, pnl = [], [], 0.0
+        for ts, a, b in zip(times.tolist(), first.tolist(), [*first[1:].tolist(), len(p)]):
+            if pnl <= -abs(stop):
+                break
+            free = np.array([i for i in range(a, b) if ts - last.get(rule[i], ts - secs) >= secs], dtype=int)
+            total = np.abs(direction[free]).sum()
+            if not total > 0:
                 continue
-            g = clamp(g[[ts - last.get(r, -(10 ** 12)) >= secs for r in g["rule_id"]]])
-            if g.empty:
+            w = np.clip(direction[free] / total, -max_weight, max_weight)
+            w *= min(1.0, max_gross / np.abs(w).sum())
+            net = np.abs(np.bincount(asset[free], weights=w))[asset[free]]
+            w = np.where(net > max_asset, w * max_asset / np.where(net > 0, net, 1.0), w)
+            live = np.abs(w) > 1e-12
+            free, w = free[live], w[live]
+            if not len(free):
                 continue
-            last.update(dict.fromkeys(g["rule_id"], ts))
-            used = g["weight"] if signed_weights else g["weight"].abs()
-            pnl[day_] = pnl.get(day_, 0.0) + float((used * (g["gross_r"] - cost)).sum())
-            out.append(g)
-        return pd.concat(out)[names] if out else p.iloc[:0].reindex(columns=names)
-
-    return e.groupBy(*scenario, "_seg").applyInPandas(walk, schema)
+            nets = np.bincount(asset[free], weights=w)
+            last.update(dict.fromkeys((rule[i] for i in free), ts))
+            pnl += float(((w if signed_weights else np.abs(w)) * (ret[free] - cost)).sum())
+            kept.append(free)
+            found.append(np.stack([w, nets[asset[free]], np.full(len(w), np.abs(nets).sum())]))
+        kept, found = (np.concatenate(kept), np.concatenate(found, axis=1)) if kept else (np.zeros(0, int), np.zeros((3, 0)))
+        return p.iloc[kept].assign(weight=found[0], asset_net=found[1], gross_exposure=found[2]), last
+
+    day = F.floor(F.col("ts") / DAY).cast("long")
+    return replayed(events.withColumn("_day", day), scenario, "_day", walk, schema, lambda s, d: s["value"] > d * DAY - secs)
 
 
 # --- metrics -----------------------------------------------------------------------------------------

@@ -109,9 +109,23 @@ def _(spark, d):
     return PF.performance(stored(_combined(spark, d)[0]), ["scenario"], "pnl", 86400 * 5)
 
 
-@query("combined_with_cooldown")
-def _(spark, d):
-    """Order-dependent: executed trades start the cooldown. Checked by tests/test_portfolio.py."""
+_STEP = """SELECT t.k, t.ts, w.last, CASE WHEN w.day = t.ts//86400 THEN w.dp ELSE 0 END AS dp, t.rows FROM walk w JOIN tt t ON t.k = w.k + 1"""
+_WALK = f"""{ME}, tt AS (SELECT ts, row_number() OVER (ORDER BY ts) AS k, list(struct_pack(r := rule_id, a := asset, d := signal_dir, g := gross_r) ORDER BY rule_id) AS rows FROM me GROUP BY ts),
+walk AS (SELECT 0::BIGINT AS k, 0::BIGINT AS ts, map([]::VARCHAR[], []::BIGINT[]) AS last, -1::BIGINT AS day, 0.0::DOUBLE AS dp, NULL::DOUBLE AS pnl, NULL::DOUBLE AS gross_exposure, 0::BIGINT AS legs
+UNION ALL SELECT k, ts, CASE WHEN len(done) > 0 THEN map_concat(last, map(list_transform(done, lambda x: x.r), list_transform(done, lambda x: ts))) ELSE last END, ts//86400, dp + coalesce(p, 0), p,
+  list_sum(list_transform(list_distinct(list_transform(done, lambda x: x.a)), lambda a: abs(list_sum(list_transform(list_filter(done, lambda y: y.a = a), lambda y: y.w))))), len(done)
+FROM (SELECT *, list_sum(list_transform(done, lambda x: x.w*(x.g - 0.0002))) AS p
+FROM (SELECT k, ts, last, dp, list_filter(list_transform(netted, lambda x: struct_pack(r := x.r, a := x.a, g := x.g, w := CASE WHEN abs(x.net) > 0.25 THEN x.w*0.25/abs(x.net) ELSE x.w END)), lambda x: abs(x.w) > 1e-12) AS done
+FROM (SELECT k, ts, last, dp, list_transform(scaled, lambda x: struct_pack(r := x.r, a := x.a, g := x.g, w := x.w, net := list_sum(list_transform(list_filter(scaled, lambda y: y.a = x.a), lambda y: y.w)))) AS netted
+FROM (SELECT k, ts, last, dp, list_transform(clipped, lambda x: struct_pack(r := x.r, a := x.a, g := x.g, w := x.w*least(1.0, 0.8/list_sum(list_transform(clipped, lambda y: abs(y.w)))))) AS scaled
+FROM (SELECT k, ts, last, dp, list_transform(free, lambda x: struct_pack(r := x.r, a := x.a, g := x.g, w := greatest(-0.3, least(0.3, x.d/list_sum(list_transform(free, lambda y: abs(y.d))))))) AS clipped
+FROM (SELECT k, ts, last, dp, CASE WHEN dp > -0.0008 THEN list_filter(rows, lambda x: ts - coalesce(last[x.r], -1000000000000) >= 14400) ELSE [] END AS free FROM ({_STEP})))))))
+)"""
+
+
+@query("combined_with_cooldown", f"WITH RECURSIVE {_WALK} SELECT ts, {R('pnl', 'gross_exposure')}, legs FROM walk WHERE legs > 0")
+def _(spark, d):
+    """Executed trades start the cooldown. The SQL side walks time by time."""
     t, _c = _combined(spark, d, cooldown=2, step=7200)
     return t.select("ts", "pnl", "gross_exposure", "legs")
 

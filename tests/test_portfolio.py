@@ -103,3 +103,44 @@ def test_correlation_matches_pandas(spark):
     for a in "abcd":
         for b in "abcd":
             assert (a, b) not in got if a >= b else got[a, b] == pytest.approx(m.loc[a, b])
+
+
+def walked(p, cost, stop, secs):
+    """(scenario, ts) -> pnl of the plain walk with limits .8, .3 and .4."""
+    out = {}
+    for sc, q in p.groupby("scenario"):
+        last, pnl = {}, {}
+        for ts, g in q.sort_values(["ts", "rule_id"]).groupby("ts"):
+            rows = [x for x in g.to_dict("records") if ts - last.get(x["rule_id"], -10 ** 12) >= secs]
+            if pnl.get(ts // 86400, 0) <= -stop or not rows:
+                continue
+            w = clamp(rows, .8, .3, .4)
+            if any(abs(x) > 1e-12 for x in w):
+                out[sc, ts] = sum(x * (r["gross_r"] - cost) for x, r in zip(w, rows))
+                pnl[ts // 86400] = pnl.get(ts // 86400, 0) + out[sc, ts]
+                last.update({r["rule_id"]: ts for x, r in zip(w, rows) if abs(x) > 1e-12})
+    return out
+
+
+def busy(days, scenarios=("s", "t")):
+    """A candidate every half hour, day and night."""
+    r = np.random.default_rng(days)
+    p = pd.DataFrame([(s, k, t * 1800 + 86400 * 19000) for s in scenarios for t in range(days * 48) for k in "abcd" if r.random() < .7], columns=["scenario", "rule_id", "ts"])
+    p["signal_dir"], p["gross_r"] = r.choice([-1.0, 1.0], len(p)), r.normal(0, .002, len(p)).round(6)
+    return p.assign(asset=p.rule_id.map({"a": "X", "b": "X", "c": "Y", "d": "Y"}))
+
+
+@pytest.mark.parametrize("hours, days, most", [(2.5, 60, 12), (30, 6, 6)])
+def test_cooldown_over_days_without_a_quiet_one(spark, hours, days, most):
+    """The state of a day reaches into the next one, with 30 hours over it."""
+    p, secs = busy(days), int(hours * H)
+    rows, rounds = PF.cooldown_walk(spark.createDataFrame(p), ["scenario"], secs, .0002, .8, .3, .4, .02, True)
+    t = rows.groupBy("scenario", "ts").agg(F.sum(F.col("weight") * (F.col("gross_r") - .0002)).alias("pnl"))
+    want = walked(p, .0002, .02, secs)
+    assert {(r.scenario, r.ts): r.pnl for r in t.collect()} == pytest.approx(want) and p.ts.floordiv(86400).nunique() == days
+    assert 1 < rounds <= most
+
+
+def test_cooldown_of_nothing(spark):
+    e = spark.createDataFrame(busy(1)).limit(0)
+    assert PF.combine(e, ["scenario"], .0002, cooldown=3)[0].count() == 0
