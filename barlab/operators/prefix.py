@@ -3,22 +3,30 @@
 One symbol may hold a large share of all rows, so a plain unbounded window over ``symbol`` would sort
 that share in a single task. Every operator here works in two levels instead:
 
-1. rows fall into time chunks (``chunk = ts // span``), each small enough for one task;
+1. rows fall into time chunks (``ts // span``); a chunk of more than ``depth`` rows is cut further, in ranges of
+   about equal depth: a mergeable sketch of the first order column proposes the cut points, and a single value that
+   fills a range of its own is cut by what follows in the order in the same way. A key with a million rows in one second
+   so spreads over tasks as long as its order tells the rows apart;
 2. each chunk is reduced to one partial row; a window over those few rows gives the value carried
    into each chunk;
 3. the carry joins back on (keys, chunk) and a window inside the chunk finishes the value.
 
-The chunk table has one row per ``span`` seconds of data, so the window over it stays small; the join
-and the inner window share one hash partitioning on (keys, chunk), so the data is shuffled once.
+The chunk table has one row per ``span`` seconds or ``depth`` rows of data, so the window over it stays small; the
+join and the inner window share one hash partitioning on (keys, chunk), so the data is shuffled once.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from ..sources.readers import small
+from .store import stored
 
 CHUNK = "_chunk"
+# Rows of a chunk in one task, and cut points of one sketch.
+DEPTH, CUTS = 200_000, 1023
 
 
 @dataclass(frozen=True)
@@ -60,20 +68,80 @@ def _merge(kind: str, carried: Column, here: Column) -> Column:
     return F.coalesce(here, carried)
 
 
-def with_chunk(df: DataFrame, ts: Column, span: int) -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(ts / span).cast("long"))
+def _numbers(df: DataFrame, order: Sequence[str | Column]) -> list[Column]:
+    """Doubles whose lexicographic order never runs against the order of the rows; rows that agree in some of them
+    still differ in the order only by what follows. Nulls come first."""
+    out = []
+    for o in order:
+        c = F.col(o) if isinstance(o, str) else o
+        t = df.select(c.alias("o")).schema["o"].dataType
+        if isinstance(t, T.LongType):                     # two parts, each exact in a double
+            out += [F.shiftright(c, 10).cast("double"), c.bitwiseAND(F.lit(1023)).cast("double")]
+        elif isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
+            out.append(c.cast("double"))
+        elif isinstance(t, T.DateType):
+            out.append(F.unix_date(c).cast("double"))
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            out.append(F.unix_micros(c.cast("timestamp")).cast("double"))
+        elif isinstance(t, T.StringType):                 # up to 24 bytes; what follows them is not used
+            out += [F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), k, 6)), 12, "0"), 16, 10).cast("double") for k in (1, 7, 13, 19)]
+            break
+        else:                                             # several values may share a double
+            x = c.cast("double")
+            out.append(F.when(F.isnan(x), float("inf")).otherwise(x))
+            break
+    return [F.coalesce(x, F.lit(float("-inf"))) for x in out]
+
+
+def _sketch(x: Column) -> Column:
+    return F.percentile_approx(x, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), F.lit(10 * (CUTS + 1)))
+
+
+def _cuts(depth: int) -> Column:
+    """Of the sketch ``_sk`` of ``_n`` rows, the cut points about ``depth`` rows apart."""
+    step = F.greatest(F.lit(1), F.floor(F.lit(depth * (CUTS + 1.0)) / F.col("_n")))
+    return F.array_distinct(F.filter("_sk", lambda x, i: (i + 1) % step == 0))
+
+
+def _range(x: Column, cuts: str) -> Column:
+    """Even for values between two cut points, odd for those equal to one; 0 without cut points."""
+    below = F.size(F.filter(cuts, lambda c: c < x)) * 2 + F.array_contains(cuts, x).cast("int")
+    return F.when(F.col(cuts).isNotNull(), below).otherwise(0).cast("long")
+
+
+def in_ranges(d: DataFrame, at: Sequence[str], order: Sequence[str | Column], hot: DataFrame, depth: int) -> tuple[DataFrame, list[str]]:
+    """Adds range columns that cut the groups of ``hot`` (at..., _n, _sk over the first number of the order) in ranges
+    of about ``depth`` rows, one column for each number that was needed. Other groups get 0."""
+    at, names = list(at), []
+    for i, x in enumerate(_numbers(d, order)):
+        name = f"_range{i}"
+        if i:                                             # single values that alone fill a range
+            full = d.where(F.col(names[-1]) % 2 == 1).groupBy(*at).agg(F.count(F.lit(1)).alias("_n"), _sketch(x).alias("_sk"))
+            hot = stored(full.where(F.col("_n") > depth))
+            if hot.isEmpty():
+                break
+        cuts = stored(hot.select(*at, _cuts(depth).alias("_cuts")))
+        d = d.join(small(cuts), at, "left").withColumn(name, _range(x, "_cuts")).drop("_cuts")
+        at.append(name)
+        names.append(name)
+    return d, names
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], runs: Sequence[Run],
-            ts: Column, span: int) -> DataFrame:
+            ts: Column, span: int, depth: int = DEPTH) -> DataFrame:
     """Add running values in ``order`` within ``keys``. ``order`` must start with the time column
-    ``ts`` is derived from, so that chunks are contiguous in it."""
+    ``ts`` is derived from, so that chunks are contiguous in it. ``df`` is read twice, and once more if a chunk has
+    more than ``depth`` rows."""
     keys = list(keys)
-    d = with_chunk(df, ts, span)
+    d = df.withColumn(CHUNK, F.array(F.floor(ts / span).cast("long")))
     order_struct = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
-    part = d.groupBy(*keys, CHUNK).agg(*[
-        _agg(r.kind, r.col, order_struct).alias(f"_p_{r.out}")
-        for r in runs])
+    partials = [_agg(r.kind, r.col, order_struct).alias(f"_p_{r.out}") for r in runs]
+    part = stored(d.groupBy(*keys, CHUNK).agg(*partials, F.count(F.lit(1)).alias("_n"), _sketch(_numbers(df, order)[0]).alias("_sk")))
+    hot = part.where(F.col("_n") > depth).select(*keys, CHUNK, "_n", "_sk")
+    if not hot.isEmpty():
+        d, ranges = in_ranges(d, [*keys, CHUNK], order, hot, depth)
+        d = d.withColumn(CHUNK, F.concat(CHUNK, F.array(*ranges))).drop(*ranges)
+        part = d.groupBy(*keys, CHUNK).agg(*partials)
     up = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry = part.select(*keys, CHUNK, *[
         _over("sum" if r.kind == "count" else r.kind, F.col(f"_p_{r.out}"), up).alias(f"_c_{r.out}")

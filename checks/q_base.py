@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import permutations
 
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from barlab.plans import features as feat
 from barlab.plans import quality as Q
 from barlab.sources import derive, readers, sinks
 
-from .fixtures import DB, EB, PAIR, PAIRS, SUF
-from .registry import R, query, rx
+from .fixtures import DB, EB, PAIR, PAIRS, SUF, SYMBOLS
+from .registry import R, query, r6, rx
 
 OHLCV = "open, high, low, close, volume"
 
@@ -185,26 +186,44 @@ def _(spark, d):
 
 
 # --- joins and resampling ----------------------------------------------------------------------------------
-@query("asof_slow_series", f"""WITH {DB}, s AS (SELECT ts, CASE WHEN n % 4 = 0 THEN NULL ELSE rate END AS rate, n FROM (
-  SELECT CAST(epoch(o_orderdate) AS BIGINT) AS ts, avg(o_totalprice) AS rate, count(*) AS n FROM orders WHERE o_orderstatus='F' GROUP BY 1) WHERE ts % (86400*5) = 0)
-SELECT db.symbol, db.ts, round(close,9)+0.0 AS close, round(s.rate,9)+0.0 AS rate, s.n FROM db ASOF LEFT JOIN s ON db.ts >= s.ts""", places=9)
+# one slow series of orders for each symbol, all orders in it
+_SLOW = "(SELECT CAST(epoch(o_orderdate) AS BIGINT) AS ts, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS symbol, avg(o_totalprice) AS rate, count(*) AS n FROM orders GROUP BY 1, 2)"
+
+
+def _slow(spark, d):
+    symbol = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    return derive.read(spark, d, "orders").groupBy(symbol.alias("symbol"), S.epoch_seconds(F.col("o_orderdate")).alias("ts")).agg(
+        F.avg("o_totalprice").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+@query("asof_slow_series", f"""WITH {DB}, s AS (SELECT ts, symbol, CASE WHEN n % 4 = 0 THEN NULL ELSE rate END AS rate, n FROM {_SLOW})
+SELECT db.symbol, db.ts, round(close,9)+0.0 AS close, round(s.rate,9)+0.0 AS rate, s.n FROM db ASOF LEFT JOIN s ON db.symbol = s.symbol AND db.ts >= s.ts""", places=9)
 def _(spark, d):
     b = stored(derive.daily_bars(spark, d).select("symbol", "ts", "close"))
-    o = derive.read(spark, d, "orders").where("o_orderstatus = 'F'")
-    s = o.groupBy(S.epoch_seconds(F.col("o_orderdate")).alias("ts")).agg(F.avg("o_totalprice").alias("r"), F.count(F.lit(1)).alias("n")).where("ts % (86400*5) = 0")
-    s = expand(s.withColumn("rate", F.when(F.col("n") % 4 != 0, F.col("r"))), symbol=["A", "N", "R"])
+    s = _slow(spark, d).withColumn("rate", F.when(F.col("n") % 4 != 0, F.col("r"))).drop("r")
     return asof_join(b, s, ["symbol"], ["rate", "n"], span=86400 * 200)
 
 
-@query("forward_fill", f"""WITH {DB}, s AS (SELECT CAST(epoch(o_orderdate) AS BIGINT) AS ts, avg(o_totalprice) AS rate FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderstatus='F' GROUP BY 1)
-SELECT symbol, db.ts, round((last_value(rate IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY db.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) + 3.14159e-08, 6)+0.0 AS rate FROM db LEFT JOIN s ON db.ts = s.ts""")
+@query("forward_fill", f"""WITH {DB}, s AS (SELECT ts, symbol, CASE WHEN n % 2 = 0 THEN rate END AS rate FROM {_SLOW})
+SELECT db.symbol, db.ts, round((last_value(rate IGNORE NULLS) OVER (PARTITION BY db.symbol ORDER BY db.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) + 3.14159e-08, 6)+0.0 AS rate FROM db LEFT JOIN s ON db.ts = s.ts AND db.symbol = s.symbol""")
 def _(spark, d):
-    o = derive.read(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
-    s = o.groupBy(S.epoch_seconds(F.col("o_orderdate")).alias("ts")).agg(F.avg("o_totalprice").alias("r"))
-    j = stored(derive.daily_bars(spark, d).select("symbol", "ts").join(s, "ts", "left"))
+    s = _slow(spark, d).select("symbol", "ts", F.when(F.col("n") % 2 == 0, F.col("r")).alias("r"))
+    j = stored(derive.daily_bars(spark, d).select("symbol", "ts").join(s, ["symbol", "ts"], "left"))
     return running(j, ["symbol"], ["ts"], [Run("rate", "last", F.col("r"))], F.col("ts"), 86400 * 200).drop("r")
 
 
+@query("running_in_ranges", f"""WITH x AS (SELECT l_returnflag, l_partkey % 3 AS m, l_shipdate, l_orderkey, l_linenumber, l_quantity FROM lineitem), y AS (SELECT *, row_number() OVER w AS pos, {r6('sum(l_quantity) OVER w')} AS total, max(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+ last_value(CASE WHEN l_quantity > 45 THEN l_orderkey END IGNORE NULLS) OVER w AS big FROM x WINDOW w AS (PARTITION BY l_returnflag ORDER BY m, l_shipdate, l_orderkey, l_linenumber))
+SELECT l_returnflag, l_orderkey, l_linenumber, pos, total, {R('before')}, big FROM y""")
+def _(spark, d):
+    """All rows of a flag in one span, with three values of the first order column: chunks of about 500 rows come from
+    the next ones."""
+    x = derive.read(spark, d, "lineitem").select("l_returnflag", (F.col("l_partkey") % 3).alias("m"), F.col("l_shipdate").cast("date").alias("day"), "l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), "l_quantity")
+    q = F.col("l_quantity")
+    runs = [Run("pos", "count", F.lit(1)), Run("total", "sum", q), Run("before", "max", q, inclusive=False), Run("big", "last", F.when(q > 45, F.col("l_orderkey")))]
+    return running(x, ["l_returnflag"], ["m", "day", "l_orderkey", "l_linenumber"], runs, F.lit(0), 1, depth=500).select("l_returnflag", "l_orderkey", "l_linenumber", *[r.out for r in runs])
+
+
 @query("resample_right", f"""WITH {EB()} SELECT symbol, (ts + 14399)//14400*14400 AS ts, {rx(open='arg_min(open, ts)', high='max(high)', low='min(low)', close='arg_max(close, ts)', volume='sum(volume)')} FROM eb GROUP BY 1, 2""")
 def _(spark, d):
     return resample(derive.event_bars(spark, d), 14400, "right")
@@ -262,9 +281,10 @@ def _(spark, d):
 
 
 @query("stale_leg_gate", f"""WITH {EB(300)}, l AS (SELECT symbol, max(ts) AS t FROM eb GROUP BY 1)
-SELECT base, lead, a.t AS base_ts, b.t AS lead_ts, a.t - b.t AS lag_seconds, a.t - b.t > 300 AS blocked FROM (VALUES ('click','view'), ('view','click'), ('error','signup')) p(base, lead) JOIN l a ON a.symbol=base JOIN l b ON b.symbol=lead""")
+SELECT a.symbol AS base, b.symbol AS lead, a.t AS base_ts, b.t AS lead_ts, a.t - b.t AS lag_seconds, a.t - b.t > 300 AS blocked FROM l a JOIN l b ON a.symbol <> b.symbol""")
 def _(spark, d):
-    return Q.stale_legs(derive.event_bars(spark, d, 300), spark.createDataFrame([("click", "view"), ("view", "click"), ("error", "signup")], "base string, lead string"))
+    """All ordered pairs."""
+    return Q.stale_legs(derive.event_bars(spark, d, 300), spark.createDataFrame(list(permutations(SYMBOLS, 2)), "base string, lead string"))
 
 
 @query("constraint_checks", """

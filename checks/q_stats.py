@@ -30,10 +30,11 @@ def _(spark, d):
     return stats.baseline(with_cost_modes(order_events(spark, d)), ["rule_id", "mode"])
 
 
-@query("summary_with_t_stat", f"""WITH {OE}, a AS (SELECT rule_id, count(*) AS n, avg(gross_r) AS mean, median(gross_r) AS median, avg((gross_r > 0)::INT) AS hit, stddev_pop(gross_r) AS std FROM oe WHERE ev_id % 700 < 3 GROUP BY 1)
-SELECT rule_id, n, n < 20 AS n_lt_20, {rx(mean='mean', median='median', hit_rate='hit', std='std', sharpe_like='mean/std', t_stat='mean/(std/sqrt(n))')} FROM a""")
+@query("summary_with_t_stat", f"""WITH {OE}, a AS (SELECT rule_id, ev_id % 700 < 3 AS few, count(*) AS n, avg(gross_r) AS mean, median(gross_r) AS median, avg((gross_r > 0)::INT) AS hit, stddev_pop(gross_r) AS std FROM oe GROUP BY 1, 2)
+SELECT rule_id, few, n, n < 20 AS n_lt_20, {rx(mean='mean', median='median', hit_rate='hit', std='std', sharpe_like='mean/std', t_stat='mean/(std/sqrt(n))')} FROM a""")
 def _(spark, d):
-    return stats.with_t_stat(stats.summarize(order_events(spark, d).where("ev_id % 700 < 3"), BY, "gross_r"))
+    """Every order, in groups of more and of fewer than twenty."""
+    return stats.with_t_stat(stats.summarize(order_events(spark, d).withColumn("few", F.col("ev_id") % 700 < 3), [*BY, "few"], "gross_r"))
 
 
 @query("quantiles_two_ways",

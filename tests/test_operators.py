@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from barlab.functions import windows as W
+from barlab.operators import prefix
 from barlab.operators.asof import asof_join, asof_join_many
 from barlab.operators.blocks import in_blocks
 from barlab.operators.prefix import Run, drawdown, max_streak, row_index, run_length, running
@@ -79,6 +80,43 @@ def test_running_values(spark):
     np.testing.assert_allclose(g.before, e.cummax().groupby(p.k).ffill().groupby(p.k).shift())
 
 
+def chunk_sizes(d, keys, order, ts, span, depth):
+    """Rows of each chunk that ``running`` would form."""
+    d = d.withColumn("_chunk", F.array(F.floor(ts / span).cast("long")))
+    hot = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"), prefix._sketch(prefix._numbers(d, order)[0]).alias("_sk")).where(F.col("_n") > depth)
+    d, ranges = prefix.in_ranges(d, [*keys, "_chunk"], order, hot, depth)
+    return [r["count"] for r in d.groupBy(*keys, "_chunk", *ranges).count().collect()]
+
+
+def test_running_values_of_a_million_rows_in_one_second(spark):
+    n = 1_000_000
+    d = spark.range(n).select(F.lit("hot").alias("k"), (F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(77)).alias("ts"), F.concat(F.lit("e"), F.lpad(F.col("id"), 8, "0")).alias("tag"),
+                              (F.col("id") * 7919 % 1_000_003).alias("no"), (F.col("id") % 1000).alias("v"))
+    d = d.unionByName(d.where("no % 100000 = 7").withColumn("k", F.lit("cold")))
+    g = running(d, ["k"], ["ts", "no"], [Run("n", "count", F.lit(1)), Run("s", "sum", F.col("v"))], F.col("ts"), 10 ** 7)
+    order = Window.partitionBy("k").orderBy("ts", "no")
+    want = d.withColumns({"n": F.count(F.lit(1)).over(order), "s": F.sum("v").over(order)})
+    assert g.exceptAll(want).isEmpty() and g.count() == want.count()
+    sizes = chunk_sizes(d, ["k"], ["ts", "no"], F.col("ts"), 10 ** 7, 20_000)
+    assert max(sizes) < 60_000 and sum(sizes) == d.count() and len(sizes) > 40
+
+
+@pytest.mark.parametrize("depth", [1, 7, 100])
+def test_running_values_in_ranges_of_any_depth(spark, depth):
+    """Ties in the first order column, strings, nulls and dates in the next ones."""
+    r = np.random.default_rng(depth)
+    p = pd.DataFrame({"k": r.choice(["a", "b"], 600, p=[.9, .1]), "ts": np.where(r.random(600) < .5, 5, r.integers(0, 300, 600)), "s": r.choice(["", "é", "same prefix 1", "same prefix 2", None], 600),
+                      "v": r.integers(-5, 9, 600)}).reset_index(names="no")
+    d = spark.createDataFrame(p).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("no") % 3).cast("int"))).withColumn("big", F.when(F.col("no") % 4 > 0, F.lit(1 << 60) + F.col("no") % 2))
+    order = ["ts", "day", "big", "s", "no"]
+    g = running(d, ["k"], order, [Run("n", "count", F.lit(1)), Run("s1", "sum", F.col("v"), inclusive=False), Run("mx", "max", F.col("v")), Run("l", "last", F.when(F.col("v") > 0, F.col("no")))], F.col("ts"), 100, depth)
+    w = Window.partitionBy("k").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = d.withColumns({"n": F.count(F.lit(1)).over(upto), "s1": F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), "mx": F.max("v").over(upto),
+                          "l": F.last(F.when(F.col("v") > 0, F.col("no")), ignorenulls=True).over(upto)})
+    assert g.exceptAll(want).isEmpty() and g.count() == 600
+
+
 def test_streaks_and_drawdown(spark):
     p = series(3, nulls=0)
     d = row_index(frame(spark, p), ["k"], ["ts"], F.col("ts"), 3600)
