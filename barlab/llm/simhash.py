@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.store import stored
 from .components import components
-from .textbytes import WHITE, slices, squeezed, word_bounds
+from .textbytes import WHITE, slices, squeezed, word_bounds, xxh64
 
 BITS, LIMIT, FANOUT = 64, 4, 8
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, width: one more than the limit
@@ -34,18 +33,30 @@ def fingerprint_slice(data: np.ndarray, off: np.ndarray, shingle: int) -> np.nda
     # shingles that begin at a word: all but the last few, at least the first
     begin = np.arange(len(starts)) - np.repeat(words[:-1], n)
     use = (begin == 0) | (begin + shingle <= np.repeat(n, n))
-    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
-    h = np.array([digest(raw[a:b], 42) for a, b in zip(starts[use].tolist(), ends[last[use]].tolist())], dtype=np.uint64)
+    h = xxh64(data, starts[use], ends[last[use]], 42)
     per = np.maximum(n - shingle + 1, n > 0)
     out = np.zeros(len(n), dtype=np.uint64)
     full = np.flatnonzero(per)
     if len(full):
-        first = np.concatenate([[0], np.cumsum(per)])[full]
-        ones = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
+        ones = bit_counts(h, per[full])
         out[full] = np.packbits(2 * ones > per[full][:, None], axis=1).view(np.uint64)[:, 0]
     return out
 
 
+def bit_counts(h: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """How often each bit is set in each group of ``per`` (at least 1) values: groups x 64, as ``unpackbits`` orders
+    them. Eight bits are added at once, a byte for each, in stretches of at most 255 values."""
+    stretches = -(-per // 255)
+    first = np.cumsum(stretches) - stretches              # of a group, among stretches
+    inside = np.arange(int(stretches.sum())) - np.repeat(first, stretches)
+    start = np.repeat(np.cumsum(per) - per, stretches) + 255 * inside
+    out = np.empty((len(per), 8, 8), dtype=np.int64)
+    for k in range(8):
+        sums = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0101010101010101), start)
+        out[:, :, 7 - k] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+    return out.reshape(len(per), 64)
+
+
 def fingerprinter(shingle: int = 4):
     @F.arrow_udf("long")
     def fingerprint(texts: pa.Array) -> pa.Array:

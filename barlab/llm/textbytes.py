@@ -109,3 +109,59 @@ class RollingHash:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (self.sums[ends] - self.sums[starts]) * self.down[starts]
+
+
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _lane(acc, x: np.ndarray) -> np.ndarray:
+    return _rotated(acc + x * _P2, 31) * _P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """XXH64 of many stretches of one byte array; stretches may overlap. All advance together, lane by lane."""
+    with np.errstate(over="ignore"):
+        seed = np.uint64(seed)
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        word = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))).view("<u8")[:, 0].astype(np.uint64)
+        at, left = starts.astype(np.int64), (ends - starts).astype(np.int64)
+        h = np.full(len(at), seed + _P5)
+        long = np.flatnonzero(left >= 32)
+        if len(long):
+            acc = [np.full(len(long), v) for v in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+            pos, stripes = at[long], left[long] >> 5
+            live = np.arange(len(long))
+            while len(live):
+                for k in range(4):
+                    acc[k][live] = _lane(acc[k][live], word[pos[live] + 8 * k])
+                pos[live] += 32
+                stripes[live] -= 1
+                live = live[stripes[live] > 0]
+            x = _rotated(acc[0], 1) + _rotated(acc[1], 7) + _rotated(acc[2], 12) + _rotated(acc[3], 18)
+            for a in acc:
+                x = (x ^ _lane(np.uint64(0), a)) * _P1 + _P4
+            h[long] = x
+            at = at.copy()
+            at[long] = pos
+        h += left.astype(np.uint64)
+        left = left & 31
+        for need in (8, 16, 24):
+            live = np.flatnonzero(left >= need)
+            h[live] = _rotated(h[live] ^ _lane(np.uint64(0), word[at[live] + (need - 8)]), 27) * _P1 + _P4
+        at, left = at + (left & 24), left & 7
+        live = np.flatnonzero(left >= 4)
+        h[live] = _rotated(h[live] ^ ((word[at[live]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        at, left = at + (left & 4), left & 3
+        for need in (1, 2, 3):
+            live = np.flatnonzero(left >= need)
+            h[live] = _rotated(h[live] ^ (padded[at[live] + (need - 1)].astype(np.uint64) * _P5), 11) * _P1
+        h ^= h >> np.uint64(33)
+        h *= _P2
+        h ^= h >> np.uint64(29)
+        h *= _P3
+        return h ^ (h >> np.uint64(32))

@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .textbytes import WHITE, Powers, RollingHash, mixed, slices, word_bounds
+
 NONE = np.int64(1 << 40)
 
 
@@ -22,7 +24,7 @@ class WordBpe:
     pattern of which the matches stay, bytes as symbols, merges by rank, a suffix on the last symbol. Letters
     added by the newest Unicode version may be split otherwise than in the library, whose tables are older."""
 
-    def __init__(self, path: str, cache: int = 1 << 19):
+    def __init__(self, path: str, bits: int = 21):
         with open(path, encoding="utf-8") as f:
             conf = json.load(f)
         model = conf["model"]
@@ -45,7 +47,7 @@ class WordBpe:
         np.minimum.at(earliest, left, np.arange(len(left)))
         np.minimum.at(earliest, right, np.arange(len(right)))
         self.single = earliest[self.made] < np.arange(len(self.made))
-        self.limit, self.known = cache, {}
+        self.known = Remembered(bits)
 
     def _fill(self, keys: np.ndarray) -> None:
         """Open addressing: pair -> rank. The last rank of a pair listed twice counts."""
@@ -134,45 +136,73 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text)
         return self.split.findall(_lower(text))
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text. Pre-tokens never hold white space, so a text is the sum over its chunks."""
-        known, out, missing = self.known, [], []
-        for t in texts:
-            words = _chunks(t)
-            n = list(map(known.get, words))
-            lost = [w for w, k in zip(words, n) if k is None] if None in n else []
-            missing.append(lost)
-            out.append(sum(k for k in n if k is not None) if lost else sum(n))
-        new = {w for lost in missing for w in lost}
-        if len(known) + len(new) > self.limit:
-            known.clear()
-        if new:
-            chunks, fixed, words, owner = list(new), [], [], []
-            for i, c in enumerate(chunks):
-                parts, n = [c], 0
-                if "<|" in c:
-                    n = len(self.special.findall(c))
-                    parts = self.special.split(c)
-                fixed.append(n)
-                for p in parts:
-                    w = self.pre_tokens(p)
-                    words += w
-                    owner += [i] * len(w)
-            n = np.array(fixed, dtype=np.int64)
-            if words:
-                np.add.at(n, np.array(owner), self.count_words(words))
-            known.update(zip(chunks, n.tolist()))
-        return [n + sum(map(known.__getitem__, lost)) for n, lost in zip(out, missing)]
-
-
-_SPACES = regex.compile(r"\s+")
-
-
-def _chunks(text: str) -> list[str]:
-    """Pieces between white space. Four control characters are white space to Python alone."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [w for w in _SPACES.split(text) if w]
-    return text.split()
+    def count_chunks(self, chunks: list[str]) -> np.ndarray:
+        """Tokens of each chunk; special strings inside are one token each."""
+        fixed, words, owner = np.zeros(len(chunks), dtype=np.int64), [], []
+        for i, c in enumerate(chunks):
+            parts = [c]
+            if "<|" in c:
+                fixed[i] = len(self.special.findall(c))
+                parts = self.special.split(c)
+            for p in parts:
+                w = self.pre_tokens(p)
+                words += w
+                owner += [i] * len(w)
+        if words:
+            np.add.at(fixed, np.array(owner), self.count_words(words))
+        return fixed
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text. Pre-tokens never hold white space, so a text is the sum over its chunks, the pieces
+        between ASCII white space. Chunks are told apart by hash and length; counts of short ones are remembered."""
+        out = [np.zeros(0, dtype=np.int64)]
+        for s in slices(texts):
+            starts, ends = word_bounds(~WHITE[s.data])
+            size = ends - starts
+            key = mixed(RollingHash(s.data.astype(np.uint64) + np.uint64(1), _BYTES).of(starts, ends) + size.astype(np.uint64))
+            n = self.known.get(key)
+            lost = np.flatnonzero(n < 0)
+            if len(lost):
+                new, first, which = np.unique(key[lost], return_index=True, return_inverse=True)
+                rows = lost[first]
+                got = self.count_chunks([s.data[a:b].tobytes().decode() for a, b in zip(starts[rows].tolist(), ends[rows].tolist())])
+                n[lost] = got[which]
+                short = size[rows] <= SHORT
+                self.known.put(new[short], got[short])
+            sums = np.concatenate([[0], np.cumsum(n)])
+            out.append(np.diff(sums[np.searchsorted(starts, s.off)]))
+        return np.concatenate(out)
+
+
+_BYTES = Powers(0x9E3779B97F4A7C15)
+# Chunks of more bytes are counted anew each time.
+SHORT = 64
+
+
+class Remembered:
+    """Counts by 64-bit key in a table of fixed size: a key has two places, a newer one takes the second."""
+
+    def __init__(self, bits: int):
+        self.shift = np.uint64(64 - bits)
+        self.key = np.zeros(1 << bits, dtype=np.uint64)
+        self.n = np.full(1 << bits, -1, dtype=np.int32)
+
+    def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = (key >> self.shift).astype(np.int64)
+        return a, a ^ 1
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """Counts, -1 where unknown."""
+        a, b = self._places(key)
+        out = np.where(self.key[a] == key, self.n[a], np.int32(-1)).astype(np.int64)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = np.where(self.key[b[rest]] == key[rest], self.n[b[rest]], -1)
+        return out
+
+    def put(self, key: np.ndarray, n: np.ndarray) -> None:
+        a, b = self._places(key)
+        at = np.where(self.n[a] < 0, a, b)
+        self.key[at], self.n[at] = key, n
 
 
 def _lower(text: str) -> str:
@@ -202,19 +232,11 @@ def model(path: str) -> WordBpe:
     return _MODELS[path]
 
 
-def counter(path: str, part: int = 1 << 21):
+def counter(path: str):
     """Arrow UDF: text -> tokens. ``path`` must be readable where tasks run, as an installed package is."""
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        bpe, out, buf, size = model(path), [], [], 0
-        for t in texts:
-            s = t.as_py() or ""
-            buf.append(s)
-            size += len(s)
-            if size >= part:
-                out += bpe.count(buf)
-                buf, size = [], 0
-        return pa.array(out + bpe.count(buf), pa.int64())
+        return pa.array(model(path).count(texts))
 
     return count
 
@@ -228,7 +250,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Counts are those of the library without added, begin or end tokens; special strings inside a text are one
     token each, as is its default. Null and empty texts count 0; repeated rows and null ids stay as they are;
-    other columns are not read. A worker remembers a bounded number of words. No shuffle.
+    other columns are not read. A worker remembers words of up to 64 bytes in a table of 25 MB; longer ones are counted anew. No shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), counter(path)(F.col(text_col)).alias("n_tokens"))

@@ -4,6 +4,7 @@ import uuid
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import docs, prose, rows, same
 from pyspark.sql import functions as F
@@ -112,7 +113,7 @@ def test_packing_query_takes_tokens_and_near_copies(spark, tmp_path):
     d = f"{tmp_path}/{uuid.uuid4().hex}"
     docs(spark, rs).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{d}/documents.parquet")
     got = queries.QUERIES["op5_packing"](spark, d).collect()
-    n = dict(zip([r[0] for r in rs], tokens.model(path(queries.VOCABULARY)).count([r[1] or "" for r in rs])))
+    n = dict(zip([r[0] for r in rs], tokens.model(path(queries.VOCABULARY)).count(pa.array([r[1] for r in rs], pa.string())).tolist()))
     assert n[10] > 2048 and n[11] > 2048
     root = {r["doc_id"]: r["cluster"] for r in simhash.clustered(docs(spark, rs)).collect()}
     assert len({root[i] for i in range(3)}) == 1 and root[None] is not None
@@ -335,6 +336,22 @@ def test_pipeline(spark, tmp_path):
     check_packing(clusters_, got, 2048)
 
 
+def test_many_xxh64_at_once():
+    import xxhash
+
+    from barlab.llm.textbytes import xxh64
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 3000).astype(np.uint8)
+    a = r.integers(0, 2990, 2000)
+    b = np.minimum(a + r.integers(0, 140, 2000), 3000)
+    for seed in (0, 42):
+        assert xxh64(data, a, b, seed).tolist() == [xxhash.xxh64_intdigest(data[x:y].tobytes(), seed) for x, y in zip(a, b)]
+    per = np.array([1, 254, 255, 256, 700, 3])
+    h = r.integers(0, 1 << 64, int(per.sum()), dtype=np.uint64)
+    want = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), np.cumsum(per) - per, axis=0, dtype=np.int64)
+    assert (simhash.bit_counts(h, per) == want).all()
+
+
 def test_bounded_samples_count_copies_once(spark):
     from barlab.llm.sampling import lowest
     d = spark.range(20000).select(F.xxhash64(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))).alias("at"), (F.col("id") % 5).alias("x"))
