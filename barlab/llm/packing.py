@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.store import stored
+
 
 class Bins:
     """Open bins by residual. ``mask`` has bit r set while a bin with residual r is open, so that the successor
@@ -89,6 +91,16 @@ def pack_shard(t: pa.Table, capacity: int) -> pa.Table:
                      "start": pa.array(start, pa.int64()), "n_tokens": pa.array(size, pa.int64())})
 
 
+def numbered(counted: DataFrame, part: int = 1 << 16) -> DataFrame:
+    """Each row ``count`` times, with its number ``nth``. Numbers are made in parts of ``part``, each in a task of
+    its own choice."""
+    last = F.floor((F.col("count") - 1) / part)
+    d = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    d = d.repartition("part", *[c for c in counted.columns if c != "count"])
+    first = F.col("part") * part
+    return d.withColumn("nth", F.explode(F.sequence(first, F.least(first + part, F.col("count")) - 1))).drop("part", "count")
+
+
 def pack(docs: DataFrame, length_col: str, id_col: str = "doc_id", source_col: str = "source", cluster_col: str = "cluster",
          capacity: int = 2048, shard_rows: int = 4096) -> DataFrame:
     """One row per piece: id, piece, bin_id, start, n_tokens.
@@ -96,13 +108,15 @@ def pack(docs: DataFrame, length_col: str, id_col: str = "doc_id", source_col: s
     Longer documents are cut in pieces of ``capacity`` and a rest. No bin holds two documents of one source or of
     one cluster; a null source or cluster conflicts with nothing. Documents of length zero, negative or null get
     one row without a bin. Repeated rows and null ids are packed like others; other columns are not read.
-    A shard has about ``shard_rows`` documents whatever the input, so a hot source is spread over all shards and
-    no task sees more; ids, lengths and conflict keys alone are shuffled.
+    A shard has about ``shard_rows`` documents whatever the input: equal rows are counted first and dealt out by their
+    number among their like, so neither a hot source nor a hot row fills a shard; ids, lengths and conflict keys alone
+    are shuffled. Very long documents make many pieces, one row each.
     """
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("length"),
                     F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
-    shards = max(1, -(-docs.count() // shard_rows))
-    d = d.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length"), F.lit(shards)))
+    d = stored(d.groupBy(*d.columns).count())
+    shards = max(1, -(-(d.agg(F.sum("count")).first()[0] or 0) // shard_rows))
+    d = numbered(d).withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "length", "nth"), F.lit(shards)))
     kind = docs.schema[id_col].dataType.simpleString()
     packed = (d.where("length > 0").groupBy("shard")
               .applyInArrow(lambda t: pack_shard(t, capacity), f"id {kind}, piece long, bin_id long, start long, n_tokens long"))

@@ -100,16 +100,20 @@ def _(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def token_length():
+    from public_tokenizers import path
+    return tokens.counter(path(VOCABULARY))(F.col("text")).alias("n")
+
+
 def with_packing_keys(docs: DataFrame) -> DataFrame:
-    """Length in words, and the cluster of exact copies: for the pipeline, whose documents are near-deduplicated."""
-    return docs.select("doc_id", "source", F.regexp_count("text", F.lit(r"\S+")).alias("n"), F.xxhash64("text").alias("cluster"))
+    """Length in tokens, and the cluster of equal texts: for the pipeline, which keeps one document of each group of
+    near-duplicates. Null texts have no tokens and no cluster."""
+    return docs.select("doc_id", "source", token_length(), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("cluster"))
 
 
 @query("op5_packing")
 def _(spark, sf_dir):
-    from public_tokenizers import path
-    n = tokens.counter(path(VOCABULARY))(F.col("text")).alias("n")
-    return packing.pack(stored(simhash.clustered(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("source"), n)), "n")
+    return packing.pack(stored(simhash.clustered(table(spark, sf_dir, "documents"), "doc_id", "text", F.col("source"), token_length())), "n")
 
 
 @query("op6_personal_data")

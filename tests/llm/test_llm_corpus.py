@@ -331,9 +331,21 @@ def test_pipeline(spark, tmp_path):
         assert step.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         same(step.select("doc_id", "text", "lang", "source").collect(), w)
     got = corpus_pipeline.run(spark, d).collect()
+    from public_tokenizers import path
+    from barlab.llm import tokens
     texts = {}
-    clusters_ = [(i, len(t.split()), s, texts.setdefault(t, i)) for i, t, _, s in clean]
-    check_packing(clusters_, got, 2048)
+    n = tokens.model(path(queries.VOCABULARY)).count(pa.array([t for _, t, _, _ in clean], pa.string())).tolist()
+    clusters_ = [(i, k, s, None if t is None else texts.setdefault(t, i)) for (i, t, _, s), k in zip(clean, n)]
+    bins = check_packing(clusters_, got, 2048)
+    assert sum(n) > sum(len(t.split()) for _, t, _, _ in clean) and all(sum(r["n_tokens"] for r in b) <= 2048 for b in bins.values())
+
+
+def test_equal_rows_fill_no_shard(spark):
+    d = docs(spark, [(None, "same text", "en", "s")] * 3000 + [(i, f"text {i}", "en", "t") for i in range(1000)]).select("doc_id", "source", F.lit(5).alias("n"), F.xxhash64("text").alias("cluster"))
+    got = packing.pack(d, "n", capacity=2048, shard_rows=100).collect()
+    assert len(got) == 4000 and max(np.bincount([r["bin_id"] >> 32 for r in got])) < 200
+    one = packing.numbered(spark.createDataFrame([("a", 200_001), ("b", 1), ("c", 65_536)], "k string, `count` long"))
+    assert {(r.k, r.n, r.d, r.hi) for r in one.groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("nth").alias("d"), F.max("nth").alias("hi")).collect()} == {("a", 200_001, 200_001, 200_000), ("b", 1, 1, 0), ("c", 65_536, 65_536, 65_535)}
 
 
 def test_many_xxh64_at_once():
