@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.scalar import COST_MODES, with_cost_modes
 from ..sources.readers import small
+from .prefix import Run, running
 from .quantiles import exact_quantiles, top_sum
 from .store import stored
 
@@ -65,8 +66,9 @@ def baseline(net: DataFrame, by: Sequence[str], ret: str = "net_r", groups: Data
 
 # --- bootstrap ---------------------------------------------------------------------------------------
 # Multipliers of the draw hash, 31-bit arithmetic so that any SQL engine can repeat it
-_M31, _A, _B = (1 << 31) - 1, 739982445, 695872825
-BLOCK = 65536
+_M31, _A, _B, _LEAF_STEP = (1 << 31) - 1, 739982445, 695872825, 15485863
+# Positions of a leaf, inside which draws are made one by one (part of what a result means), and of a task.
+LEAF, BLOCK = 65536, 65536
 
 
 def _draw(x: np.ndarray) -> np.ndarray:
@@ -78,75 +80,106 @@ def _draw(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> 15)
 
 
-def draw_sql(b: str, i: str, seed: int, n: str) -> str:
+def draw_sql(b: str, i: str, seed: int, n: str, leaf: str = "0") -> str:
     """The same draw as a SQL expression: 0-based index below n."""
-    x = f"(({b})*1000003 + ({i})*7919 + {seed}*104729) & {_M31}"
+    x = f"(({b})*1000003 + ({i})*7919 + {seed}*104729 + ({leaf})*{_LEAF_STEP}) & {_M31}"
     x = f"(xor({x}, ({x}) >> 15) * {_A}) & {_M31}"
     x = f"(xor({x}, ({x}) >> 12) * {_B}) & {_M31}"
     return f"((xor({x}, ({x}) >> 15) * ({n})) >> 31)"
 
 
+def _log_factorial(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, exact to double precision from ten on; products below."""
+    y = np.maximum(x, 10).astype(float) + 1.0
+    s = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
+    return np.where(x < 10, np.log(np.cumprod(np.maximum(np.arange(10), 1)).astype(float))[np.minimum(x, 9)], s)
+
+
+def binomial(k: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
+    """One binomial number (k trials, chance p) for each uniform u: chances are added up from the most likely number
+    outwards, above before below, until they exceed u. Takes about sqrt(k) steps."""
+    q, up = 1.0 - p, np.floor((k + 1) * p).astype(np.int64)
+    up = np.minimum(up, k)
+    down, out = up.copy(), up.copy()
+    chance = np.exp(_log_factorial(k) - _log_factorial(up) - _log_factorial(k - up) + up * np.log(p) + (k - up) * np.log(q))
+    above, below, total = chance.copy(), chance.copy(), chance.copy()
+    live = np.flatnonzero(u >= total)
+    while len(live):
+        above[live] *= (k[live] - up[live]) / (up[live] + 1) * (p / q)
+        up[live] += 1
+        total[live] += above[live]
+        hit = (u[live] < total[live]) & (up[live] <= k[live])
+        out[live[hit]] = up[live[hit]]
+        live = live[~hit]
+        below[live] *= down[live] / (k[live] - down[live] + 1) * (q / p)
+        down[live] -= 1
+        total[live] += np.where(down[live] >= 0, below[live], 0.0)
+        hit = (u[live] < total[live]) & (down[live] >= 0)
+        out[live[hit]] = down[live[hit]]
+        live = live[~hit]
+        live = live[(up[live] < k[live]) | (down[live] > 0)]
+    return out
+
+
+def leaf_draws(n: int, leaf: int, cell: int, iters: int, seed: int) -> np.ndarray:
+    """How many of the n draws of each iteration fall on leaf ``cell``. A binary tree over the positions splits them:
+    every node gives its left half a binomial share, drawn from (seed, iteration, range of positions) alone, so every
+    task finds the same numbers without seeing other leaves."""
+    lo, hi, k = 0, n, np.full(iters, n, dtype=np.int64)
+    b = np.arange(iters, dtype=np.int64)
+    while hi - lo > leaf:
+        mid = lo + leaf * (1 << ((-(-(hi - lo) // leaf) - 1).bit_length() - 1))
+        u = _draw(b * 1000003 + (lo * 31 + hi) * 7919 + (seed + 1) * 104729) / float(1 << 31)
+        left = binomial(k, (mid - lo) / (hi - lo), u)
+        lo, hi, k = (lo, mid, left) if cell * leaf < mid else (mid, hi, k - left)
+    return k
+
+
 def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Sequence[str], iters: int,
-                    seed: int, block: int = BLOCK) -> DataFrame:
+                    seed: int, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """Mean of each of ``iters`` resamples with replacement of size n: one array ``means`` per group.
 
-    ``order`` must be unique inside a group: equal keys would let the draws fall on either value.
-    A group of up to ``block`` values is one block. A larger group is split by hash; for every iteration
-    the n draws are first divided over its blocks (multinomial in the block sizes) and then drawn inside
-    each block, which has exactly the distribution of drawing from the whole group. A task holds one
-    block and returns ``iters`` sums; only groups of several blocks are summed over blocks.
+    ``order`` must be unique inside a group: equal keys would let the draws fall on either value. Positions in that
+    order fall into leaves of ``leaf``: a binary tree deals the n draws of an iteration to the leaves, inside a leaf
+    they are made one by one. Every number follows from seed, iteration and position, so a result depends on ``leaf``
+    but not on ``block``, the positions of one task. A task holds one block and returns ``iters`` sums.
     """
-    by = list(by)
+    by, per = list(by), max(1, block // leaf)
     v = stored(values.where(F.col(col).isNotNull()).select(*by, *order, F.col(col).alias("_x")))
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.when(F.col("_n") <= block, 1).otherwise(F.ceil(F.col("_n") * 2 / block))
-    v = v.join(small(n), by).withColumn("_blk", F.pmod(F.xxhash64(*order), nb).cast("long"))
-    sizes = v.groupBy(*by, "_blk").agg(F.count(F.lit(1)).alias("_m"))
-    schema = T.StructType([*sizes.schema.fields, T.StructField("_cnt", T.ArrayType(T.LongType()))])
-
-    def split(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_blk", ignore_index=True)
-        m = p["_m"].to_numpy()
-        if len(m) == 1:
-            p["_cnt"] = [np.empty(0, dtype=np.int64)]  # the whole group: n draws in every iteration
-        else:
-            g = np.random.Generator(np.random.Philox(seed))
-            p["_cnt"] = list(g.multinomial(int(m.sum()), m / m.sum(), size=iters).T.astype(np.int64))
-        return p
-
-    # rows of one group here are its blocks, not its values
-    counts = sizes.groupBy(*by).applyInPandas(split, schema)
-    arr = T.ArrayType(T.DoubleType())
-    out = T.StructType([*[sizes.schema[k] for k in by], T.StructField("_s", arr), T.StructField("_c", arr)])
+    n = stored(v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    one, many = (small(n.where(c)) for c in (F.col("_n") <= leaf, F.col("_n") > leaf))
+    at = v.join(many, by)
+    if not many.isEmpty():
+        at = running(at, by, list(order), [Run("_pos", "count", F.lit(1))], F.lit(0), 1)
+    else:
+        at = at.withColumn("_pos", F.lit(1).cast("long"))
+    at = at.withColumn("_pos", F.col("_pos") - 1).unionByName(v.join(one, by).withColumn("_pos", F.lit(None).cast("long")))
+    at = at.withColumn("_blk", F.coalesce(F.floor(F.col("_pos") / (leaf * per)), F.lit(0)).cast("long"))
+    out = T.StructType([*[at.schema[k] for k in by], T.StructField("_s", T.ArrayType(T.DoubleType()))])
     keycols, ordercols = list(by), list(order)
 
-    def resample(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        x = a.sort_values(ordercols)["_x"].to_numpy()
-        n_, blk = len(x), int(c["_blk"].iloc[0])
-        cnt = np.asarray(c["_cnt"].iloc[0], dtype=np.int64)
-        whole = not len(cnt)
-        if whole:
-            cnt = np.full(iters, n_, dtype=np.int64)
-        s = np.empty(iters)
-        step = max(1, 100_000 // max(int(cnt.max()), 1))  # working set stays in the cache
-        for lo in range(0, iters, step):
-            hi = min(lo + step, iters)
-            b = np.arange(lo, hi, dtype=np.int64)[:, None]
-            i = np.arange(int(cnt[lo:hi].max()), dtype=np.int64)[None, :]
-            j = (_draw(b * 1000003 + i * 7919 + seed * 104729 + blk * 15485863) * n_) >> 31
-            s[lo:hi] = x[j].sum(axis=1) if whole else np.where(i < cnt[lo:hi, None], x[j], 0.0).sum(axis=1)
-        s, c_ = (s / n_, np.empty(0)) if whole else (s, cnt.astype(float))
-        return pd.DataFrame({k: a[k].iloc[:1].to_numpy() for k in keycols} | {"_s": [s], "_c": [c_]})
-
-    parts = v.groupBy(*by, "_blk").cogroup(counts.groupBy(*by, "_blk")).applyInPandas(resample, out)
-    parts = stored(parts)
-    one = parts.join(small(n.where(F.col("_n") <= block).select(*by)), by, "left_semi").select(
-        *by, F.col("_s").alias("means"))
-    many = parts.join(small(n.where(F.col("_n") > block).select(*by)), by, "left_semi")
-    many = many.select(*by, F.posexplode(F.arrays_zip("_s", "_c")).alias("iter", "z"))
-    many = many.groupBy(*by, "iter").agg((F.sum("z._s") / F.sum("z._c")).alias("m"))
-    many = many.groupBy(*by).agg(F.collect_list("m").alias("means"))  # exactly ``iters`` values
-    return one.unionByName(many)
+    def resample(a: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values(ordercols)
+        values_, total, first = a["_x"].to_numpy(), int(a["_n"].iloc[0]), int(a["_blk"].iloc[0]) * per
+        s = np.zeros(iters)
+        for cell in range(first, first + -(-len(values_) // leaf)):
+            x = values_[(cell - first) * leaf:(cell - first + 1) * leaf]
+            cnt = leaf_draws(total, leaf, cell, iters, seed)
+            step = max(1, 100_000 // max(int(cnt.max()), 1))  # working set stays in the cache
+            for lo in range(0, iters, step):
+                hi = min(lo + step, iters)
+                b = np.arange(lo, hi, dtype=np.int64)[:, None]
+                i = np.arange(int(cnt[lo:hi].max()), dtype=np.int64)[None, :]
+                j = (_draw(b * 1000003 + i * 7919 + seed * 104729 + cell * _LEAF_STEP) * len(x)) >> 31
+                s[lo:hi] += x[j].sum(axis=1) if total <= leaf else np.where(i < cnt[lo:hi, None], x[j], 0.0).sum(axis=1)
+        return pd.DataFrame({k: a[k].iloc[:1].to_numpy() for k in keycols} | {"_s": [s / total]})
+
+    parts = stored(at.groupBy(*by, "_blk").applyInPandas(resample, out))
+    whole = small(n.where(F.col("_n") <= leaf * per).select(*by))
+    done = parts.join(whole, by, "left_semi").select(*by, F.col("_s").alias("means"))
+    rest = parts.join(whole, by, "left_anti").select(*by, F.posexplode("_s").alias("iter", "s"))
+    rest = rest.groupBy(*by, "iter").agg(F.sum("s").alias("m")).groupBy(*by).agg(F.collect_list("m").alias("means"))  # exactly ``iters`` values
+    return done.unionByName(rest)
 
 
 def bootstrap_ci(means: DataFrame, by: Sequence[str], modes: dict[str, float] | None = None,

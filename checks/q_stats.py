@@ -60,6 +60,31 @@ def _(spark, d):
     return stats.bootstrap_ci(stats.bootstrap_means(e, BY, "gross_r", ["ts", "ev_id"], 200, 42), BY)
 
 
+_MID = "lo + 64*(1 << CAST(ceil(log2(ceil((hi - lo)/64.0))) - 1 AS BIGINT))"
+_PMF = "exp(lgamma(k + 1) - lgamma(v + 1) - lgamma(k - v + 1) + v*ln(p) + (k - v)*ln(1 - p))"
+_U = "(" + stats.draw_sql("b", "lo*31 + hi", 42 + 1, str(1 << 31)) + ")/2147483648.0"
+# draws of an iteration dealt over leaves of 64 positions; chances are added up from the most likely number outwards
+_TREE = f"""v AS (SELECT rule_id, gross_r, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS j FROM oe), g AS (SELECT rule_id, count(*) AS n FROM v GROUP BY 1),
+nodes AS (SELECT rule_id, b, 0::BIGINT AS lo, n::BIGINT AS hi, n::BIGINT AS k FROM g CROSS JOIN range(20) r(b)
+UNION ALL SELECT rule_id, b, CASE WHEN side = 0 THEN lo ELSE mid END, CASE WHEN side = 0 THEN mid ELSE hi END, CASE WHEN side = 0 THEN kl ELSE k - kl END
+FROM (SELECT *, list_reduce(list_transform(range(0, 2*greatest(m, k - m) + 2), lambda t: struct_pack(c := CASE WHEN m + CASE WHEN t % 2 = 1 THEN (t + 1)//2 ELSE -(t//2) END BETWEEN 0 AND k THEN {_PMF.replace('v', '(m + CASE WHEN t % 2 = 1 THEN (t + 1)//2 ELSE -(t//2) END)')} ELSE 0.0 END, v := m + CASE WHEN t % 2 = 1 THEN (t + 1)//2 ELSE -(t//2) END)),
+   lambda a, x: CASE WHEN a.c > u THEN a ELSE struct_pack(c := a.c + x.c, v := x.v) END).v AS kl
+FROM (SELECT *, least(k, CAST(floor((k + 1)*p) AS BIGINT)) AS m FROM (SELECT *, (mid - lo)/CAST(hi - lo AS DOUBLE) AS p, {_U} AS u FROM (SELECT *, {_MID} AS mid FROM nodes WHERE hi - lo > 64)))) CROSS JOIN (VALUES (0), (1)) s(side))"""
+
+
+@query("bootstrap_many_blocks", f"""WITH RECURSIVE {OE}, {_TREE}, lf AS (SELECT * FROM nodes WHERE hi - lo <= 64),
+dr AS (SELECT rule_id, b, lo + {stats.draw_sql("b", "i", 42, "(hi - lo)", "lo//64")} AS j FROM (SELECT *, unnest(range(k)) AS i FROM lf)),
+m AS (SELECT rule_id, b, sum(gross_r)/any_value(n) AS mean FROM dr JOIN v USING (rule_id, j) JOIN g USING (rule_id) GROUP BY 1, 2)
+SELECT way, rule_id, mode, {rx(mean_ci_low='quantile_cont(mean - c, 0.025)', mean_ci_high='quantile_cont(mean - c, 0.975)', p_mean_gt_0='avg((mean - c > 0)::INT)')} FROM m CROSS JOIN {MODES} CROSS JOIN (VALUES ('one block'), ('blocks of 64'), ('blocks of 640')) w(way) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    """The same resamples whether a task holds one leaf of 64 positions, ten or the whole group."""
+    e, out = stored(order_events(spark, d)), None
+    for way, block in (("one block", 1 << 30), ("blocks of 64", 64), ("blocks of 640", 640)):
+        x = stats.bootstrap_ci(stats.bootstrap_means(e, BY, "gross_r", ["ts", "ev_id"], 20, 42, block, leaf=64), BY).withColumn("way", F.lit(way))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 FOLDS = f"""{OE}, g AS (SELECT rule_id, min(ts)//86400*86400 + 200*86400 AS s0, max(ts) AS hi FROM oe GROUP BY 1),
 f AS (SELECT rule_id, CAST(k + 1 AS INT) AS fold_id, s0 + k*45*86400 AS test_start, s0 + k*45*86400 + 60*86400 AS test_end FROM g, range(100) r(k) WHERE s0 + k*45*86400 + 60*86400 <= hi),
 fs AS (SELECT f.rule_id, f.fold_id, f.test_start, f.test_end, count(oe.ts) AS n, avg(oe.gross_r) AS mean FROM f LEFT JOIN oe ON oe.rule_id = f.rule_id AND oe.ts >= f.test_start AND oe.ts < f.test_end GROUP BY ALL)"""

@@ -212,3 +212,16 @@ def test_walkforward_counts_empty_folds(spark):
     assert [r.test_start // D for r in f] == [60, 75, 90, 105, 120]
     w = walkforward(d, ["k"]).where("mode = 'gross'").first()
     assert (w.wf_n, w.total_folds, w.positive_folds) == (3, 5, 2)
+
+
+def test_binomial_shares():
+    from barlab.operators.stats import binomial, leaf_draws
+    u = (np.arange(200_000) + .5) / 200_000
+    for k, p in ((0, .5), (1, .3), (7, .5), (50, .9), (4000, .25)):
+        x = binomial(np.full(len(u), k), p, u)
+        assert x.min() >= 0 and x.max() <= k
+        assert x.mean() == pytest.approx(k * p, abs=.01 * max(1, k) ** .5) and x.var() == pytest.approx(k * p * (1 - p), rel=.02, abs=1e-3)
+    n = 10_037
+    cnt = np.array([leaf_draws(n, 64, c, 300, 7) for c in range(-(-n // 64))])
+    assert (cnt.sum(axis=0) == n).all() and (cnt >= 0).all()
+    assert cnt[:-1].mean() == pytest.approx(64, rel=.01) and cnt[:-1].var() == pytest.approx(64, rel=.05) and cnt[-1].mean() == pytest.approx(n % 64, rel=.1)
