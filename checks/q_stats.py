@@ -15,6 +15,7 @@ from barlab.functions import windows as W
 from barlab.plans import classify as C
 from barlab.plans import features as feat
 from barlab.plans import studies as ST
+from barlab.plans import validate as V
 from barlab.sources import derive, readers, sinks
 
 from .fixtures import DB, EB, LG, OE, ledger, order_events
@@ -85,6 +86,28 @@ def _(spark, d):
     return out
 
 
+@query("permutation_test", f"""WITH RECURSIVE {OE}, v AS (SELECT rule_id, sign(signal_dir)*gross_r AS f, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS pos FROM oe),
+g AS (SELECT rule_id, count(*) AS n, count(*) FILTER (signal_dir > 0) AS up, count(*) FILTER (signal_dir < 0) AS down, sum(gross_r) AS total, CAST(greatest(1, ceil(log2(greatest(count(*), 2))/2)) AS INT) AS h FROM oe GROUP BY 1),
+w AS (SELECT rule_id, pos, t::BIGINT AS t, n, h, {V.shuffled_sql("pos", "h", "t", 42)} AS x FROM v JOIN g USING (rule_id) CROSS JOIN range(99) r(t)
+UNION ALL SELECT rule_id, pos, t, n, h, {V.shuffled_sql("x", "h", "t", 42)} FROM w WHERE x >= n),
+s AS (SELECT rule_id, t, sum(CASE WHEN x < up THEN f WHEN x >= n - down THEN -f ELSE 0 END) AS x FROM (SELECT rule_id, pos, t, x FROM w WHERE x < n) JOIN v USING (rule_id, pos) JOIN g USING (rule_id) GROUP BY 1, 2)
+SELECT rule_id, any_value(n) AS n, {rx(mean='any_value(total)/any_value(n)', p_value='(count(*) FILTER (round(x, 9) >= round(total, 9)) + 1)/100.0')} FROM s JOIN g USING (rule_id) GROUP BY 1""")
+def _(spark, d):
+    return V.permutation_test(order_events(spark, d), BY, ["ts", "ev_id"], 99)
+
+
+_TESTS = "SELECT o_custkey, CASE WHEN count(*) > 1 THEN avg((gross_r <= 0)::INT) END AS p FROM (SELECT o_custkey, ((o_orderkey*7919) % 2001 - 980)/100000.0e0 AS gross_r FROM orders) GROUP BY 1"
+
+
+@query("fdr_adjusted", f"""WITH t AS ({_TESTS}), r AS (SELECT *, row_number() OVER (ORDER BY p, o_custkey) AS rank, count(*) OVER () AS m FROM t WHERE p IS NOT NULL)
+SELECT o_custkey, {R('p')}, rank, m, {rx(q_value='least(1.0, min(p*m/rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} FROM r UNION ALL SELECT o_custkey, NULL, NULL, NULL, NULL FROM t WHERE p IS NULL""")
+def _(spark, d):
+    """The share of orders without gain as p of each customer, many of them equal; ranges of about 50 tests."""
+    t = derive.read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.avg((((F.col("o_orderkey") * 7919) % 2001 - 980) / 100000.0 <= 0).cast("int")).alias("p"))
+    t = t.select("o_custkey", F.when(F.col("n") > 1, F.col("p")).alias("p"))
+    return V.fdr_adjusted(t, "p", ["o_custkey"], depth=50).select("o_custkey", "p", "rank", "m", "q_value")
+
+
 FOLDS = f"""{OE}, g AS (SELECT rule_id, min(ts)//86400*86400 + 200*86400 AS s0, max(ts) AS hi FROM oe GROUP BY 1),
 f AS (SELECT rule_id, CAST(k + 1 AS INT) AS fold_id, s0 + k*45*86400 AS test_start, s0 + k*45*86400 + 60*86400 AS test_end FROM g, range(100) r(k) WHERE s0 + k*45*86400 + 60*86400 <= hi),
 fs AS (SELECT f.rule_id, f.fold_id, f.test_start, f.test_end, count(oe.ts) AS n, avg(oe.gross_r) AS mean FROM f LEFT JOIN oe ON oe.rule_id = f.rule_id AND oe.ts >= f.test_start AND oe.ts < f.test_end GROUP BY ALL)"""
