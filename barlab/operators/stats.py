@@ -121,32 +121,37 @@ def binomial(k: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaf_draws(n: int, leaf: int, cell: int, iters: int, seed: int) -> np.ndarray:
+def leaf_draws(n: int, leaf: int, cell: int, iters: int, seed: int, weights: np.ndarray | None = None) -> np.ndarray:
     """How many of the n draws of each iteration fall on leaf ``cell``. A binary tree over the positions splits them:
     every node gives its left half a binomial share, drawn from (seed, iteration, range of positions) alone, so every
-    task finds the same numbers without seeing other leaves."""
+    task finds the same numbers without seeing other leaves. ``weights`` of the leaves replace their sizes."""
+    sums = None if weights is None else np.concatenate([[0.0], np.cumsum(weights)])
+    share = lambda a, b: b - a if sums is None else sums[-(-b // leaf)] - sums[a // leaf]
     lo, hi, k = 0, n, np.full(iters, n, dtype=np.int64)
     b = np.arange(iters, dtype=np.int64)
     while hi - lo > leaf:
         mid = lo + leaf * (1 << ((-(-(hi - lo) // leaf) - 1).bit_length() - 1))
         u = _draw(b * 1000003 + (lo * 31 + hi) * 7919 + (seed + 1) * 104729) / float(1 << 31)
-        left = binomial(k, (mid - lo) / (hi - lo), u)
+        left = binomial(k, share(lo, mid) / share(lo, hi), u)
         lo, hi, k = (lo, mid, left) if cell * leaf < mid else (mid, hi, k - left)
     return k
 
 
 def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Sequence[str], iters: int,
-                    seed: int, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
+                    seed: int, block: int = BLOCK, leaf: int = LEAF, half_life: float | None = None, ts: str = "ts") -> DataFrame:
     """Mean of each of ``iters`` resamples with replacement of size n: one array ``means`` per group.
 
     ``order`` must be unique inside a group: equal keys would let the draws fall on either value. Positions in that
     order fall into leaves of ``leaf``: a binary tree deals the n draws of an iteration to the leaves, inside a leaf
     they are made one by one. Every number follows from seed, iteration and position, so a result depends on ``leaf``
     but not on ``block``, the positions of one task. A task holds one block and returns ``iters`` sums.
+
+    With ``half_life`` (days of the time column ``ts``, one of ``order``) a value counts half as much as one that much
+    newer: leaves share the draws by their weights, inside a leaf a draw searches the cumulative weights.
     """
     by, per = list(by), max(1, block // leaf)
     v = stored(values.where(F.col(col).isNotNull()).select(*by, *order, F.col(col).alias("_x")))
-    n = stored(v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
+    n = stored(v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *([F.max(ts).alias("_newest")] if half_life else [])))
     one, many = (small(n.where(c)) for c in (F.col("_n") <= leaf, F.col("_n") > leaf))
     at = v.join(many, by)
     if not many.isEmpty():
@@ -155,22 +160,31 @@ def bootstrap_means(values: DataFrame, by: Sequence[str], col: str, order: Seque
         at = at.withColumn("_pos", F.lit(1).cast("long"))
     at = at.withColumn("_pos", F.col("_pos") - 1).unionByName(v.join(one, by).withColumn("_pos", F.lit(None).cast("long")))
     at = at.withColumn("_blk", F.coalesce(F.floor(F.col("_pos") / (leaf * per)), F.lit(0)).cast("long"))
+    if half_life:
+        at = at.withColumn("_w", F.exp((F.col(ts) - F.col("_newest")) * (-np.log(0.5) / (half_life * DAY))))
+        cells = at.where("_pos is not null").groupBy(*by, F.floor(F.col("_pos") / leaf).alias("_cell")).agg(F.sum("_w").alias("_w"))
+        cells = stored(cells.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_cell", "_w"))).alias("_cells")))  # one entry for ``leaf`` values
+        at = at.join(small(cells), by, "left").withColumn("_cells", F.when(F.col("_pos") % (leaf * per) == 0, F.col("_cells._w")))
     out = T.StructType([*[at.schema[k] for k in by], T.StructField("_s", T.ArrayType(T.DoubleType()))])
     keycols, ordercols = list(by), list(order)
 
     def resample(a: pd.DataFrame) -> pd.DataFrame:
         a = a.sort_values(ordercols)
         values_, total, first = a["_x"].to_numpy(), int(a["_n"].iloc[0]), int(a["_blk"].iloc[0]) * per
-        s = np.zeros(iters)
+        s, cells_ = np.zeros(iters), None
+        if half_life and total > leaf:
+            cells_ = np.asarray(a["_cells"].dropna().iloc[0], dtype=float)
         for cell in range(first, first + -(-len(values_) // leaf)):
             x = values_[(cell - first) * leaf:(cell - first + 1) * leaf]
-            cnt = leaf_draws(total, leaf, cell, iters, seed)
+            cnt = leaf_draws(total, leaf, cell, iters, seed, cells_)
+            w = np.cumsum(a["_w"].to_numpy()[(cell - first) * leaf:(cell - first + 1) * leaf]) if half_life else None
             step = max(1, 100_000 // max(int(cnt.max()), 1))  # working set stays in the cache
             for lo in range(0, iters, step):
                 hi = min(lo + step, iters)
                 b = np.arange(lo, hi, dtype=np.int64)[:, None]
                 i = np.arange(int(cnt[lo:hi].max()), dtype=np.int64)[None, :]
-                j = (_draw(b * 1000003 + i * 7919 + seed * 104729 + cell * _LEAF_STEP) * len(x)) >> 31
+                u = _draw(b * 1000003 + i * 7919 + seed * 104729 + cell * _LEAF_STEP)
+                j = (u * len(x)) >> 31 if w is None else np.minimum(np.searchsorted(w, u / float(1 << 31) * w[-1], side="right"), len(x) - 1)
                 s[lo:hi] += x[j].sum(axis=1) if total <= leaf else np.where(i < cnt[lo:hi, None], x[j], 0.0).sum(axis=1)
         return pd.DataFrame({k: a[k].iloc[:1].to_numpy() for k in keycols} | {"_s": [s / total]})
 

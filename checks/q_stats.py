@@ -86,6 +86,16 @@ def _(spark, d):
     return out
 
 
+@query("bootstrap_decayed", f"""WITH {OE}, v AS (SELECT rule_id, gross_r, row_number() OVER o - 1 AS j, exp((ts - max(ts) OVER (PARTITION BY rule_id))*ln(2.0)/(60*86400)) AS w FROM oe WINDOW o AS (PARTITION BY rule_id ORDER BY ts, ev_id)),
+c AS (SELECT *, sum(w) OVER (PARTITION BY rule_id ORDER BY j) - w AS below FROM v), g AS (SELECT rule_id, count(*) AS n, sum(w) AS total FROM v GROUP BY 1),
+dr AS (SELECT rule_id, b.b, {stats.draw_sql("b.b", "i.i", 42, str(1 << 31))}/2147483648.0e0*total AS target FROM g CROSS JOIN range(100) b(b) JOIN range(1000000) i(i) ON i.i < g.n),
+m AS (SELECT dr.rule_id, b, avg(gross_r) AS mean FROM dr ASOF JOIN c ON dr.rule_id = c.rule_id AND dr.target >= c.below GROUP BY 1, 2)
+SELECT rule_id, mode, {rx(mean_ci_low='quantile_cont(mean - c, 0.025)', mean_ci_high='quantile_cont(mean - c, 0.975)', p_mean_gt_0='avg((mean - c > 0)::INT)')} FROM m CROSS JOIN {MODES} GROUP BY 1, 2""")
+def _(spark, d):
+    """Orders of 60 days ago count half."""
+    return stats.bootstrap_ci(stats.bootstrap_means(order_events(spark, d), BY, "gross_r", ["ts", "ev_id"], 100, 42, half_life=60), BY)
+
+
 @query("permutation_test", f"""WITH RECURSIVE {OE}, v AS (SELECT rule_id, sign(signal_dir)*gross_r AS f, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS pos FROM oe),
 g AS (SELECT rule_id, count(*) AS n, count(*) FILTER (signal_dir > 0) AS up, count(*) FILTER (signal_dir < 0) AS down, sum(gross_r) AS total, CAST(greatest(1, ceil(log2(greatest(count(*), 2))/2)) AS INT) AS h FROM oe GROUP BY 1),
 w AS (SELECT rule_id, pos, t::BIGINT AS t, n, h, {V.shuffled_sql("pos", "h", "t", 42)} AS x FROM v JOIN g USING (rule_id) CROSS JOIN range(99) r(t)

@@ -59,3 +59,17 @@ def test_false_discovery_adjustment(spark):
             assert got == want
     assert V.fdr_adjusted(d, "p", ["id"]).where("p is null and rank is null and q_value is null").count() == 1
     assert V.fdr_adjusted(d.limit(0), "p", ["id"]).count() == 0
+
+
+def test_decaying_resamples(spark):
+    """Blocks of any size give the same means, which centre on the weighted mean."""
+    r = np.random.default_rng(4)
+    p = pd.DataFrame({"g": "a", "ts": np.arange(1500) * 7200, "x": np.linspace(-1, 1, 1500) + r.normal(0, .1, 1500)})
+    e = spark.createDataFrame(p)
+    means = [np.sort(stats.bootstrap_means(e, ["g"], "x", ["ts"], 200, 5, block, 100, half_life=30).first()["means"]) for block in (100, 300, 10 ** 6)]
+    np.testing.assert_allclose(means[0], means[1])
+    np.testing.assert_allclose(means[0], means[2])
+    w = .5 ** ((p.ts.max() - p.ts) / (30 * 86400))
+    mean = (w * p.x).sum() / w.sum()
+    sd = ((w * (p.x - mean) ** 2).sum() / w.sum()) ** .5
+    assert means[0].mean() == pytest.approx(mean, abs=4 * sd / 1500 ** .5 / 200 ** .5) and means[0].std() == pytest.approx(sd / 1500 ** .5, rel=.25)
