@@ -299,7 +299,8 @@ def label_regimes(feats: DataFrame, folds: DataFrame, cols: Sequence[str] = ("rv
 
     with ThreadPoolExecutor(parallel) as pool:
         done = list(pool.map(label, folds.orderBy(key, "fold").collect()))
-    out = stored(reduce(lambda a, b: a.unionByName(b), done))
+    none = feats.select(key, "ts", *cols).limit(0).withColumns({"_s": F.lit(0), "fold": F.lit(0), "model_train_end": F.lit(0)})  # no fold, no rows
+    out = stored(reduce(lambda a, b: a.unionByName(b), done) if done else none)
     m = out.groupBy(key, "fold", "_s").agg(F.avg(cols[0]).alias("_m"))
     m = m.withColumn("state_id", F.row_number().over(Window.partitionBy(key, "fold").orderBy("_m", "_s")) - 1)
     names = F.array(*[F.lit(x) for x in REGIMES])

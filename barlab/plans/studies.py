@@ -15,6 +15,7 @@ from ..operators.rolling import Roll, back_rows, long_rolling
 from ..operators.stats import summarize, with_t_stat
 from ..operators.store import stored
 from ..operators.thin import thin
+from ..sources.readers import small
 
 # Bins and labels of the studies
 RV_BINS, RV_LABELS = [0.0, 0.1, 0.3, 0.7, 0.9, 1.0], ["0-10%", "10-30%", "30-70%", "70-90%", "90-100%"]
@@ -214,7 +215,7 @@ def walkforward_trades(df: DataFrame, keys: Sequence[str], bounds, train, test,
     f = stored(rolling_folds(df, bounds, train, test, step))
     t = shock_trades(f, [*keys, "fold_id"], **kw)
     w = f.select("fold_id", "test_start", "test_end").distinct()
-    t = t.join(F.broadcast(w), "fold_id")  # one row per fold
+    t = t.join(small(w), "fold_id")  # one row per fold
     return t.where("signal_ts >= test_start and signal_ts < test_end and exit_ts < test_end")
 
 

@@ -5,9 +5,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..operators import stats
 from ..operators.prefix import Run, running
+from ..operators.quantiles import exact_quantiles
 from ..operators.store import stored
 from ..sources.readers import small
 
@@ -98,3 +100,42 @@ def fdr_adjusted(tests: DataFrame, p: str, order: Sequence[str], within: Sequenc
     r = running(r, keys, ["_back"], [Run("q_value", "min", F.col("_v"))], F.lit(0), 1, **more)
     r = r.withColumn("q_value", F.least("q_value", F.lit(1.0))).drop("_v", "_back")
     return r.unionByName(d.where(F.col(p).isNull()), allowMissingColumns=True).drop("_all")
+
+
+# Limits of the stricter verdict
+MIN_TRADES, MIN_SHARPE, MIN_MAE, MAX_P, MAX_Q = 100, 0.5, -0.005, 0.10, 0.10
+GATES = ("trades_ok", "sharpe_ok", "mae_ok", "permutation_ok", "discovery_ok")
+
+
+def gates(ev: DataFrame, by: Sequence[str], order: Sequence[str], train: int, test: int, step: int, cost: float, iters: int,
+          seed: int = 42, ret: str = "gross_r", mae: str = "mae_proxy") -> DataFrame:
+    """One row per group: n, fold_sharpe (mean over sample deviation of the net returns in all test folds, by the root
+    of trades a year), mae_median, p_value and q_value of the permutation test, recent_positive (the two latest folds
+    have trades and gain), one column for each of ``GATES``, and how many of them ``failed``. A missing value fails
+    its gate. Groups here are rules, so results are small; events are read in jobs of their own."""
+    by, ev = list(by), stored(ev)
+    net = F.col(ret) - cost
+    pooled = stats.assign_folds(ev, by, train, test, step).groupBy(*by).agg(F.count(ret).alias("_n"), F.avg(net).alias("_mean"), F.stddev_samp(net).alias("_std"))
+    fs = stored(stats.fold_stats(ev, by, train, test, step, ret))
+    late = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("test_start")))
+    recent = fs.withColumn("_k", late).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_folds"), (F.count_if((F.col("_k") <= 2) & (F.col("n") > 0) & (F.col("mean") > cost)) == 2).alias("recent_positive"))
+    p = fdr_adjusted(stored(permutation_test(ev, by, order, iters, seed, ret=ret)), "p_value", by).select(*by, "n", "p_value", "q_value")
+    m = exact_quantiles(ev, by, mae, {"mae_median": 0.5})
+    d = p.join(pooled, by, "left").join(recent, by, "left").join(m, by, "left")
+    year = F.col("_n") / (F.col("_folds") * test / 365.0)
+    d = d.withColumn("fold_sharpe", F.when((F.col("_n") >= 2) & (F.col("_std") > 0), F.col("_mean") / F.col("_std") * F.sqrt(year)).otherwise(0.0))
+    checks = (F.col("n") >= MIN_TRADES, F.col("fold_sharpe") > MIN_SHARPE, F.col("mae_median") > MIN_MAE, F.col("p_value") < MAX_P, F.col("q_value") <= MAX_Q)
+    d = d.withColumns({name: F.coalesce(c, F.lit(False)) for name, c in zip(GATES, checks)}).withColumn("recent_positive", F.coalesce("recent_positive", F.lit(False)))
+    failed = sum((F.when(F.col(name), 0).otherwise(1) for name in GATES), F.lit(0))
+    return d.select(*by, "n", "fold_sharpe", "mae_median", "p_value", "q_value", "recent_positive", *GATES, failed.alias("failed"))
+
+
+def stricter(verdicts: DataFrame, gated: DataFrame, by: Sequence[str], verdict: str = "verdict") -> DataFrame:
+    """``verdict`` after the gates: two failures or more make it FAIL, one makes a PASS BORDERLINE, and so does a loss
+    in one of the two latest folds. Groups without gates fail."""
+    d = verdicts.join(small(gated), list(by), "left")
+    v = F.col(verdict)
+    new = (F.when(F.col("failed").isNull() | (F.col("failed") >= 2), "FAIL")
+           .when((v == "PASS") & ((F.col("failed") == 1) | ~F.col("recent_positive")), "BORDERLINE").otherwise(v))
+    return d.withColumn("stricter_verdict", new)

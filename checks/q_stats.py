@@ -96,11 +96,14 @@ def _(spark, d):
     return stats.bootstrap_ci(stats.bootstrap_means(order_events(spark, d), BY, "gross_r", ["ts", "ev_id"], 100, 42, half_life=60), BY)
 
 
-@query("permutation_test", f"""WITH RECURSIVE {OE}, v AS (SELECT rule_id, sign(signal_dir)*gross_r AS f, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS pos FROM oe),
+_PERM = f"""{OE}, v AS (SELECT rule_id, sign(signal_dir)*gross_r AS f, row_number() OVER (PARTITION BY rule_id ORDER BY ts, ev_id) - 1 AS pos FROM oe),
 g AS (SELECT rule_id, count(*) AS n, count(*) FILTER (signal_dir > 0) AS up, count(*) FILTER (signal_dir < 0) AS down, sum(gross_r) AS total, CAST(greatest(1, ceil(log2(greatest(count(*), 2))/2)) AS INT) AS h FROM oe GROUP BY 1),
 w AS (SELECT rule_id, pos, t::BIGINT AS t, n, h, {V.shuffled_sql("pos", "h", "t", 42)} AS x FROM v JOIN g USING (rule_id) CROSS JOIN range(99) r(t)
 UNION ALL SELECT rule_id, pos, t, n, h, {V.shuffled_sql("x", "h", "t", 42)} FROM w WHERE x >= n),
-s AS (SELECT rule_id, t, sum(CASE WHEN x < up THEN f WHEN x >= n - down THEN -f ELSE 0 END) AS x FROM (SELECT rule_id, pos, t, x FROM w WHERE x < n) JOIN v USING (rule_id, pos) JOIN g USING (rule_id) GROUP BY 1, 2)
+s AS (SELECT rule_id, t, sum(CASE WHEN x < up THEN f WHEN x >= n - down THEN -f ELSE 0 END) AS x FROM (SELECT rule_id, pos, t, x FROM w WHERE x < n) JOIN v USING (rule_id, pos) JOIN g USING (rule_id) GROUP BY 1, 2)"""
+
+
+@query("permutation_test", f"""WITH RECURSIVE {_PERM}
 SELECT rule_id, any_value(n) AS n, {rx(mean='any_value(total)/any_value(n)', p_value='(count(*) FILTER (round(x, 9) >= round(total, 9)) + 1)/100.0')} FROM s JOIN g USING (rule_id) GROUP BY 1""")
 def _(spark, d):
     return V.permutation_test(order_events(spark, d), BY, ["ts", "ev_id"], 99)
@@ -123,6 +126,26 @@ f AS (SELECT rule_id, CAST(k + 1 AS INT) AS fold_id, s0 + k*45*86400 AS test_sta
 fs AS (SELECT f.rule_id, f.fold_id, f.test_start, f.test_end, count(oe.ts) AS n, avg(oe.gross_r) AS mean FROM f LEFT JOIN oe ON oe.rule_id = f.rule_id AND oe.ts >= f.test_start AND oe.ts < f.test_end GROUP BY ALL)"""
 
 
+_FOLDS2 = FOLDS.replace(OE + ", ", "").replace("g AS (SELECT rule_id, min", "fg AS (SELECT rule_id, min").replace("FROM g, range", "FROM fg, range")
+_GATES = f"""{_PERM}, {_FOLDS2}, pv AS (SELECT rule_id, any_value(n) AS n, (count(*) FILTER (round(x, 9) >= round(total, 9)) + 1)/100.0e0 AS p FROM s JOIN g USING (rule_id) GROUP BY 1),
+pr AS (SELECT *, row_number() OVER (ORDER BY p, rule_id) AS rk, count(*) OVER () AS m FROM pv), pq AS (SELECT *, least(1.0, min(p*m/rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM pr),
+po AS (SELECT f.rule_id, count(*) AS pn, avg(gross_r - 0.0002) AS pm, stddev_samp(gross_r - 0.0002) AS ps FROM f JOIN oe ON oe.rule_id = f.rule_id AND oe.ts >= f.test_start AND oe.ts < f.test_end GROUP BY 1),
+rc AS (SELECT rule_id, count(*) AS folds, count(*) FILTER (k <= 2 AND n > 0 AND mean > 0.0002) = 2 AS recent_positive FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY test_start DESC) AS k FROM fs) GROUP BY 1),
+ma AS (SELECT rule_id, median(mae_proxy) AS mae_median FROM oe GROUP BY 1),
+gt AS (SELECT rule_id, n, CASE WHEN pn >= 2 AND ps > 0 THEN pm/ps*sqrt(pn/(folds*60/365.0e0)) ELSE 0 END AS fold_sharpe, mae_median, p, q, coalesce(recent_positive, false) AS recent_positive FROM pq LEFT JOIN po USING (rule_id) LEFT JOIN rc USING (rule_id) LEFT JOIN ma USING (rule_id)),
+gf AS (SELECT *, (n < 100)::INT + (fold_sharpe <= 0.5)::INT + (mae_median <= -0.005)::INT + (p >= 0.1)::INT + (q > 0.1)::INT AS failed FROM gt),
+vd AS (SELECT rule_id, unnest(['PASS', 'BORDERLINE', 'FAIL']) AS verdict FROM gf)"""
+
+
+@query("enhanced_verdicts", f"""WITH RECURSIVE {_GATES} SELECT rule_id, verdict, n, {R('fold_sharpe', 'mae_median')}, {rx(p_value='p', q_value='q')}, recent_positive, n >= 100 AS trades_ok, fold_sharpe > 0.5 AS sharpe_ok, mae_median > -0.005 AS mae_ok, p < 0.1 AS permutation_ok, q <= 0.1 AS discovery_ok, failed::BIGINT AS failed,
+CASE WHEN failed >= 2 THEN 'FAIL' WHEN verdict = 'PASS' AND (failed = 1 OR NOT recent_positive) THEN 'BORDERLINE' ELSE verdict END AS stricter_verdict FROM gf JOIN vd USING (rule_id)""")
+def _(spark, d):
+    """What each earlier verdict becomes under the gates of its rule."""
+    e = stored(order_events(spark, d))
+    v = stats.expand(e.select(*BY).distinct(), verdict=["PASS", "BORDERLINE", "FAIL"])
+    return V.stricter(v, stored(V.gates(e, BY, ["ts", "ev_id"], 200, 60, 45, 0.0002, 99)), BY)
+
+
 @query("fold_table", f"WITH {FOLDS} SELECT rule_id, fold_id::BIGINT AS fold_id, test_start, test_end, n, {R('mean')} FROM fs")
 def _(spark, d):
     return stats.fold_stats(stored(order_events(spark, d)), BY, 200, 60, 45)
