@@ -11,13 +11,13 @@ from typing import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.asof import asof_join
-from ..operators.store import shared_folder, stored
+from ..operators.store import shared_folder
 from ..plans.quality import reconcile
-from ..sources.sinks import latest
+from ..sources import versions
 
 
 def read_parquet(spark: SparkSession, folder: str, schema, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -131,23 +131,104 @@ def run_live(sdf: DataFrame, path: str, checkpoint: str, every: str = "1 minute"
             .trigger(processingTime=every).format("parquet").option("path", path).start())
 
 
-def upsert_sink(table: str, keys: Sequence[str], version: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: merge each batch into versioned snapshots, the newest ``version`` per key wins
-    whatever the arrival order. A replayed batch gives the same snapshot, so the sink is idempotent."""
+def upsert_sink(table: str, keys: Sequence[str], version: str, part: Column | None = None, parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink into a ``sources.versions`` table: only the partitions that the batch touches are read and
+    written anew, then one new manifest switches all of them at once. The newest ``version`` per key wins whatever the
+    arrival order, so a replayed batch, or a whole stream replayed after its checkpoint was lost, changes nothing."""
     def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        new = f"{table}/v={n}"
-        # batches are numbered from 0; a later one must find the snapshot before it, so a failed read stops the query
-        base = batch.limit(0) if n == 0 else spark.read.schema(batch.schema).parquet(f"{table}/v={n - 1}")
-        latest(base.unionByName(batch), keys, F.col(version)).write.mode("overwrite").parquet(new)
+        versions.merge(batch, table, keys, version, part, parts)
     return write
 
 
-def asof_sink(slow: DataFrame, keys: Sequence[str], cols: Sequence[str], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: attach the latest slow row to each bar of the batch."""
-    def write(batch: DataFrame, n: int) -> None:
-        asof_join(stored(batch), slow, keys, cols).write.mode("overwrite").parquet(f"{path}/batch={n}")
-    return write
+# --- as-of join in state -------------------------------------------------------------------------------
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+class AsOf(StatefulProcessor):
+    """Per key three states: bars waiting for the watermark, slow rows ahead of it, and the newest slow row behind it.
+    A timer at the earliest row ahead fires once no row up to that time can still come; every slow row but the newest goes then."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.wait = handle.getListState("wait", "ts long, row string")
+        self.ahead = handle.getListState("ahead", "ts long, row string")
+        self.known = handle.getValueState("known", "ts long, row string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for p in rows:
+            for state, is_slow in ((self.ahead, True), (self.wait, False)):
+                part = p[p["slow"] == is_slow]
+                if len(part):
+                    state.appendList(list(zip(part["ts"].tolist(), part["row"].tolist())))
+                    self.handle.registerTimer(int(part["ts"].min()) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        bars, late = _split(self.wait, now)
+        past, ahead = _split(self.ahead, now)
+        slow = ([tuple(self.known.get())] if self.known.exists() else []) + past
+        put_list(self.wait, late)
+        put_list(self.ahead, ahead)
+        b = pd.DataFrame(sorted(bars, key=lambda r: r[0]), columns=["ts", "bar"])
+        s = pd.DataFrame(sorted(slow, key=lambda r: r[0]), columns=["ts", "row"]).astype({"ts": "int64"})
+        if slow:
+            self.known.update((int(s["ts"].iloc[-1]), s["row"].iloc[-1]))
+        if late or ahead:
+            self.handle.registerTimer(min(late + ahead)[0] * 1000)
+        if not bars:
+            return
+        out = pd.merge_asof(b, s, on="ts")
+        for i, k in enumerate(key):
+            out.insert(i, f"k{i}", k)
+        yield out.astype({"row": object}).where(out.notna(), None)
+
+    def close(self) -> None:
+        pass
+
+
+def _split(state, now: int) -> tuple[list, list]:
+    """Rows before ``now`` and the others."""
+    rows = [tuple(r) for r in state.get()] if state.exists() else []
+    return [r for r in rows if r[0] * 1000 < now], [r for r in rows if r[0] * 1000 >= now]
+
+
+def put_list(state, rows: list) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
+def stream_asof(bars: DataFrame, slow: DataFrame, keys: Sequence[str], cols: Sequence[str], late: str, ts: str = "ts") -> DataFrame:
+    """Each bar with ``cols`` of the newest slow row of its key at or before its time, both sides streams.
+
+    A bar comes out once the watermark (``late`` behind the slower of the two streams) has passed it, so slow rows may
+    arrive later than the bars they belong to. State per key: rows within the watermark and one slow row; nothing is
+    read again. Bars before the first slow row get nulls, a slow row with null payload counts, rows with a null time
+    or one not after 1970-01-01 are left out; slow rows are unique per key and time. Payloads travel as JSON, so every type but intervals and
+    binary comes back as it was. The state lives in RocksDB: the provider is set on the session."""
+    spark = bars.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    names = [f"k{i}" for i in range(len(keys))]
+    rest = [c for c in bars.columns if c not in keys and c != ts]
+
+    def side(d: DataFrame, payload: Sequence[str], is_slow: bool) -> DataFrame:
+        row = F.to_json(F.struct(*payload), JSON) if payload else F.lit("{}")
+        d = d.where(F.col(ts).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.timestamp_seconds(ts).alias("at"),
+                                                  F.col(ts).cast("long").alias("ts"), F.lit(is_slow).alias("slow"), row.alias("row"))
+        return d.withWatermark("at", late)
+
+    both = side(bars, rest, False).unionByName(side(slow, list(cols), True))
+    ddl = T.StructType([*[T.StructField(n, bars.schema[k].dataType) for n, k in zip(names, keys)], T.StructField("ts", T.LongType()),
+                        T.StructField("bar", T.StringType()), T.StructField("row", T.StringType())])
+    out = both.groupBy(*names).transformWithStateInPandas(AsOf(), ddl, "append", "eventTime")
+    for n, d, payload in (("bar", bars, rest), ("row", slow, list(cols))):
+        out = out.withColumn(n, F.from_json(n, T.StructType([d.schema[c] for c in payload]), JSON))
+    own = {**dict(zip(keys, names)), ts: "ts"}
+    return out.select(*[(F.col(own[c]).cast(bars.schema[c].dataType) if c in own else F.col("bar")[c]).alias(c) for c in bars.columns],
+                      *[F.col("row")[c].alias(c) for c in cols])
 
 
 def replay_check(streamed: DataFrame, batch: DataFrame, by: Sequence[str], tol: int) -> DataFrame:

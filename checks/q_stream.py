@@ -6,11 +6,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from barlab.functions.scalar import epoch_seconds
-from barlab.operators.stats import expand
 from barlab.operators.store import shared_folder, stored
 from barlab.operators.thin import thin
 from barlab.plans import features as feat
-from barlab.sources import derive
+from barlab.sources import derive, versions
 from barlab.streaming import jobs as J
 
 from .fixtures import EB, PAIRS, _LEGS
@@ -96,23 +95,28 @@ def _(spark, d):
 
 @query("stream_upsert_sink", """SELECT event_type AS symbol, CAST(floor(epoch(ts)/3600) AS BIGINT)*3600 AS ts, round(arg_max(value, event_id) + 3.14159e-08, 6)+0.0 AS v FROM events GROUP BY 1, 2""")
 def _(spark, d):
+    """Four batches in any order of versions with a restart; then the checkpoint is lost and all is replayed."""
     root = f"{shared_folder(spark)}/barlab/su-{uuid.uuid4().hex}"
     e = derive.read(spark, d, "events").select(F.col("event_type").alias("symbol"), (F.floor(epoch_seconds(F.col("ts")) / 3600) * 3600).alias("ts"), F.col("value").alias("v"), F.col("event_id").alias("version"))
-    e.repartition(3, "version").write.parquet(f"{root}/in")
-    s = J.read_parquet(spark, f"{root}/in", e.schema, files_per_batch=1)
-    last = []
-    sink = J.upsert_sink(f"{root}/t", ["symbol", "ts"], "version")
-    J.run_available(s, f"{root}/ck", batch=lambda b, n: (sink(b, n), last.append(n)))
-    return spark.read.parquet(f"{root}/t/v={max(last)}").select("symbol", "ts", "v")
-
-
-@query("stream_asof_sink", f"""WITH {EB()}, s AS (SELECT ts, open AS rate FROM eb WHERE symbol='error' AND ts % 14400 = 0) SELECT c.symbol, c.ts, {R('rate', t='s')} FROM (SELECT * FROM eb WHERE symbol <> 'error') c ASOF LEFT JOIN s ON c.ts >= s.ts""")
+    e = stored(e.withColumn("file", F.pmod(F.xxhash64("version"), F.lit(4))))
+    sink = J.upsert_sink(f"{root}/t", ["symbol", "ts"], "version", F.floor(F.col("ts") / 864000))
+    schema = e.drop("file").schema
+    for i, checkpoint in ((0, "a"), (1, "a"), (2, "a"), (3, "a"), (None, "b")):
+        if i is not None:
+            e.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if i in (1, 3, None):
+            J.run_available(J.read_parquet(spark, f"{root}/in", schema, files_per_batch=1), f"{root}/{checkpoint}", batch=sink)
+    return versions.read(spark, f"{root}/t", schema).select("symbol", "ts", "v")
+
+
+@query("stream_asof_sink", f"""WITH {EB()}, {EB(14400, 'eb4')}, s AS (SELECT symbol, ts + 3600 AS ts, open AS rate FROM eb4),
+w AS (SELECT least((SELECT max(ts) FROM eb), (SELECT max(ts) FROM s)) - 864000 AS t)
+SELECT c.symbol, c.ts, {R('rate', t='s')} FROM (SELECT eb.* FROM eb, w WHERE eb.ts < w.t) c ASOF LEFT JOIN s ON c.symbol = s.symbol AND c.ts >= s.ts""")
 def _(spark, d):
-    b = stored(derive.event_bars(spark, d))
-    x = b.where("symbol <> 'error'").select("symbol", "ts")
-    slow = expand(b.where("symbol = 'error' and ts % 14400 = 0").select("ts", F.col("open").alias("rate")), symbol=["click", "purchase", "signup", "view"])
-
-    def run(s, root):
-        J.run_available(s, f"{root}/ck", batch=J.asof_sink(slow, ["symbol"], ["rate"], f"{root}/out"))
-        return spark.read.parquet(f"{root}/out").select("symbol", "ts", "rate")
-    return _streamed(spark, x, lambda s: s, run=run)
+    """Every bar with the newest four-hour row of its symbol, an hour after its start. Every third slow row arrives eight
+    days after its time; bars wait for the watermark."""
+    b = derive.event_bars(spark, d).select("symbol", "ts", F.lit(None).cast("double").alias("rate"), F.lit(False).alias("is_slow"), F.col("ts").alias("arrives"))
+    t = F.col("ts") + 3600
+    s = derive.event_bars(spark, d, 14400).select("symbol", t.alias("ts"), F.col("open").alias("rate"), F.lit(True).alias("is_slow"),
+                                                  F.when(F.floor(F.col("ts") / 14400) % 3 == 0, t + 8 * 86400).otherwise(t).alias("arrives"))
+    return _streamed(spark, b.unionByName(s), lambda x: J.stream_asof(x.where("not is_slow").select("symbol", "ts"), x.where("is_slow"), ["symbol"], ["rate"], "10 days"), "arrives")
