@@ -124,14 +124,15 @@ def _(spark, sf_dir):
 
 @query("op7_line_dedup", """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, '') AS site FROM documents),
-l AS (SELECT r, site, line, trim(line) AS t, row_number() OVER (PARTITION BY r) AS pos FROM (SELECT r, site, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)),
-wide AS (SELECT t FROM l WHERE length(t) >= 12 GROUP BY t HAVING count(DISTINCT site) >= 10),
+l AS (SELECT r, site, line, trim(line, ' ' || chr(9) || chr(13)) AS t, row_number() OVER (PARTITION BY r) AS pos FROM (SELECT r, site, unnest(string_split(text, chr(10))) AS line FROM d WHERE text IS NOT NULL)),
+k AS (SELECT greatest(2, least(10, (count(DISTINCT site) + 1) // 2)) AS need FROM l WHERE t <> ''),
+wide AS (SELECT t FROM l, k WHERE t <> '' GROUP BY t, need HAVING count(DISTINCT site) >= CASE WHEN length(t) >= 250 THEN least(3, need) ELSE need END),
 m AS (SELECT l.*, wide.t IS NOT NULL AS gone FROM l LEFT JOIN wide USING (t)),
 s AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, sum(length(line)) AS total, coalesce(sum(length(line)) FILTER (NOT gone), 0) AS stay,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS stripped FROM m GROUP BY r)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_gone > 0 AND NOT stay < CAST(0.5 AS DOUBLE) * total THEN n_gone ELSE 0 END AS n_cut,
-       coalesce(n_gone > 0 AND stay < CAST(0.5 AS DOUBLE) * total, false) AS spared,
-       sha256(CASE WHEN n_gone > 0 AND NOT stay < CAST(0.5 AS DOUBLE) * total THEN stripped ELSE text END) AS text_sha256
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_gone > 0 AND NOT stay < CAST(0.1 AS DOUBLE) * total THEN n_gone ELSE 0 END AS n_cut,
+       coalesce(n_gone > 0 AND stay < CAST(0.1 AS DOUBLE) * total, false) AS spared,
+       sha256(CASE WHEN n_gone > 0 AND NOT stay < CAST(0.1 AS DOUBLE) * total THEN stripped ELSE text END) AS text_sha256
 FROM d LEFT JOIN s USING (r)""")
 def _(spark, sf_dir):
     d = lines.strip_lines(table(spark, sf_dir, "documents"))

@@ -126,24 +126,25 @@ def simhash_components(rows):
     return [(x, low.get(k)) for x, k in zip(f, r)]
 
 
-def strip_lines(rows, min_sites, min_chars, max_loss):
+def strip_lines(rows, min_sites=10, long_sites=3, long_chars=250, min_left=0.1):
     """(site, text) -> list of (text, n_lines, n_cut, spared)."""
     sites = {}
     for site, t in rows:
         for line in ([] if t is None else t.split("\n")):
-            if len(line.strip(" ")) >= min_chars:
-                sites.setdefault(line.strip(" "), set()).add(site or "")
-    wide = {k for k, v in sites.items() if len(v) >= min_sites}
+            if line.strip(" \t\r"):
+                sites.setdefault(line.strip(" \t\r"), set()).add(site or "")
+    need = max(2, min(min_sites, (len({s for v in sites.values() for s in v}) + 1) // 2))
+    wide = {k for k, v in sites.items() if len(v) >= (min(need, long_sites) if len(k) >= long_chars else need)}
     out = []
     for _, t in rows:
         if t is None:
             out.append((None, 0, 0, False))
             continue
         every = t.split("\n")
-        left = [x for x in every if x.strip(" ") not in wide]
+        left = [x for x in every if x.strip(" \t\r") not in wide]
         if len(left) == len(every):
             out.append((t, len(every), 0, False))
-        elif sum(map(len, left)) < (1 - max_loss) * sum(map(len, every)):
+        elif sum(map(len, left)) < min_left * sum(map(len, every)):
             out.append((t, len(every), 0, True))
         else:
             out.append(("\n".join(left), len(every), len(every) - len(left), False))

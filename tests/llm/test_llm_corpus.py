@@ -136,9 +136,9 @@ def line_rows(seed):
 
 def test_line_dedup(spark):
     rs = line_rows(1)
-    for loss in (0.5, 1.0):
-        got = lines.strip_lines(docs(spark, rs), max_loss=loss).select(F.col("row.doc_id"), "text", "n_lines", "n_cut", "spared").collect()
-        want = [(r[0], *w) for r, w in zip(rs, brute.strip_lines([(s, t) for _, t, _, s in rs], 10, 12, loss))]
+    for left in (0.1, 0.5, 0.0):
+        got = lines.strip_lines(docs(spark, rs), min_left=left).select(F.col("row.doc_id"), "text", "n_lines", "n_cut", "spared").collect()
+        want = [(r[0], *w) for r, w in zip(rs, brute.strip_lines([(s, t) for _, t, _, s in rs], min_left=left))]
         same(got, want)
         assert any(w[3] for w in want)
     clean = lines.cleaned(docs(spark, rs))
@@ -147,6 +147,31 @@ def test_line_dedup(spark):
     assert lines.cleaned(docs(spark, rs).limit(0)).count() == 0
 
 
+def test_short_and_long_boilerplate_goes(spark):
+    """Short lines, lines in few-site tables, documents that are mostly boilerplate, passages on three sites; copies as a
+    whole stay, and so do lines of one site or of few."""
+    rnd = random.Random(8)
+    own = lambda k: " ".join(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(k))
+    passage, copy = own(60), own(80)
+    rs = []
+    for i in range(40):
+        body = ["Top", "\tShare this\r", own(4), "", own(4)] + (["x " * 300] if i % 20 == 7 else []) + ([passage] if i in (1, 2, 3) else [])
+        rs.append((i, "\n".join(body + (["Only here"] if i % 20 == 5 else [])), "en", f"s{i % 20}"))
+    rs += [(100 + i, copy, "en", f"s{i}") for i in range(20)]
+    got = {r["doc_id"]: r for r in lines.cleaned(docs(spark, rs)).collect()}
+    for i, t, _, _ in rs:
+        if i < 100:
+            assert got[i]["text"] == "\n".join(x for x in t.split("\n") if x not in ("Top", "\tShare this\r", passage))
+    assert all(got[100 + i]["text"] == copy for i in range(20))
+    few = [(i, f"Home\nbody {own(3)}\nseen once", "en", "a" if i < 9 else None) for i in range(10)]
+    assert all("Home" not in r["text"] and "seen" not in r["text"] for r in lines.cleaned(docs(spark, few)).collect())
+    one = [(i, "Home\nbody", "en", "a") for i in range(10)]
+    assert all(r["text"] == "Home\nbody" for r in lines.cleaned(docs(spark, one)).collect())
+    big = [(1, "\n".join(["Home"] + [own(9) for _ in range(60000)]), "en", "a"), (2, "Home\nnext page of text", "en", "b")]
+    got = {r["doc_id"]: r["text"] for r in lines.cleaned(docs(spark, big)).collect()}
+    assert got == {i: t.replace("Home\n", "") for i, t, _, _ in big} and len(got[1]) > 4_000_000
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     """With a coarse sketch over many sites the estimate is off; the outcome is exact all the same."""
     rs = [(i, f"line up to {k} sites", "en", f"site{i % 700}") for k in (580, 599, 600, 601, 640) for i in range(k)]
@@ -320,7 +345,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(its, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     lim = repetition.Limits()
     kept = [r for r in uniq if brute.quality(r[1], lim)["kept"]]
-    cut = [(i, t, la, s) for (i, _, la, s), (t, _, _, _) in zip(kept, brute.strip_lines([(s, t) for _, t, _, s in kept], 10, 12, 0.5))]
+    cut = [(i, t, la, s) for (i, _, la, s), (t, _, _, _) in zip(kept, brute.strip_lines([(s, t) for _, t, _, s in kept]))]
     comp = brute.simhash_components([(i, t) for i, t, _, _ in cut])
     one = [r for r, (_, c) in zip(cut, comp) if c == r[0]]
     clean = [r for r in one if not brute.contamination(r[1], its)[3]]
