@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.store import stored
 from ..session import use_utc
-from . import decontam, extraction, langid, lexical, lines, packing, periodic, pii, repetition, secret_scan, simhash, tokens, urls
+from . import decontam, extraction, langid, lexical, lines, packing, periodic, pii, repetition, sample_urls, secret_scan, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -15,6 +15,7 @@ ORACLE: dict[str, str] = {}
 # Fixed values of the contract.
 URL_RULES = [urls.Rule("allow", "com"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
              urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/")]
+URL_FIT = {"iterations": 100, "reg": 1e-5}   # chosen on held-out rows of the labelled table
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -97,7 +98,7 @@ def _(spark, sf_dir):
 
 @query("op4_url_filter")
 def _(spark, sf_dir):
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, sample_urls.labelled(spark), **URL_FIT)
 
 
 def token_length():

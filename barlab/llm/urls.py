@@ -76,8 +76,9 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None
           url_col: str = "url", default: str = "allow", sizes: tuple[int, ...] = (3, 4), **fit) -> DataFrame:
     """One row per page: host, path, rule, verdict ('allow' or 'block').
 
-    ``labelled`` has url and label (1: block). Without it the pages that a rule decides are the labels. If one
-    class is missing there, pages without a rule get ``default``. Null urls and urls without a host are judged on
+    ``labelled`` has url and label (1: block), a small table such as ``sample_urls.labelled``. Without it the pages that
+    a rule decides are the labels, which teaches little if the rules of one verdict share a domain. If one class is
+    missing, pages without a rule get ``default``. A very long url costs the square of its length, since strings are cut by counting characters. Null urls and urls without a host are judged on
     empty parts; repeated rows and null ids stay; other columns are not read. No shuffle besides the training
     sample, which is bounded by the ``rows`` of ``train``.
     """
