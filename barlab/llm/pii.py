@@ -29,7 +29,9 @@ PATTERNS = {
 # What a text must hold to be searched at all.
 _HINT = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+")),
          "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+# A candidate is a run of numbers set apart by single blanks, or else a word with a digit.
+_NUMBER = r"[0-9(][0-9().-]*+(?=\p{Punct}*+(?:\s|$))"
+TOKEN = rf"(?<!\S)(?:{_NUMBER}(?:\x20{_NUMBER})++|[^\s0-9]*+[0-9]\S*+)"
 _SPAN = "array<struct<s:int,e:int,v:string,left:string>>"
 
 
@@ -58,18 +60,34 @@ def running_sums(lens: Column, chunk: int = 256) -> Column:
     return let(lens, lambda n: let(F.struct(n.alias("n"), sums(n).alias("sums")), first))
 
 
-def found(text: Column, pattern: str, tail: int = 48) -> Column:
-    """Matches with code point positions and the text just before each: the pieces between the matches give both."""
+def found(text: Column, pattern: str, words: int = 2) -> Column:
+    """Matches with code point positions and what stands before each: the pieces between the matches give both.
+
+    Before a match stand the last ``words`` words, an earlier match of the pattern counting as the word '#'. A match
+    that only blanks and punctuation part from the one before belongs to its list and has what stands before the list.
+    """
+    def tail(p: Column) -> Column:
+        return F.reverse(F.regexp_extract(F.reverse(p), rf"^\s*+(?:\S++\s++){{0,{words - 1}}}+\S*+", 0))
+
+    def before(x: Column, i: Column) -> Column:
+        back = [c for j in range(words, 0, -1) for c in (F.get(x["t"], i - j), F.when(i >= j, "#"))]
+        return F.concat_ws(" ", *back, F.get(x["t"], i))
+
+    heads_list = lambda t, i: (i == 0) | t.rlike(r"[\p{L}\p{N}]")
+
     def spans(x: Column) -> Column:
         return F.transform(x["m"], lambda v, i: F.struct(
             (F.get(x["ends"], i) - F.length(v)).alias("s"), F.get(x["ends"], i).alias("e"), v.alias("v"),
-            F.right(F.get(x["p"], i), F.lit(tail)).alias("left")))
+            F.get(x["heads"], F.get(x["lists"], i) - 1).alias("left")))
 
-    def ends(x: Column) -> Column:
+    def placed(x: Column) -> Column:
         lens = F.transform(x["m"], lambda v, i: F.length(v) + F.length(F.get(x["p"], i)))
-        return let(F.struct(x["m"].alias("m"), x["p"].alias("p"), running_sums(lens).alias("ends")), spans)
+        lists = running_sums(F.transform(x["t"], lambda t, i: heads_list(t, i).cast("int")))
+        at = F.filter(F.transform(x["t"], lambda t, i: F.when(heads_list(t, i), before(x, i))), lambda c: c.isNotNull())
+        return let(F.struct(x["m"].alias("m"), running_sums(lens).alias("ends"), lists.alias("lists"), at.alias("heads")), spans)
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p")), ends)
+    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    return let(cut, lambda x: let(F.struct(x["m"].alias("m"), x["p"].alias("p"), F.transform(x["p"], tail).alias("t")), placed))
 
 
 def digits(v: Column) -> Column:
@@ -97,35 +115,35 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    every = F.when(_HINT[kind](text), F.filter(found(text, PATTERNS[kind]), lambda x: _valid(kind, x["v"])))
+def base_spans(text: Column, kind: str, words: int = 2) -> Column:
+    every = F.when(_HINT[kind](text), F.filter(found(text, PATTERNS[kind], words), lambda x: _valid(kind, x["v"])))
     return F.coalesce(every, F.array().cast(_SPAN))
 
 
 def context(left: Column, words: int) -> Column:
-    """The last words before a match in lower case, digits as 0; null if there are fewer."""
-    w = F.filter(F.split(F.regexp_replace(F.lower(left), "[0-9]", "0"), r"\s+"), lambda x: x != "")
-    return let(w, lambda a: F.when(F.size(a) >= words, F.array_join(F.slice(a, -words, words), " ")))
+    """The last words of ``left`` in lower case, numbers as 0, a print of them if they are long; null if there are fewer."""
+    w = F.filter(F.split(F.regexp_replace(F.lower(left), "[0-9]++", "0"), r"\s+"), lambda x: x != "")
+    joined = let(w, lambda a: F.when(F.size(a) >= words, F.array_join(F.slice(a, -words, words), " ")))
+    return let(joined, lambda c: F.when(F.length(c) > 64, F.md5(c)).otherwise(c))
 
 
 @dataclass(frozen=True)
 class Bootstrap:
     """A pattern needs ``seeds`` trusted values and ``precision`` of trust among all values it introduces; a value
-    is trusted from ``trust`` on; ``rounds`` rounds. Candidates are tokens with a digit of ``min_chars`` or more."""
+    is trusted from ``trust`` on. Candidates are numbers, or words with a digit, of ``min_chars`` or more."""
     words: int = 2
     min_chars: int = 5
     seeds: int = 5
     precision: float = 0.6
     trust: float = 0.6
-    rounds: int = 3
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str, how: Bootstrap) -> DataFrame:
     """id, print of the text, base spans of each kind, candidate tokens beside them with contexts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    d = d.select("id", F.md5("text").alias("print"), "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    tokens = F.coalesce(F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), TOKEN)), F.array().cast(_SPAN))
+    d = d.select("id", F.md5("text").alias("print"), "text", *[base_spans(F.col("text"), k, how.words).alias(k) for k in KINDS])
+    tokens = F.coalesce(F.when(F.col("text").rlike("[0-9]"), found(F.col("text"), TOKEN, how.words)), F.array().cast(_SPAN))
     trimmed = F.transform(tokens, lambda x: let(F.regexp_replace(x["v"], r"[\p{Punct}]++$", ""), lambda v: F.struct(
         x["s"].alias("s"), (x["s"] + F.length(v)).alias("e"), v.alias("v"), x["left"].alias("left"))))
     base = F.concat(*KINDS)
@@ -144,28 +162,32 @@ def graph(spans: DataFrame) -> DataFrame:
 
 
 def learn(edges: DataFrame, how: Bootstrap) -> DataFrame:
-    """Good patterns: ctx, kind. Each round scores patterns by trusted values, then values by patterns."""
+    """Good patterns: ctx, kind. Each round scores patterns by trusted values, then values by patterns.
+    Scores only rise from round to round, so patterns are only added; a round that adds none is the last."""
     width = edges.groupBy("ctx").agg(F.count("*").alias("n"))
     seeds = edges.where("kind >= 0").select("ctx", "kind", "v", F.lit(1.0).alias("w"))
-    learnt, good = None, None
-    for _ in range(how.rounds):
+    learnt, n_good = None, -1
+    while True:
         trusted = seeds if learnt is None else seeds.unionByName(learnt)
         score = trusted.groupBy("ctx", "kind").agg(F.sum("w").alias("w"), F.count("*").alias("k"))
         # patterns with too few trusted values leave before the join: most contexts are met once
         score = score.where(F.col("k") >= how.seeds).join(width, "ctx")
         good = stored(score.withColumn("p", F.col("w") / F.col("n")).where(F.col("p") >= how.precision).select("ctx", "kind", "p"))
+        n_before, n_good = n_good, good.count()
+        if n_good in (0, n_before):
+            return good
         tokens = edges.where("kind < 0").select("ctx", "v")
         value = (tokens.join(good, "ctx").groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("w"))
                  .where(F.col("w") >= how.trust))
         learnt = tokens.join(value, "v").select("ctx", "kind", "v", "w")
-    return good
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Bootstrap = Bootstrap()) -> DataFrame:
     """One row per document: id, n_email, n_ip, n_card, n_phone, base (array of strings), spans (array of strings).
 
     A span is kind:start:end in code points, by kind as listed, then start. Null texts are empty. Rows with equal id
-    and text get equal spans; null ids stay; other columns are not read. Texts are read once; what is stored and
+    and text get equal spans; null ids stay; other columns are not read. Very long texts and lists of matches cost by their
+    length. Texts are read once; what is stored and
     shuffled are matches. One row lists the matches of one text, no group does.
     """
     spans = stored(extract(docs, id_col, text_col, how))

@@ -12,6 +12,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.store import stored
+from .pii import let
 from .sampling import lowest
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,11 +50,12 @@ def by_rule(host: Column, path: Column, rules: list[Rule], what) -> Column:
 def grams(host: Column, path: Column, sizes: tuple[int, ...]) -> Column:
     """Character n-grams of both parts, marked with the part and with its ends."""
     def of(tag: str, text: Column) -> Column:
-        s = F.concat(F.lit("^"), text, F.lit("$"))
-
-        def long(n: int) -> Column:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.concat(F.lit(tag), F.substr(s, i, F.lit(n))))
-        return F.flatten(F.array(*map(long, sizes)))
+        def cut(c: Column) -> Column:
+            start = lambda n: F.sequence(F.lit(1), F.greatest(F.size(c) - (n - 1), F.lit(1)))
+            long = lambda n: F.transform(start(n), lambda i: F.concat(F.lit(tag), F.array_join(F.slice(c, i, F.lit(n)), "")))
+            return F.flatten(F.array(*map(long, sizes)))
+        # from an array of characters: cutting the string itself would count from its start for every n-gram
+        return let(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), cut)
 
     return F.concat(of("h", host), of("p", path))
 
@@ -78,9 +80,9 @@ def judge(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None
 
     ``labelled`` has url and label (1: block), a small table such as ``sample_urls.labelled``. Without it the pages that
     a rule decides are the labels, which teaches little if the rules of one verdict share a domain. If one class is
-    missing, pages without a rule get ``default``. A very long url costs the square of its length, since strings are cut by counting characters. Null urls and urls without a host are judged on
-    empty parts; repeated rows and null ids stay; other columns are not read. No shuffle besides the training
-    sample, which is bounded by the ``rows`` of ``train``.
+    missing, pages without a rule get ``default``. Cost and memory grow with the length of a url, however long. Null urls
+    and urls without a host are judged on empty parts; repeated rows and null ids stay; other columns are not read. No
+    shuffle besides the training sample, which is bounded by the ``rows`` of ``train``.
     """
     host, path = parts(F.col(url_col))
     d = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))

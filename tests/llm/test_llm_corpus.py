@@ -441,3 +441,14 @@ def test_url_model_survives_many_copies(spark):
     train = spark.createDataFrame([(f"{us[i % 10]}?q={i}", int(i % 10 < 5)) for i in range(3000)], "url string, label int")
     got = urls.judge(pages(spark, us), [], train, rows=20).orderBy("page_id").collect()
     assert [r["verdict"] for r in got] == ["block"] * 5 + ["allow"] * 5
+
+
+def test_urls_of_any_length(spark):
+    from barlab.llm import sample_urls
+    us = ["http://lakeside.example.org/" + "garden/" * 30000, "http://casino-poker.example.org/" + "bets/" * 40000, "http://a.example.org/\U0001f600é"]
+    got = [r["verdict"] for r in urls.judge(pages(spark, us), [], sample_urls.labelled(spark), **queries.URL_FIT).orderBy("page_id").collect()]
+    assert got[:2] == ["allow", "block"]
+    g = spark.createDataFrame([("aé\U0001f600b", ""), ("x", "/yz")], "h string, p string").select(urls.grams(F.col("h"), F.col("p"), (3, 4)).alias("g")).collect()
+    whole = lambda tag, s, n: [tag + s[i:i + n] for i in range(max(len(s) - n + 1, 1))]
+    for (h, p), r in zip([("aé\U0001f600b", ""), ("x", "/yz")], g):
+        assert r["g"] == [x for tag, s in (("h", f"^{h}$"), ("p", f"^{p}$")) for n in (3, 4) for x in whole(tag, s, n)]

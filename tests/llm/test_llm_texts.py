@@ -217,3 +217,50 @@ def test_null_columns(spark):
     d = docs(spark, [(None, None, None, None)])
     assert repetition.quality(d).first()["base_failed"] and pii.personal_data(d).first()["spans"] == []
     assert secret_scan.secrets(d).first()["base"] == [] and d.select(F.lit(1)).count() == 1
+
+
+def test_contexts_reach_over_lists_and_long_words(spark):
+    long = "w" * 5000
+    rs = [(i, f"some words here and please reach me at user{i}@mail.example.org or else", "en", "s") for i in range(12)]
+    rs += [(50 + i, f"a {long} number +1 415 555 01{i:02d} of the firm", "en", "s") for i in range(12)]
+    rs += [(100, "please reach me at handle1x77 handle2x88, handle3x99 tonight", "en", "s"),
+           (101, f"my {long} number (415) 555 0199, they say", "en", "s"), (102, "id 23538 45509 and fax: 12345, tel: 67890", "en", "s")]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(spark, rs)).collect()}
+    at = lambda t, *vs: [(t.index(v), t.index(v) + len(v)) for v in vs]
+    assert got[100] == [f"email:{s}:{e}" for s, e in at(rs[24][1], "handle1x77", "handle2x88", "handle3x99")]
+    assert got[101] == [f"phone:{s}:{e}" for s, e in at(rs[25][1], "(415) 555 0199")]
+    assert got[102] == []
+
+
+def test_added_spans_on_planted_identifiers(spark):
+    """Unseen identifiers of two kinds after contexts that fixed patterns teach, among numbers that are none. One in six
+    is unseen: a context must introduce known identifiers in three of five cases to be trusted, and with one in three
+    unseen some contexts fall under that (recall 0.58 there, precision the same)."""
+    rnd = random.Random(11)
+    say = {"email": ["write to me at", "my mail is", "contact address:"], "phone": ["call me on", "phone number", "ring us at"]}
+    value = {"email": lambda i: f"user{i}@host{i}.org", "phone": lambda i: f"+49 30 {1000000 + i * 7919}"}
+    odd = {"email": lambda i: f"user{i}(at)host{i}", "phone": lambda i: f"030 {1000 + i} {2000 + i}"}
+    rs, want = [], {"email": set(), "phone": set()}
+    for i in range(600):
+        kind, other = rnd.choice(["email", "phone"]), f"room {10000 + i} of {rnd.choice(['house', 'hall'])} {20000 + i} was free."
+        planted = i % 6 == 0
+        v = (odd if planted else value)[kind](i)
+        t = f"{other} {rnd.choice(say[kind])} {v} before noon"
+        rs.append((i, t, "en", "s"))
+        if planted:
+            want[kind].add((i, t.index(v), t.index(v) + len(v)))
+    added = {"email": set(), "phone": set()}
+    for r in pii.personal_data(docs(spark, rs)).collect():
+        for x in set(r["spans"]) - set(r["base"]):
+            k, s, e = x.split(":")
+            added[k].add((r["doc_id"], int(s), int(e)))
+    for k in want:
+        hit = len(want[k] & added[k])
+        print(k, "precision", hit / max(len(added[k]), 1), "recall", hit / len(want[k]), len(want[k]))
+        assert hit >= 0.95 * len(added[k]) and hit >= 0.9 * len(want[k])
+
+
+def test_number_runs_cost_by_length(spark):
+    ts = ["1 " * 60000 + "1x", "(" * 100000 + "a " + "5-" * 50000, "tel 12345, " * 20000]
+    got = {r["doc_id"]: r for r in pii.personal_data(docs(spark, [(i, t, "en", "s") for i, t in enumerate(ts)])).collect()}
+    assert all(got[i]["spans"] == [] for i in range(3))
