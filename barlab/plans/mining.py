@@ -1,19 +1,18 @@
 """Feature mining: training matrices, folds, per-fold models, stability tables, regime labels."""
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 from typing import Sequence
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import windows as W
 from ..functions.nulls import zero_to_null
 from ..functions.scalar import day_of, hour_of, weekday_of
+from ..operators import mixture as MX
 from ..operators.asof import asof_join
 from ..operators.blocks import in_blocks
 from ..operators.rolling import Roll, back_rows, long_rolling
@@ -56,27 +55,24 @@ def training_matrix(frame: DataFrame, features: Sequence[str], horizon: int, reg
     return d.na.drop(subset=list(features)).select(*keys, "ts", "fwd_r_h", "target", *features)
 
 
-def expanding_folds(m: DataFrame, train: int, step: int, min_train: int = 500, min_test: int = 100) -> DataFrame:
-    """Folds that train on everything before the cut and test ``step`` days after it. Counts per day are
-    computed once; the fold table is a few rows."""
-    D = 86400
-    days = stored(m.groupBy(day_of(F.col("ts")).alias("d")).agg(F.count(F.lit(1)).alias("n")))
-    lo, hi = days.agg(F.min("d"), F.max("d")).first()
-    if lo is None or lo + train > hi:
-        cuts = m.sparkSession.range(0)
-        lo = 0
-    else:
-        cuts = m.sparkSession.range((hi - lo - train) // step + 1)
+def expanding_folds(m: DataFrame, train: int, step: int, min_train: int = 500, min_test: int = 100, keys: Sequence[str] = ()) -> DataFrame:
+    """Folds that train on everything before the cut and test ``step`` days after it, numbered within ``keys``. Counts per
+    day are computed once; the fold table is a few rows a key. A key with too few days has no fold."""
+    D, by = 86400, [*keys, "_all"]
+    days = stored(m.groupBy(*keys, day_of(F.col("ts")).alias("d")).agg(F.count(F.lit(1)).alias("n")).withColumn("_all", F.lit(0)))
+    ends = days.groupBy(*by).agg(F.min("d").cast("long").alias("lo"), F.max("d").cast("long").alias("hi"))
     # the fold whose test days hold a day; -1: before the first cut. A fold trains on all days of lower folds.
-    k = F.greatest(F.floor((F.col("d") - (lo + train)) / step), F.lit(-1))
-    per = days.groupBy(k.alias("id")).agg(F.sum("n").alias("n"))
-    run = Window.partitionBy(F.lit(0)).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
-    f = cuts.unionByName(m.sparkSession.range(-1, 0)).join(per, "id", "left").withColumn("n_test", F.coalesce("n", F.lit(0)))
+    k = F.greatest(F.floor((F.col("d") - (F.col("lo") + train)) / step), F.lit(-1))
+    per = days.join(ends, by).groupBy(*by, k.cast("long").alias("id")).agg(F.sum("n").alias("n"))
+    last = F.floor((F.col("hi") - F.col("lo") - train) / step)
+    cuts = ends.where(F.col("lo") + train <= F.col("hi")).select(*by, "lo", F.explode(F.sequence(F.lit(-1).cast("long"), last)).alias("id"))
+    f = cuts.join(per, [*by, "id"], "left").withColumn("n_test", F.coalesce("n", F.lit(0)))
+    run = Window.partitionBy(*by).orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
     f = f.withColumn("n_train", F.sum("n_test").over(run)).where("id >= 0")
-    f = f.select(F.lit(lo).cast("long").alias("lo"), (F.col("id") * step + lo + train).alias("cut"), "n_train", "n_test")
+    f = f.select(*by, "lo", (F.col("id") * step + F.col("lo") + train).alias("cut"), "n_train", "n_test")
     f = f.where((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
-    w = Window.partitionBy(F.lit(0)).orderBy("cut")
-    return f.select(F.row_number().over(w).alias("fold"), (F.col("lo") * D).alias("train_start"), (F.col("cut") * D).alias("train_end"),
+    w = Window.partitionBy(*by).orderBy("cut")
+    return f.select(*keys, F.row_number().over(w).alias("fold"), (F.col("lo") * D).alias("train_start"), (F.col("cut") * D).alias("train_end"),
                     ((F.col("cut") + step) * D).alias("test_end"), "n_train", "n_test")
 
 
@@ -280,27 +276,19 @@ def regime_features(hourly: DataFrame, funding: DataFrame | None = None, keys: S
 
 
 def label_regimes(feats: DataFrame, folds: DataFrame, cols: Sequence[str] = ("rv_1h", "er20_1h", "atr_pct_1h", "funding_pct_1h"),
-                  k: int = 3, key: str = "symbol", parallel: int = 4) -> DataFrame:
+                  k: int = 3, key: str = "symbol") -> DataFrame:
     """Walk-forward state labels, one model per (symbol, fold): standardise on the training rows, fit a k-component
     Gaussian mixture there, decode the test rows, and renumber states by rising mean volatility. A mixture stands in
     for the hidden Markov model (same emissions, no transition matrix). ``folds`` has the key, fold, train_start,
-    train_end and test_end; the list is short, its fits are Spark jobs submitted ``parallel`` at a time."""
+    train_end and test_end, a few rows a key. All models are fitted together (``mixture.fit``): the number of jobs does not
+    grow with symbols or folds. No fold, no rows."""
     cols = list(cols)
-    f_all = VectorAssembler(inputCols=cols, outputCol="_raw").transform(feats)
-
-    def label(f) -> DataFrame:
-        own = f_all.where(F.col(key) == f[key])
-        tr = own.where((F.col("ts") >= f.train_start) & (F.col("ts") < f.train_end))
-        te = own.where((F.col("ts") >= f.train_end) & (F.col("ts") < f.test_end))
-        sc = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(tr)
-        gm = GaussianMixture(k=k, seed=42, maxIter=50).fit(sc.transform(tr))
-        z = gm.transform(sc.transform(te)).select(key, "ts", *cols, F.col("prediction").alias("_s"))
-        return z.withColumns({"fold": F.lit(int(f.fold)), "model_train_end": F.lit(int(f.train_end))})
-
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(label, folds.orderBy(key, "fold").collect()))
-    none = feats.select(key, "ts", *cols).limit(0).withColumns({"_s": F.lit(0), "fold": F.lit(0), "model_train_end": F.lit(0)})  # no fold, no rows
-    out = stored(reduce(lambda a, b: a.unionByName(b), done) if done else none)
+    cal = folds.select(key, F.col("fold").cast("int").alias("fold"), "train_start", F.col("train_end").cast("long").alias("model_train_end"), "test_end")
+    x = feats.select(key, "ts", *cols).join(small(cal), key)
+    t, cut = F.col("ts"), F.col("model_train_end")
+    models = MX.fit(x.where((t >= F.col("train_start")) & (t < cut)), [key, "fold"], cols, k)
+    out = stored(MX.decode(x.where((t >= cut) & (t < F.col("test_end"))).select(key, "ts", *cols, "fold", "model_train_end"),
+                           models, [key, "fold"], cols, k, "_s"))
     m = out.groupBy(key, "fold", "_s").agg(F.avg(cols[0]).alias("_m"))
     m = m.withColumn("state_id", F.row_number().over(Window.partitionBy(key, "fold").orderBy("_m", "_s")) - 1)
     names = F.array(*[F.lit(x) for x in REGIMES])

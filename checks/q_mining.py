@@ -208,11 +208,7 @@ def _(spark, d):
     """Mixture states per symbol and fold. The labels depend on the fit; SQL says which rows are labelled, once each, by
     which fold, and that states rise with volatility."""
     f = stored(_regime_feats(spark, d))
-    symbols = [r[0] for r in f.select("symbol").distinct().collect()]
-    folds = None
-    for s in symbols:
-        one = MN.expanding_folds(f.where(F.col("symbol") == s), 12, 6, 100, 30).withColumn("symbol", F.lit(s))
-        folds = one if folds is None else folds.unionByName(one)
+    folds = MN.expanding_folds(f, 12, 6, 100, 30, keys=["symbol"])
     x = stored(MN.label_regimes(f, folds))
     by = ["symbol", "fold", "model_train_end"]
     m = x.groupBy(*by, "state_id").agg(F.avg("rv_1h").alias("m"), F.count(F.lit(1)).alias("n"), F.count_distinct("ts").alias("u"))
