@@ -2,7 +2,7 @@
 
 All groups take their steps together: an iteration is one job whatever the number of groups. The expectation is a set
 of columns over the rows, the maximisation a grouped sum of moments, and only the few numbers of a group's model pass
-through numpy, in batches of models. A group that has settled keeps its model and its rows are no longer read.
+through numpy, in batches of models. A group that has settled keeps its model and its rows take no further part.
 """
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from .quantiles import exact_quantiles
 from .store import stored
 
 RIDGE = 1e-6
-_PARTS = "mean array<double>, scale array<double>, lw array<double>, mu array<double>, li array<double>, ll double, n long"
+_PARTS = "mean array<double>, scale array<double>, lw array<double>, mu array<double>, li array<double>, ll double, was double, n long"
 
 
 def _scaled(cols: Sequence[str]) -> list[Column]:
@@ -75,9 +75,9 @@ def _models(moments: DataFrame, keys: list[str], d: int, k: int) -> DataFrame:
             li = np.linalg.inv(np.linalg.cholesky(cov))
             share = np.maximum(w / np.maximum(w.sum(1, keepdims=True), 1e-10), 1e-300)
             lw = np.log(share) + np.log(np.diagonal(li, axis1=-2, axis2=-1)).sum(-1)
-            out = b[keys + ["mean", "scale", "ll", "n"]].copy()
+            out = b[keys + ["mean", "scale", "ll", "was", "n"]].copy()
             out["lw"], out["mu"], out["li"] = list(lw), list(mu.reshape(len(b), -1)), list(li.reshape(len(b), -1))
-            yield out[keys + ["mean", "scale", "lw", "mu", "li", "ll", "n"]]
+            yield out[keys + ["mean", "scale", "lw", "mu", "li", "ll", "was", "n"]]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moments.schema if f.name in keys)
     return moments.mapInPandas(solve, f"{kinds}, {_PARTS}")
@@ -87,9 +87,9 @@ def fit(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3, i
     """One model per group of ``keys``: mean and scale of the columns, log weights, means, inverse Cholesky factors.
 
     It starts from the ``k`` equal parts of the first column and ends, for each group, when the mean log likelihood
-    rises by less than ``tol`` divided by the columns, or after ``iterations``. The result does not depend on how rows are spread, but
-    for rounding. Rows with a null in a column or a null key are left out; no rows, no models; a group of equal rows has one
-    ball. A large group is summed in part before the shuffle. ``rows`` is read once per iteration: pass few columns.
+    rises by less than ``tol`` divided by the number of columns, or after ``iterations``. The result does not depend on how
+    rows are spread, but for rounding. Rows with a null in a column or a null key are left out; no rows, no models; a group
+    of equal rows has one ball. A large group is summed in part before the shuffle. One pass over the columns an iteration.
     """
     keys, cols, d = list(keys), list(cols), len(cols)
     rows = stored(rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop())
@@ -106,7 +106,7 @@ def fit(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3, i
         part = part + (F.col(cols[0]) >= F.col(f"_q{i}")).cast("int")
     moments = start.withColumn("_part", part).groupBy(*keys).agg(
         F.array(*_sums(z, [(F.col("_part") == c).cast("double") for c in range(k)])).alias("moments"), F.first("mean").alias("mean"),
-        F.first("scale").alias("scale"), F.lit(None).cast("double").alias("ll"), F.count(F.lit(1)).alias("n"))
+        F.first("scale").alias("scale"), F.lit(None).cast("double").alias("ll"), F.lit(None).cast("double").alias("was"), F.count(F.lit(1)).alias("n"))
     models = stored(_models(moments, keys, d, k))
 
     done = []
@@ -119,18 +119,16 @@ def fit(rows: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3, i
         e = e.withColumns({f"_r{c}": F.col(f"_e{c}") / F.col("_t") for c in range(k)})
         moments = e.groupBy(*keys).agg(
             F.array(*_sums(z, [F.col(f"_r{c}") for c in range(k)])).alias("moments"), F.first("mean").alias("mean"),
-            F.first("scale").alias("scale"), F.avg(F.col("_top") + F.log("_t")).alias("ll"), F.count(F.lit(1)).alias("n"), F.first("ll").alias("_ll"))
-        moments = stored(moments)
-        settled = F.coalesce(F.col("ll") - F.col("_ll") < tol / d, F.lit(False))
-        ready, going = moments.where(settled), moments.where(~settled)
-        done.append(stored(_models(ready.drop("_ll"), keys, d, k)))
-        models = stored(_models(going.drop("_ll"), keys, d, k))
+            F.first("scale").alias("scale"), F.avg(F.col("_top") + F.log("_t")).alias("ll"), F.count(F.lit(1)).alias("n"), F.first("ll").alias("was"))
+        step = stored(_models(moments, keys, d, k))
+        settled = F.coalesce(F.col("ll") - F.col("was") < tol / d, F.lit(False))
+        done.append(step.where(settled))
+        models = step.where(~settled)  # the join leaves out the rows of settled groups
         if models.isEmpty():
             break
-        rows = rows.join(small(models.select(*keys)), keys, "left_semi")
     for m in done:
         models = models.unionByName(m)
-    return models
+    return models.drop("was")
 
 
 def decode(rows: DataFrame, models: DataFrame, keys: Sequence[str], cols: Sequence[str], k: int = 3, out: str = "state") -> DataFrame:
