@@ -1,96 +1,59 @@
-"""Exact order statistics of large groups.
+"""Exact order statistics of groups of every size, in one way.
 
-The built-in exact percentile holds every distinct value of a group in one aggregation buffer. That is
-fine for groups known to be small; the largest group is counted first, and above IN_MEMORY values another
-way is used: a mergeable sketch proposes split points, one counting pass finds the cell that holds the
-wanted rank, and only that cell (about 1/CELLS of the group) is ranked. Both ways are exact.
+The values of a group become a histogram of value and count, summed in part before the shuffle, so ties are one row
+however many they are. A running count over the histogram, in ranges of about equal depth (``prefix.running``), says which ranks a
+value holds; the wanted ranks are picked in a plain aggregation. No task holds a group, no plan depends on a size.
 """
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.readers import small
+from .prefix import DEPTH, Run, running
 from .store import stored
 
-CELLS = 256
-IN_MEMORY = 200_000
 
-
-def largest_group(v: DataFrame, by: Sequence[str]) -> int:
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return n or 0
-
-
-def order_stats(v: DataFrame, by: Sequence[str], col: str, ranks: DataFrame) -> DataFrame:
-    """Value at 0-based ascending ``rank`` per row of ``ranks`` (by..., tag, rank). ``v`` has no nulls in
-    ``col`` and is read three times: pass a stored table."""
+def ranked(df: DataFrame, by: Sequence[str], col: str | Column, depth: int = DEPTH) -> DataFrame:
+    """One row per group and different value: by..., _x, _n (rows with it), _cum (rows up to it), _all (rows of the group).
+    Nulls in the column and rows with a null key are left out."""
     by = list(by)
-    if not by:  # one group: the same code under a constant key
-        return order_stats(v.withColumn("_all", F.lit(0)), ["_all"], col, ranks.withColumn("_all", F.lit(0))).drop("_all")
-    probs = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    # equal split points collapse; cells alternate (open cell, single value) so ties never overload a cell
-    splits = v.groupBy(*by).agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(col, probs, F.lit(10000)))).alias("_sp"))
-    x = F.col(col)
-    # below splits -> even cells, exactly on a split -> odd cell
-    cell = (F.size(F.filter("_sp", lambda s: s < x)) * 2
-            + F.when(F.array_contains("_sp", x), 1).otherwise(0))
-    c = v.join(splits, by).select(*by, x.alias("_v"), cell.alias("_cell"))
-    n = c.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_one"))
-    w = Window.partitionBy(*by).orderBy("_cell")
-    n = n.withColumn("_start", F.sum("_n").over(w) - F.col("_n"))
-    want = ranks.join(n, by).where(
-        (F.col("rank") >= F.col("_start")) & (F.col("rank") < F.col("_start") + F.col("_n")))
-    flat = want.where(F.col("_cell") % 2 == 1).select(*by, "tag", F.col("_one").alias("value"))
-    open_ = want.where(F.col("_cell") % 2 == 0).select(*by, "tag", "_cell", (F.col("rank") - F.col("_start")).alias("_k"))
-    rows = c.join(open_.select(*by, "_cell").distinct(), [*by, "_cell"], "left_semi")
-    wr = Window.partitionBy(*by, "_cell").orderBy("_v")
-    rows = rows.withColumn("_k", F.row_number().over(wr).cast("long") - 1)
-    found = rows.join(open_, [*by, "_cell", "_k"]).select(*by, "tag", F.col("_v").alias("value"))
-    return flat.unionByName(found)
+    x = F.col(col) if isinstance(col, str) else col
+    d = df.select(*by, x.alias("_x"))
+    for c in d.columns:
+        d = d.where(F.col(c).isNotNull())
+    h = stored(d.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")))
+    total = h.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    c = running(h, by, ["_x"], [Run("_cum", "sum", F.col("_n"))], F.lit(0), 1, depth)
+    return c.join(small(total), by)
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], col: str | Column, qs: dict[str, float],
-                    in_memory: int = IN_MEMORY) -> DataFrame:
-    """Linear-interpolated quantiles per group: one column per name in ``qs``."""
-    by = list(by)
-    v = stored(df.select(*by, (F.col(col) if isinstance(col, str) else col).alias("_x")).where(F.col("_x").isNotNull()))
-    if largest_group(v, by) <= in_memory:
-        return v.groupBy(*by).agg(*[F.percentile("_x", F.lit(p)).alias(k) for k, p in qs.items()])
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    spec = F.array(*[F.struct(F.lit(k).alias("q"), F.lit(p).alias("p")) for k, p in qs.items()])
-    pos = (F.col("_n") - 1) * F.col("s.p")
-    r = n.select(*by, "_n", F.explode(spec).alias("s")).select(*by, "s", pos.alias("_pos"))
-    r = r.select(*by, F.explode(F.array(
-        F.struct(F.concat(F.col("s.q"), F.lit("|lo")).alias("tag"), F.floor("_pos").alias("rank")),
-        F.struct(F.concat(F.col("s.q"), F.lit("|hi")).alias("tag"), F.ceil("_pos").alias("rank")))).alias("t"), "_pos")
-    ranks = r.select(*by, "t.tag", "t.rank", "_pos")
-    st = order_stats(v, by, "_x", ranks.select(*by, "tag", "rank"))
-    j = st.join(ranks.select(*by, "tag", (F.col("_pos") - F.floor("_pos")).alias("_f")), [*by, "tag"])
-    out = []
-    for k in qs:
-        lo = F.max(F.when(F.col("tag") == f"{k}|lo", F.col("value")))
-        hi = F.max(F.when(F.col("tag") == f"{k}|hi", F.col("value")))
-        f = F.max(F.when(F.col("tag") == f"{k}|lo", F.col("_f")))
-        out.append((lo + (hi - lo) * f).alias(k))
-    return j.groupBy(*by).agg(*out)
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("_cum") - F.col("_n")) & (rank < F.col("_cum"))
 
 
-def top_sum(df: DataFrame, by: Sequence[str], col: str, share: float, out: str,
-            in_memory: int = IN_MEMORY) -> DataFrame:
-    """Sum of the largest ceil(share * n) values per group (at least one)."""
+def exact_quantiles(df: DataFrame, by: Sequence[str], col: str | Column, qs: dict[str, float], depth: int = DEPTH) -> DataFrame:
+    """Linear-interpolated quantiles per group: one column per name in ``qs``. A histogram of more than ``depth`` values is
+    cut in ranges; the result does not depend on it."""
+    by = list(by)
+    if not by:  # one group: the same code under a constant key
+        return exact_quantiles(df.withColumn("_one", F.lit(0)), ["_one"], col, qs, depth).drop("_one")
+    picks = []
+    for i, p in enumerate(qs.values()):
+        pos = (F.col("_all") - 1) * F.lit(float(p))
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            picks.append(F.max(F.when(_holds(rank), F.col("_x"))).alias(f"_{side}{i}"))
+        picks.append(F.max(pos - F.floor(pos)).alias(f"_f{i}"))
+    d = ranked(df, by, col, depth).groupBy(*by).agg(*picks)
+    lo, hi = (lambda i: F.col(f"_lo{i}")), (lambda i: F.col(f"_hi{i}"))
+    return d.select(*by, *[(lo(i) + (hi(i) - lo(i)) * F.col(f"_f{i}")).alias(k) for i, k in enumerate(qs)])
+
+
+def top_sum(df: DataFrame, by: Sequence[str], col: str, share: float, out: str, depth: int = DEPTH) -> DataFrame:
+    """Sum of the largest ceil(share * n) values per group (at least one): a value gives as many of its rows as ranks above
+    the cut are left to it."""
     by = list(by)
-    v = stored(df.select(*by, F.col(col).alias("_x")).where(F.col("_x").isNotNull()))
-    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    k = F.greatest(F.lit(1), F.ceil(F.col("_n") * share))
-    if largest_group(v, by) <= in_memory:
-        rn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_x").desc()))
-        return (v.withColumn("_rn", rn).join(n, by).where(F.col("_rn") <= k)
-                .groupBy(*by).agg(F.sum("_x").alias(out)))
-    cut = order_stats(v, by, "_x", n.select(*by, F.lit("t").alias("tag"), (F.col("_n") - k).alias("rank")))
-    j = v.join(cut.select(*by, F.col("value").alias("_t")), by)
-    above = F.col("_x") > F.col("_t")
-    a = j.groupBy(*by).agg(F.sum(F.when(above, F.col("_x"))).alias("_s"), F.count(F.when(above, 1)).alias("_c"),
-                           F.max("_t").alias("_t"))
-    return a.join(n, by).select(*by, (F.coalesce("_s", F.lit(0.0)) + (k - F.col("_c")) * F.col("_t")).alias(out))
+    k = F.greatest(F.lit(1), F.ceil(F.col("_all") * share))
+    mine = F.greatest(F.lit(0), F.least(F.col("_n"), k - (F.col("_all") - F.col("_cum"))))
+    return ranked(df, by, col, depth).groupBy(*by).agg(F.sum(F.col("_x") * mine).alias(out))

@@ -9,7 +9,7 @@ from barlab.operators import prefix
 from barlab.operators.asof import asof_join, asof_join_many
 from barlab.operators.blocks import in_blocks
 from barlab.operators.prefix import Run, drawdown, max_streak, row_index, run_length, running
-from barlab.operators.quantiles import exact_quantiles, order_stats, top_sum
+from barlab.operators.quantiles import exact_quantiles, ranked, top_sum
 from barlab.operators.rolling import Roll, back_rows, long_rolling
 from barlab.operators.stats import bootstrap_ci, bootstrap_means, folds, walkforward
 from barlab.operators.thin import thin
@@ -182,15 +182,31 @@ def test_quantiles_with_heavy_ties(spark):
     r = np.random.default_rng(4)
     p = pd.DataFrame({"k": r.choice(["a", "b"], 4000, p=[.9, .1]), "v": r.choice([0.0, 0.0, 0.0, 1.5, 2.5, -1.0], 4000) + (r.random(4000) < .2) * r.normal(size=4000)})
     qs = {"q0": 0.0, "q3": .3, "q5": .5, "q97": .97, "q1": 1.0}
-    g = exact_quantiles(spark.createDataFrame(p), ["k"], "v", qs, in_memory=5).toPandas().set_index("k").sort_index()
+    g = exact_quantiles(spark.createDataFrame(p), ["k"], "v", qs, depth=50).toPandas().set_index("k").sort_index()
     for n, q in qs.items():
         np.testing.assert_allclose(g[n], p.groupby("k").v.quantile(q).sort_index())
-    t = top_sum(spark.createDataFrame(p), ["k"], "v", .1, "t", in_memory=5).toPandas().set_index("k").t
+    t = top_sum(spark.createDataFrame(p), ["k"], "v", .1, "t", depth=50).toPandas().set_index("k").t
     for k, s in p.groupby("k").v:
         n = int(np.ceil(.1 * len(s)))
         assert abs(t[k] - s.sort_values().tail(n).sum()) < 1e-9
 
 
+def test_quantiles_of_a_million_equal_values(spark):
+    """Ties are one row of the histogram; many different values are cut in ranges; null keys and empty tables give nothing."""
+    n = 1_000_000
+    same = spark.range(n).select(F.lit("t").alias("k"), F.lit(2.5).alias("v"))
+    wide = spark.range(3000).select(F.lit("w").alias("k"), (F.col("id") * 7919 % 3000).cast("double").alias("v"))
+    odd = spark.createDataFrame([(None, 1.0), ("n", None), ("o", 4.0)], "k string, v double")
+    df = same.unionByName(wide).unionByName(odd)
+    g = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"a": .1, "b": .5}, depth=200).collect()}
+    assert set(g) == {"t", "w", "o"} and (g["t"].a, g["t"].b, g["o"].b) == (2.5, 2.5, 4.0)
+    np.testing.assert_allclose([g["w"].a, g["w"].b], [299.9, 1499.5])
+    t = {r.k: r.t for r in top_sum(df, ["k"], "v", .1, "t", depth=200).collect()}
+    assert t == {"t": 250_000.0, "w": float(sum(range(2700, 3000))), "o": 4.0}
+    assert ranked(same, ["k"], "v").count() == 1 and exact_quantiles(df.limit(0), ["k"], "v", {"a": .5}).count() == 0
+    assert exact_quantiles(wide.select("v"), [], "v", {"a": .5}).collect()[0].a == 1499.5
+
+
 def test_bootstrap_blocks_keep_the_distribution(spark):
     r = np.random.default_rng(6)
     p = pd.DataFrame({"k": "a", "ts": range(3000), "gross_r": r.normal(.001, .01, 3000)})
